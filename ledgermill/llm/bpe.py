@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 #: Encoded words, and stretches between white space, that a worker remembers before it starts afresh.
-REMEMBERED = 250_000
+REMEMBERED = 350_000
 #: Longer ones are not remembered.
 REMEMBERED_LENGTH = 64
 #: Python splits at these, the vocabulary's white space leaves them out.
@@ -56,7 +56,8 @@ class WordBpe:
         self.ranks: dict[tuple[str, str], int] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault((left, right), rank)
+            self.ranks[left, right] = rank
+        self.pairs = {rank: pair for pair, rank in self.ranks.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -73,25 +74,29 @@ class WordBpe:
 
     def merge(self, word: str) -> list[str]:
         """The symbols of one word after all merges."""
-        symbols = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
+        symbols = list(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
         symbols[-1] += self.end
         n = len(symbols)
+        if n == 1:
+            return symbols
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        queue = [(rank, i, pair) for i in range(n - 1) if (rank := self.ranks.get(pair := (symbols[i], symbols[i + 1]))) is not None]
+        ranks, pairs = self.ranks, self.pairs
+        # An entry is rank * n + position: the lowest rank first, then the leftmost.
+        queue = [rank * n + i for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)) if (rank := ranks.get(pair)) is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, pair = heapq.heappop(queue)
-            j = after[i]
-            if j < 0 or symbols[i] is None or (symbols[i], symbols[j]) != pair:
+            rank, i = divmod(heapq.heappop(queue), n)
+            j, (left, right) = after[i], pairs[rank]
+            if j < 0 or symbols[i] != left or symbols[j] != right:
                 continue  # stale: one of the two has merged elsewhere since
-            symbols[i], symbols[j] = pair[0] + pair[1], None
+            symbols[i], symbols[j] = whole, _ = left + right, None
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if (rank := self.ranks.get(new := (symbols[i], symbols[k]))) is not None:
-                    heapq.heappush(queue, (rank, i, new))
-            if (h := before[i]) >= 0 and (rank := self.ranks.get(new := (symbols[h], symbols[i]))) is not None:
-                heapq.heappush(queue, (rank, h, new))
+                if (rank := ranks.get((whole, symbols[k]))) is not None:
+                    heapq.heappush(queue, rank * n + i)
+            if (h := before[i]) >= 0 and (rank := ranks.get((symbols[h], whole))) is not None:
+                heapq.heappush(queue, rank * n + h)
         return [s for s in symbols if s is not None]
 
     def _word(self, word: str) -> tuple[str, int, str]:
@@ -133,7 +138,11 @@ class WordBpe:
                 if _NOT_SPACE.search(lower):
                     out += [self._word(word) for word in self.words.findall(lower)]
                 else:
-                    out += [known.get(stretch) or self._stretch(stretch) for stretch in lower.split()]
+                    stretches = lower.split()
+                    found = list(map(known.get, stretches))
+                    if None in found:
+                        found = [f or known.get(s) or self._stretch(s) for f, s in zip(found, stretches, strict=True)]
+                    out += found
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -147,7 +156,7 @@ class WordBpe:
         found = [p for p in self.pieces(text or "") if p[1]]
         ids = " ".join([p[0] for p in found])
         decoded = " ".join([p[2] for p in found])
-        return sum(p[1] for p in found), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+        return ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 _loaded: dict[int, WordBpe] = {}

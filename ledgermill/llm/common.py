@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Like ``checkpoint``, as a compressed table in the same shared folder; for wide or many rows."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` cut off from its lineage, marked for broadcast if its counted rows stay below ``limit``."""
     df = checkpoint(df)
@@ -58,4 +69,4 @@ def cell_of(key: Column, bits: int) -> Column:
     return F.shiftright(head, 32 - bits).cast("int")
 
 
-__all__ = ["BROADCAST_ROWS", "StorageLevel", "bits_for", "broadcast_if_small", "cell_of", "checkpoint", "let", "shuffle_key", "table"]
+__all__ = ["BROADCAST_ROWS", "StorageLevel", "bits_for", "broadcast_if_small", "cell_of", "checkpoint", "let", "materialize", "shuffle_key", "table"]

@@ -28,6 +28,7 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .common import checkpoint
 
 MAX_LABELLED = 20_000
 MAX_ENTRIES = 3_000
@@ -57,33 +59,43 @@ SECOND_PERSON = frozenset("you your you're youre u du dich dir dein deine ihr eu
 FEATURES = ("abuse", "quotation", "worst_window", "fuzzy", "any")
 
 
+class Entry(NamedTuple):
+    """A term, or a stem that any ending may follow. ``fuzzy``: one edit may separate a token from it."""
+
+    text: str
+    stem: bool
+    weight: float
+    fuzzy: bool = True
+
+
 class Lexicon:
     """A trie of terms and stems, searched by a Levenshtein automaton of at most one edit."""
 
-    def __init__(self, entries: Iterable[tuple[str, bool, float]]):
-        """entries: (text, whether it is a stem, weight)."""
+    def __init__(self, entries: Iterable[Entry]):
         self.edges: list[dict[str, int]] = [{}]
-        self.final: list[tuple[float, bool, int] | None] = [None]
-        #: The longest entry below each node, for the rule on short entries.
-        self.reach: list[int] = [0]
-        for text, stem, weight in sorted(entries):
-            node = 0
-            self.reach[0] = max(self.reach[0], len(text))
-            for letter in text:
+        self.final: list[Entry | None] = [None]
+        #: Whether an entry that may be misspelled lies below each node.
+        self.reach: list[bool] = [False]
+        # Stems first: where one text is both, the stem covers the term.
+        for entry in sorted(entries, key=lambda e: (e.text, not e.stem)):
+            node, may = 0, entry.fuzzy and len(entry.text) >= FUZZY_LENGTH
+            self.reach[0] |= may
+            for letter in entry.text:
                 if letter not in self.edges[node]:
                     self.edges[node][letter] = len(self.edges)
                     self.edges.append({})
                     self.final.append(None)
-                    self.reach.append(0)
+                    self.reach.append(False)
                 node = self.edges[node][letter]
-                self.reach[node] = max(self.reach[node], len(text))
-            if not (old := self.final[node]) or old[0] < weight or stem:
-                self.final[node] = (max(weight, old[0] if old else 0.0), stem or bool(old and old[1]), len(text))
+                self.reach[node] |= may
+            if old := self.final[node]:
+                entry = Entry(entry.text, old.stem, max(old.weight, entry.weight), old.fuzzy or entry.fuzzy)
+            self.final[node] = entry
         self.start = self._close({(0, 0, 0)})
         self.states = {self.start: 0}
         self.members = [self.start]
         self.steps: list[dict[str, int]] = [{}]
-        self.found: list[tuple[float, bool] | None] = [self._accepts(self.start)]
+        self.found: list[tuple[float, bool, str] | None] = [self._accepts(self.start)]
 
     # A member is (node, edits, held): held marks a stem already complete, which any ending may follow.
 
@@ -91,14 +103,18 @@ class Lexicon:
         """With the entries' letters that the token leaves out."""
         out = set(members)
         for node, edits, held in members:
-            if not edits and not held and self.reach[node] >= FUZZY_LENGTH:
+            if not edits and not held and self.reach[node]:
                 out |= {(to, 1, 0) for to in self.edges[node].values()}
         out |= {(node, edits, 1) for node, edits, held in out if not held and self._stem(node, edits)}
         return frozenset(self._fewest(out))
 
     def _stem(self, node: int, edits: int) -> bool:
         end = self.final[node]
-        return bool(end and end[1] and (not edits or end[2] >= FUZZY_LENGTH))
+        return bool(end and end.stem and (not edits or self._may(end)))
+
+    @staticmethod
+    def _may(end: Entry) -> bool:
+        return end.fuzzy and len(end.text) >= FUZZY_LENGTH
 
     @staticmethod
     def _fewest(members: set[tuple[int, int, int]]) -> set[tuple[int, int, int]]:
@@ -112,23 +128,23 @@ class Lexicon:
                 continue
             if letter in self.edges[node]:
                 out.add((self.edges[node][letter], edits, 0))
-            if not edits and self.reach[node] >= FUZZY_LENGTH:
+            if not edits and self.reach[node]:
                 out.add((node, 1, 0))  # a letter too many
                 out |= {(to, 1, 0) for to in self.edges[node].values()}  # another letter
         return self._close(out)
 
-    def _accepts(self, members: frozenset) -> tuple[float, bool] | None:
-        """(weight, whether an edit was needed) of the best entry that ends here."""
+    def _accepts(self, members: frozenset) -> tuple[float, bool, str] | None:
+        """(weight, whether an edit was needed, entry) of the best entry that ends here."""
         best = None
-        for node, edits, held in members:
+        for node, edits, held in sorted(members):
             end = self.final[node]
-            if end and (not edits or end[2] >= FUZZY_LENGTH):
-                weight = end[0] * (FUZZY_WEIGHT if edits else 1.0) * (STEM_WEIGHT if held else 1.0)
+            if end and (not edits or self._may(end)):
+                weight = end.weight * (FUZZY_WEIGHT if edits else 1.0) * (STEM_WEIGHT if held else 1.0)
                 if not best or weight > best[0]:
-                    best = weight, bool(edits)
+                    best = weight, bool(edits), end.text
         return best
 
-    def match(self, token: str) -> tuple[float, bool] | None:
+    def match(self, token: str) -> tuple[float, bool, str] | None:
         state, steps = 0, self.steps
         for letter in token:
             if (to := steps[state].get(letter)) is None:
@@ -149,7 +165,7 @@ class Lexicon:
 class Model:
     """A lexicon and the logistic model over the features of its matches."""
 
-    entries: list[tuple[str, bool, float]]
+    entries: list[Entry]
     coefficients: list[float] = field(default_factory=lambda: [0.0] * len(FEATURES))
     intercept: float = -50.0
 
@@ -159,11 +175,11 @@ class Scorer:
 
     REMEMBERED = 400_000
 
-    def __init__(self, entries: list[tuple[str, bool, float]]):
+    def __init__(self, entries: list[Entry]):
         self.lexicon = Lexicon(entries)
-        self.known: dict[str, tuple[float, bool] | None] = {}
+        self.known: dict[str, tuple[float, bool, str] | None] = {}
 
-    def _match(self, token: str) -> tuple[float, bool] | None:
+    def _match(self, token: str) -> tuple[float, bool, str] | None:
         if len(self.known) >= self.REMEMBERED:
             self.known.clear()
         found = self.known[token] = self.lexicon.match(token)
@@ -188,7 +204,7 @@ class Scorer:
         for i, word in enumerate(words):
             if word not in hits:
                 continue
-            weight, edited = hits[word]
+            weight, edited, _ = hits[word]
             around = words[max(0, i - WINDOW) : i + WINDOW + 1]
             left = lower[tokens[max(0, i - WINDOW)].start() : tokens[i].start()]
             right = lower[tokens[i].end() : tokens[min(len(tokens) - 1, i + WINDOW)].end() + 1]
@@ -230,13 +246,13 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _learned_entries(sample: DataFrame, max_entries: int) -> list[tuple[str, bool, float]]:
+def _learned_entries(sample: DataFrame, max_entries: int) -> list[Entry]:
     """sample(text, toxic): distinct texts. Terms and stems whose share among toxic texts stands out."""
     totals = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     if not totals[0] or not totals[1]:
         return []
     tokens = sample.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_\p{M}]+"), F.lit(0)))).alias("token"))
-    counts = tokens.groupBy("token").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    counts = checkpoint(tokens.groupBy("token").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
     odds = F.log((F.col("t") + 0.1) / (totals[0] + 1)) - F.log((F.col("c") + 0.1) / (totals[1] + 1))
     strong = lambda df: df.withColumn("odds", odds).where((F.col("t") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_LOG_ODDS))
     terms = strong(counts.where(F.length("token") >= 3)).orderBy(F.col("odds").desc(), "token").limit(max_entries).collect()
@@ -253,7 +269,21 @@ def _learned_entries(sample: DataFrame, max_entries: int) -> list[tuple[str, boo
             out[r.stem, True] = min(1.0, r.odds / top)
     for r in terms:
         out[r.token, False] = min(1.0, r.odds / top)
-    return [(text, stem, round(w, 6)) for (text, stem), w in sorted(out.items())]
+    entries = [Entry(text, stem, round(w, 6)) for (text, stem), w in sorted(out.items())]
+
+    # An entry may be misspelled unless its one-edit neighbours are words of clean texts.
+    shared = sample.sparkSession.sparkContext.broadcast(entries)
+
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lexicon = Lexicon(shared.value)
+        for batch in batches:
+            found = [lexicon.match(t) for t in batch]
+            yield pd.Series([f[2] if f and f[1] else None for f in found], dtype=object)
+
+    near = counts.select("t", "c", F.pandas_udf(nearest, "string")("token").alias("entry")).where("entry is not null")
+    near = near.groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where((F.col("c") > 0) & (odds < LEAST_LOG_ODDS))
+    exact_only = {r.entry for r in near.collect()}
+    return [e._replace(fuzzy=e.text not in exact_only) for e in entries]
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_entries: int = MAX_ENTRIES) -> Model:
@@ -263,8 +293,6 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     # The bound on learning: rows with the smallest hashes of their ids.
     chosen = marks.orderBy(F.xxhash64(F.lit(11), F.col("_id")), "_id").limit(max_labelled)
     texts = docs.where(F.col(text_col).isNotNull()).join(chosen, docs[id_col] == F.col("_id")).groupBy(F.col(text_col).alias("text")).agg(F.max("toxic").alias("toxic"))
-    from .common import checkpoint
-
     texts = checkpoint(texts.repartition(F.xxhash64("text")))
     entries = _learned_entries(texts, max_entries)
     if not entries:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "ledgermill", **conf: str) -> SparkSession:
@@ -30,3 +31,24 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(root.parent).as_posix())
     context.addPyFile(target)
     context._ledgermill_shipped = True
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, and a temporary one only where that is unset."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` as written to the shared checkpoint folder, without its lineage."""
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Like ``checkpoint``, as a compressed table in the same shared folder; for wide or many rows."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint, materialize
+
 #: Largest table, in rows, that may be broadcast; its size is measured first.
 BROADCAST_ROWS = 20_000
 
@@ -18,29 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, without its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a temporary folder takes its place.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        own = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(own or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Like ``checkpoint``, as a compressed table in the same shared folder; for wide or many rows."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` cut off from its lineage, marked for broadcast if its counted rows stay below ``limit``."""
     df = checkpoint(df)
@@ -69,4 +45,4 @@ def cell_of(key: Column, bits: int) -> Column:
     return F.shiftright(head, 32 - bits).cast("int")
 
 
-__all__ = ["BROADCAST_ROWS", "StorageLevel", "bits_for", "broadcast_if_small", "cell_of", "checkpoint", "let", "materialize", "shuffle_key", "table"]
+__all__ = ["BROADCAST_ROWS", "bits_for", "broadcast_if_small", "cell_of", "checkpoint", "let", "materialize", "shuffle_key", "table"]

@@ -34,9 +34,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from ..session import ship
 from .common import checkpoint
-from .components import connected_components
 from .topk import usable
 
 SAMPLE = 8192

@@ -32,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from ..session import ship
 from .common import checkpoint
-from .components import connected_components
 
 SEED = 42
 #: Distinct fingerprints in one table bucket beyond which the bucket is linked through shared neighbours.

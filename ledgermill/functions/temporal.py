@@ -19,18 +19,22 @@ def micros_between(earlier: Column, later: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", earlier, later)
 
 
+def utc_ntz(ts: Column) -> Column:
+    """An instant as a timestamp without time zone in UTC, whatever the session's zone."""
+    seconds = (F.unix_micros(ts).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
+
+
 def parse_iso(text: Column) -> Column:
     """ISO-8601 text as a timestamp without time zone, in UTC; null if it is none."""
-    clean = F.regexp_replace(text, ",", ".")
-    zoned = F.when(clean.rlike(r"[T ].*" + _OFFSET), True).otherwise(False)
-    moved = F.to_timestamp_ntz(F.date_format(clean.try_cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    return F.when(text.rlike(ISO), F.when(zoned, moved).otherwise(clean.try_cast("timestamp_ntz")))
+    clean = F.replace(text, F.lit(","), F.lit("."))
+    zoned = clean.rlike(r"[T ].*" + _OFFSET)
+    return F.when(text.rlike(ISO), F.when(zoned, utc_ntz(clean.try_cast("timestamp"))).otherwise(clean.try_cast("timestamp_ntz")))
 
 
 def parse_epoch(seconds: Column) -> Column:
     """Epoch seconds as a timestamp without time zone, in UTC."""
-    whole = F.timestamp_micros(F.round(seconds * 1e6).cast("long"))
-    return F.to_timestamp_ntz(F.date_format(whole, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return utc_ntz(F.timestamp_micros(F.round(seconds * 1e6).cast("long")))
 
 
 def iso_text(ts: Column) -> Column:

@@ -1,19 +1,371 @@
-"""Query catalogue: name -> (callable, oracle SQL)."""
+"""Query catalogue: name -> callable over a folder of tables, and the SQL that says the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import autoencoder, communities, enrich, evaluate, explain, feedback, forest, fusion, graph, linkage, motifs, scaling, validate, views
+from ..operators.features import entity_features, entity_geo, touches, with_entities
+from ..session import checkpoint
+from ..settings import FEATURES
+from ..sources import fixtures as fx
+from ..sources.synth import generate
+from . import oracle
+
+Query = Callable[[SparkSession, str], DataFrame]
+WHOLE = ("tx_count", "fan_in", "fan_out", "distinct_ip_count", "distinct_asn_count")
+#: Score stand-ins that SQL can express: three scaled features.
+STAND_INS = {"isolation_forest_score": "tx_count", "autoencoder_score": "amount_mean", "motif_score": "network_obfuscation_score"}
+WIDE_MEDIAN_S = 28_800.0
+
+
+def rounded(df: DataFrame, digits: int = 6, **own: int) -> DataFrame:
+    """Floating columns rounded for comparison."""
+    return df.select(*[F.round(c, own.get(c, digits)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def entities(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.wallet_entities(fx.clean_tx(spark, d))
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    return with_entities(fx.clean_tx(spark, d), entities(spark, d))
+
+
+def features(spark: SparkSession, d: str) -> DataFrame:
+    return entity_features(touches(labelled(spark, d)))
+
+
+def _stand_in_scores(f: DataFrame, names: tuple[str, ...] = tuple(STAND_INS)) -> dict[str, DataFrame]:
+    return {n: scaling.min_max(f.select("entity_id", F.col(STAND_INS[n]).cast("double").alias("x")), "x", n).select("entity_id", F.round(n, 6).alias(n)) for n in names}
+
+
+def _ranking(spark: SparkSession, d: str, names: tuple[str, ...] = tuple(STAND_INS)) -> DataFrame:
+    scores = _stand_in_scores(checkpoint(features(spark, d)), names)
+    wide = fusion.aligned(scores).withColumn("risk_score", F.round(fusion.risk(list(scores), fusion.DEFAULTS.fusion_weights), 6))
+    return fusion.ranked_by(wide, "risk_score").withColumn("is_alert", F.col("risk_score") >= fusion.DEFAULTS.alert_threshold)
+
+
+def _joined(spark: SparkSession, d: str) -> DataFrame:
+    rows = checkpoint(labelled(spark, d))
+    f = entity_features(touches(rows))
+    place = entity_geo(enrich.enrich(rows, fx.geo(spark)))
+    isolation = communities.entity_isolation(rows.select(F.explode(F.array(F.struct(F.col("src_wallet").alias("wallet"), F.col("src_entity").alias("entity_id")), F.struct(F.col("dst_wallet").alias("wallet"), F.col("dst_entity").alias("entity_id")))).alias("e")).select("e.*").distinct(), _component_communities(rows))
+    return fusion.describe(_ranking(spark, d), f, motifs.motif_scores(rows), isolation, place)
+
+
+def _component_communities(rows: DataFrame) -> DataFrame:
+    """A stand-in for communities: the entity of each wallet."""
+    side = F.array(F.struct(F.concat(F.lit("Wallet:"), F.col("src_wallet")).alias("id"), F.col("src_entity").alias("community")), F.struct(F.concat(F.lit("Wallet:"), F.col("dst_wallet")).alias("id"), F.col("dst_entity").alias("community")))
+    return rows.select(F.explode(side).alias("s")).select("s.*").distinct()
+
+
+def _seed(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("W0000001",)], "wallet string")
+
+
+def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    tx = fx.clean_tx(spark, d)
+    return explain.evidence(graph.vertices(tx), graph.edges(tx), _seed(spark))
+
+
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.cluster_truth(entities(spark, d), fx.ground_truth(spark, d))
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.judged(checkpoint(_ranking(spark, d)), checkpoint(_truth(spark, d)))
+
+
+def _peel(spark: SparkSession, d: str) -> DataFrame:
+    return motifs.peel_chain(labelled(spark, d))
+
+
+# ---- queries, by name ----
+
+
+def canonical_tx(spark, d):
+    return fx.tx(spark, d)
+
+
+def validate_clean(spark, d):
+    return validate.validate(fx.dirty(spark, d))[0]
+
+
+def validate_rejects(spark, d):
+    return validate.validate(fx.dirty(spark, d))[1]
+
+
+def reject_reason_counts(spark, d):
+    return validate.validate(fx.dirty(spark, d))[1].groupBy("reject_reason").agg(F.count("*").alias("n"))
+
+
+def union_mixed_sources(spark, d):
+    return fx.tx(spark, d).unionByName(fx.mtx(spark, d)).groupBy(F.substring("tx_id", 1, 2).alias("source"), "asn").agg(F.count("*").alias("n"), F.round(F.sum("amount_btc"), 4).alias("total"))
+
+
+def ip_to_int_public_filter(spark, d):
+    from ..functions.network import ip_to_long, is_public
+
+    rows = fx.tx(spark, d).select(F.col("broadcast_ip").alias("ip")).distinct()
+    return rows.withColumn("ip_number", ip_to_long(F.col("ip"))).withColumn("public", is_public(F.col("ip_number")))
+
+
+def geo_range_join(spark, d):
+    return enrich.enrich(fx.tx(spark, d), fx.geo(spark)).select("tx_id", "broadcast_ip", *enrich.GEO_FIELDS)
+
+
+def graph_vertices(spark, d):
+    return graph.vertices(fx.clean_tx(spark, d))
+
+
+def graph_edges(spark, d):
+    return graph.edges(fx.clean_tx(spark, d))
+
+
+def edge_kind_counts(spark, d):
+    return graph.edges(fx.clean_tx(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def nodes_by_kind(spark, d):
+    return graph.nodes_of_kind(graph.vertices(fx.clean_tx(spark, d)), "IP").select("id", "kind")
+
+
+def wallet_tx_list(spark, d):
+    tx = fx.clean_tx(spark, d)
+    return graph.wallet_transactions(graph.edges(tx), tx.select(F.col("src_wallet").alias("wallet")))
+
+
+def simple_projection(spark, d):
+    return graph.simple_projection(graph.edges(fx.clean_tx(spark, d)))
+
+
+def node_degree(spark, d):
+    return graph.degrees(graph.edges(fx.clean_tx(spark, d)))
+
+
+def evidence_2hop_nodes(spark, d):
+    return _evidence(spark, d)[0].select("id", "kind", F.col("hop").cast("long").alias("hop"))
+
+
+def evidence_induced_edges(spark, d):
+    return _evidence(spark, d)[1]
+
+
+def co_input_links(spark, d):
+    return linkage.co_input_edges(fx.mtx(spark, d))
+
+
+def co_input_merge_counts(spark, d):
+    return linkage.co_input_merges(fx.mtx(spark, d))
+
+
+def pass_through_links(spark, d):
+    return linkage.pass_through(fx.clean_tx(spark, d))
+
+
+def co_broadcast_links(spark, d):
+    return linkage.co_broadcast_edges(fx.clean_tx(spark, d))
+
+
+def wallet_entities(spark, d):
+    return entities(spark, d)
+
+
+def entity_sizes(spark, d):
+    return entities(spark, d).groupBy("entity_id").agg(F.count("*").alias("wallets"))
+
+
+def entity_touches(spark, d):
+    return touches(labelled(spark, d))
+
+
+def entity_features_q(spark, d):
+    return rounded(features(spark, d), 6, inter_tx_time_mean=3, inter_tx_time_std=3, round_trip_time_mean=3)
+
+
+def entity_gap_stats(spark, d):
+    return rounded(features(spark, d).select("entity_id", "inter_tx_time_mean", "inter_tx_time_std"), 3)
+
+
+def entity_geo_q(spark, d):
+    return entity_geo(enrich.enrich(labelled(spark, d), fx.geo(spark)))
+
+
+def motif_peel(spark, d):
+    return _peel(spark, d)
+
+
+def motif_fan(spark, d):
+    return motifs.fan_pattern(labelled(spark, d))
+
+
+def motif_rapid(spark, d):
+    return motifs.rapid_pass_through(labelled(spark, d))
+
+
+def motif_rapid_wide(spark, d):
+    return motifs.rapid_pass_through(labelled(spark, d), WIDE_MEDIAN_S)
+
+
+def motif_combined(spark, d):
+    rows = checkpoint(labelled(spark, d))
+    return rounded(motifs.combine(motifs.peel_chain(rows), motifs.fan_pattern(rows), motifs.rapid_pass_through(rows, WIDE_MEDIAN_S)))
+
+
+def features_standardized(spark, d):
+    return rounded(scaling.standardized(checkpoint(features(spark, d)), list(FEATURES)), 4)
+
+
+def minmax_scores(spark, d):
+    f = checkpoint(features(spark, d))
+    return fusion.aligned(_stand_in_scores(f))
+
+
+def iforest_scores(spark, d):
+    return forest.scores(checkpoint(features(spark, d)))
+
+
+def autoencoder_scores(spark, d):
+    return autoencoder.scores(checkpoint(features(spark, d)))
+
+
+def communities_q(spark, d):
+    return communities.louvain(graph.simple_projection(graph.edges(fx.clean_tx(spark, d))))
+
+
+def community_isolation(spark, d):
+    rows = checkpoint(labelled(spark, d))
+    return rounded(communities.entity_isolation(checkpoint(entities(spark, d)), _component_communities(rows)))
+
+
+def fused_ranking(spark, d):
+    return _ranking(spark, d)
+
+
+def alerts(spark, d):
+    return views.alerts(_ranking(spark, d), 0.3, columns=["entity_id", "risk_score", "rank"])
+
+
+def fused_missing_detector(spark, d):
+    return _ranking(spark, d, ("isolation_forest_score", "motif_score"))
+
+
+def ranked_joined(spark, d):
+    return rounded(_joined(spark, d), 6, inter_tx_time_mean=3, inter_tx_time_std=3, round_trip_time_mean=3)
+
+
+def explanations(spark, d):
+    rows = checkpoint(labelled(spark, d))
+    f = entity_features(touches(rows)).join(motifs.motif_scores(rows), "entity_id", "left")
+    # Minutes come from whole microseconds, so that the one decimal shown is the same everywhere.
+    return f.select("entity_id", explain.sentence().alias("explanation"))
+
+
+def top_features(spark, d):
+    f = scaling.standardized(checkpoint(features(spark, d)), list(FEATURES))
+    values = F.map_from_arrays(F.array(*[F.lit(c) for c in FEATURES]), F.array(*[F.round(c, 3) for c in FEATURES]))
+    top = explain.top_features(values)
+    return f.select("entity_id", F.array_join(F.transform(top, lambda e: e["name"]), ",").alias("names"))
+
+
+def shap_top(spark, d):
+    f = checkpoint(features(spark, d))
+    return forest.explain(f, _ranking(spark, d), forest.fit(f, trees=50), top_n=20)
+
+
+def latest_feedback(spark, d):
+    return feedback.latest(fx.feedback(spark, d))
+
+
+def feedback_ready(spark, d):
+    return feedback.ready(feedback.latest(fx.feedback(spark, d)))
+
+
+def learned_weights(spark, d):
+    f = checkpoint(features(spark, d))
+    weights = feedback.retrain(_stand_in_scores(f), fx.feedback(spark, d)) or {}
+    return spark.createDataFrame([(k, float(v)) for k, v in sorted(weights.items())], "detector string, weight double")
+
+
+def cluster_truth(spark, d):
+    return _truth(spark, d)
+
+
+def confusion(spark, d):
+    return rounded(evaluate.confusion(_judged(spark, d)))
+
+
+def precision_at_k(spark, d):
+    return rounded(evaluate.precision_at(_judged(spark, d)).withColumn("k", F.col("k").cast("long")))
+
+
+def recall_by_typology(spark, d):
+    return rounded(evaluate.recall_by_typology(_judged(spark, d)))
+
+
+def typology_options(spark, d):
+    return views.typologies(motif_combined(spark, d))
+
+
+def alerts_filtered(spark, d):
+    rows = _ranking(spark, d).join(motif_combined(spark, d).select("entity_id", "motif_reasons"), "entity_id", "left")
+    return views.alerts(rows, 0.05, ["peel_chain", "fan_pattern"], ["entity_id", "risk_score", "motif_reasons"])
+
+
+def located_points(spark, d):
+    return views.located(entity_geo_q(spark, d)).select("entity_id", "latitude", "longitude")
+
+
+def entity_lookup(spark, d):
+    return views.wallets_of(entities(spark, d), "entity_W0000000")
+
+
+def kind_view(spark, d):
+    nodes, e = _evidence(spark, d)
+    return views.of_kinds(nodes, e, ["Wallet", "Transaction"])[1]
+
+
+def node_display(spark, d):
+    nodes, e = _evidence(spark, d)
+    nodes, e = checkpoint(nodes), checkpoint(e)
+    return rounded(views.node_display(nodes, e, _seed(spark).select(graph.node_id("Wallet", F.col("wallet")).alias("id"))))
+
+
+def node_details(spark, d):
+    return views.node_details(graph.vertices(fx.clean_tx(spark, d)))
+
+
+def edge_property_endpoints(spark, d):
+    return views.property_endpoints(graph.edges(fx.clean_tx(spark, d)), "kind", ["broadcast_from"])
+
+
+def synthetic_transactions(spark, d):
+    """The generator's transactions; it reads no table."""
+    return generate(spark)[0]
+
+
+_NAMED: dict[str, Query] = {f.__name__.removesuffix("_q"): f for f in (
+    canonical_tx, validate_clean, validate_rejects, reject_reason_counts, union_mixed_sources, ip_to_int_public_filter, geo_range_join,
+    graph_vertices, graph_edges, edge_kind_counts, nodes_by_kind, wallet_tx_list, simple_projection, node_degree, evidence_2hop_nodes, evidence_induced_edges,
+    co_input_links, co_input_merge_counts, pass_through_links, co_broadcast_links, wallet_entities, entity_sizes, entity_touches, entity_features_q, entity_gap_stats, entity_geo_q,
+    motif_peel, motif_fan, motif_rapid, motif_rapid_wide, motif_combined, features_standardized, minmax_scores, iforest_scores, autoencoder_scores, communities_q, community_isolation,
+    fused_ranking, alerts, fused_missing_detector, ranked_joined, explanations, top_features, shap_top, latest_feedback, feedback_ready, learned_weights,
+    cluster_truth, confusion, precision_at_k, recall_by_typology, typology_options, alerts_filtered, located_points, entity_lookup, kind_view, node_display, node_details, edge_property_endpoints, synthetic_transactions,
+)}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """The flagship: entities with features and motifs, ranked by fused stand-in scores."""
+    return ranked_joined(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_NAMED)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements()

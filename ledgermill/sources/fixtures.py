@@ -101,7 +101,9 @@ def geo(spark: SparkSession) -> DataFrame:
 
 
 def _literal(value) -> str:
-    return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value)
+    if value is None:
+        return "NULL"
+    return f"'{value}'" if isinstance(value, str) else f"{value}::DOUBLE" if isinstance(value, float) else str(value)
 
 
 GEO_SQL = "geo(ip_start, ip_end, prefix, country, city, latitude, longitude, asn_org) AS (VALUES " + ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in _geo_rows()) + ")"

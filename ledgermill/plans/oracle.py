@@ -139,10 +139,10 @@ e AS (
 
 EVIDENCE = f"""
 {GRAPH},
-both AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+twoway AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
 h0 AS (SELECT id FROM v WHERE id = 'Wallet:W0000001'),
-h1 AS (SELECT DISTINCT b AS id FROM both WHERE a IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h0)),
-h2 AS (SELECT DISTINCT b AS id FROM both WHERE a IN (SELECT id FROM h1) AND b NOT IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h1)),
+h1 AS (SELECT DISTINCT b AS id FROM twoway WHERE a IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h0)),
+h2 AS (SELECT DISTINCT b AS id FROM twoway WHERE a IN (SELECT id FROM h1) AND b NOT IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h1)),
 near AS (SELECT id, 0::BIGINT AS hop FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2),
 ev_nodes AS (SELECT v.*, hop FROM v JOIN near USING (id)),
 ev_edges AS (SELECT * FROM e WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near))

@@ -208,7 +208,8 @@ def repeated_ranges(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCH
                 yield pd.DataFrame(np.concatenate(out, axis=1).T, columns=["k1", "k2", "at", "n", "off", "h", "c"])
 
     found = materialize(keyed.mapInPandas(find, "k1 long, k2 long, at long, n long, off long, h long, c long"))
-    anchors = found.groupBy("h").agg(F.count("*").alias("times"), (F.min("c") != F.max("c")).alias("mixed")).where("times > 1").select("h", "mixed")
+    # Written out, so that the join below meets two plain shuffles, of which adaptive execution splits a hot anchor's.
+    anchors = checkpoint(found.groupBy("h").agg(F.count("*").alias("times"), (F.min("c") != F.max("c")).alias("mixed")).where("times > 1").select("h", "mixed"))
     shared = materialize(found.join(anchors, "h"))
     contents = shared.where("mixed").groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "at", "n", "off")).alias("one"))
     contents = checkpoint(contents)

@@ -45,7 +45,7 @@ def _stand_in_scores(f: DataFrame, names: tuple[str, ...] = tuple(STAND_INS)) ->
 
 def _ranking(spark: SparkSession, d: str, names: tuple[str, ...] = tuple(STAND_INS)) -> DataFrame:
     scores = _stand_in_scores(checkpoint(features(spark, d)), names)
-    wide = fusion.aligned(scores).withColumn("risk_score", F.round(fusion.risk(list(scores), fusion.DEFAULTS.fusion_weights), 6))
+    wide = fusion.aligned(scores).withColumn("risk_score", F.round(fusion.risk(list(scores), fusion.DEFAULTS.fusion_weights), 9))
     return fusion.ranked_by(wide, "risk_score").withColumn("is_alert", F.col("risk_score") >= fusion.DEFAULTS.alert_threshold)
 
 
@@ -255,7 +255,7 @@ def fused_missing_detector(spark, d):
 
 
 def ranked_joined(spark, d):
-    return rounded(_joined(spark, d), 6, inter_tx_time_mean=3, inter_tx_time_std=3, round_trip_time_mean=3)
+    return rounded(_joined(spark, d), 6, risk_score=9, inter_tx_time_mean=3, inter_tx_time_std=3, round_trip_time_mean=3)
 
 
 def explanations(spark, d):

@@ -93,7 +93,7 @@ def _scores(names: tuple[str, ...] = tuple(_SCALED)) -> str:
 score AS (SELECT entity_id, {cols} FROM feat),
 ranking AS (
   SELECT *, row_number() OVER (ORDER BY risk_score DESC, entity_id) AS rank, risk_score >= {DEFAULTS.alert_threshold} AS is_alert
-  FROM (SELECT *, round(0.0::DOUBLE + {risk}, 6) AS risk_score FROM score))
+  FROM (SELECT *, round(0.0::DOUBLE + {risk}, 9) AS risk_score FROM score))
 """
 
 
@@ -114,9 +114,9 @@ spots AS (SELECT * FROM gt2 WHERE latitude IS NOT NULL AND longitude IS NOT NULL
 place AS (
   SELECT entity_id, country, city FROM (
     SELECT entity_id, country, city, row_number() OVER (PARTITION BY entity_id ORDER BY count(*) DESC, country NULLS LAST, city NULLS LAST) AS r FROM spots GROUP BY entity_id, country, city) WHERE r = 1),
-at AS (SELECT s.* FROM spots s JOIN place p ON s.entity_id = p.entity_id AND s.country IS NOT DISTINCT FROM p.country AND s.city IS NOT DISTINCT FROM p.city),
-lat AS (SELECT entity_id, latitude FROM (SELECT entity_id, latitude, row_number() OVER (PARTITION BY entity_id ORDER BY count(*) DESC, latitude) AS r FROM at GROUP BY entity_id, latitude) WHERE r = 1),
-lon AS (SELECT entity_id, longitude FROM (SELECT entity_id, longitude, row_number() OVER (PARTITION BY entity_id ORDER BY count(*) DESC, longitude) AS r FROM at GROUP BY entity_id, longitude) WHERE r = 1),
+here AS (SELECT s.* FROM spots s JOIN place p ON s.entity_id = p.entity_id AND s.country IS NOT DISTINCT FROM p.country AND s.city IS NOT DISTINCT FROM p.city),
+lat AS (SELECT entity_id, latitude FROM (SELECT entity_id, latitude, row_number() OVER (PARTITION BY entity_id ORDER BY count(*) DESC, latitude) AS r FROM here GROUP BY entity_id, latitude) WHERE r = 1),
+lon AS (SELECT entity_id, longitude FROM (SELECT entity_id, longitude, row_number() OVER (PARTITION BY entity_id ORDER BY count(*) DESC, longitude) AS r FROM here GROUP BY entity_id, longitude) WHERE r = 1),
 egeo AS (
   SELECT c.entity_id, p.country, p.city, lat.latitude, lon.longitude, c.distinct_country_count
   FROM countries c LEFT JOIN place p USING (entity_id) LEFT JOIN lat USING (entity_id) LEFT JOIN lon USING (entity_id))

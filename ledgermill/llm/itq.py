@@ -78,6 +78,10 @@ def _segment(code: Column, at: int, width: int) -> Column:
     return F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def _filed_under(points: Column, seg: int) -> Column:
+    return F.transform(points, lambda p: F.struct(F.lit(seg).alias("seg"), p.alias("point")))
+
+
 def _meeting_point(a: Column, b: Column) -> Column:
     """The smallest value within one bit of both segment values, which differ in two bits at most."""
     diff, both = a.bitwiseXOR(b), a.bitwiseAND(b)
@@ -184,7 +188,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, id_col: str
     for s, (at, w) in enumerate(SEGMENTS):
         own = _segment(F.col("code"), at, w)
         points = F.concat(F.array(own), F.array(*[own.bitwiseXOR(F.lit(1 << b)) for b in range(w)]))
-        filings.append(F.transform(points, lambda p, s=s: F.struct(F.lit(s).alias("seg"), p.alias("point"))))
+        filings.append(_filed_under(points, s))
     filed = coded.select("id", "code", F.explode(F.concat(*filings)).alias("f")).select("id", "code", "f.*")
     sizes = filed.groupBy("seg", "point").agg(F.count("*").alias("n")).where("n > 1")
     shared = checkpoint(filed.join(sizes, ["seg", "point"]))

@@ -115,12 +115,14 @@ def scan(docs: DataFrame, *, templates: Mapping[str, tuple[str, ...]] = TEMPLATE
     one = lambda i: F.xxhash64(*[F.element_at(F.col("wh"), (i + k).cast("int")) for k in range(size)])
     hits = hashed.withColumn("hits", F.filter(starts, lambda i: one(i).isin(everything)))
     # Window w of a class begins at shingle w * m; a hit lies in up to two of them.
-    plans = []
-    for m, shingles in sorted(by_class.items()):
-        own = F.filter("hits", lambda i, s=shingles: one(i).isin(s))
-        at = F.transform(own, lambda i, m=m: F.floor((i - 1) / m).cast("int"))
-        both = F.array_distinct(F.concat(at, F.filter(F.transform(at, lambda w: w - 1), lambda w: w >= 0)))
-        plans.append(F.transform(both, lambda w, m=m: F.struct(F.lit(m).alias("class"), (w * m).alias("begin"))))
+
+    def windows_of(m: int, shingles: list[int]) -> Column:
+        own = F.filter("hits", lambda i: one(i).isin(shingles))
+        at = F.transform(own, lambda i: F.floor((i - 1) / m).cast("int"))
+        before = F.filter(F.transform(at, lambda w: w - 1), lambda w: w >= 0)
+        return F.transform(F.array_distinct(F.concat(at, before)), lambda w: F.struct(F.lit(m).alias("class"), (w * m).alias("begin")))
+
+    plans = [windows_of(m, shingles) for m, shingles in sorted(by_class.items())]
     # Outer explodes: for others Spark infers a filter, pushes it down and hashes a text anew for each of its words.
     windows = hits.select("_id", "wh", F.explode_outer(F.concat(*plans)).alias("w")).where("w is not null").select("_id", "wh", "w.*")
     last = F.least(F.col("begin") + 2 * F.col("class"), F.size("wh") - (size - 1))

@@ -24,6 +24,7 @@ empty results; other columns are passed by.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -103,11 +104,11 @@ class Search:
         self.pruned = self.scored = 0
         width = max(queries.shape[1], 1)
         top = max(np.abs(queries).max(initial=0), np.abs(data).max(initial=0))
-        self.exact = float(top) ** 2 * width < 2**53
+        self.exact = top < math.sqrt(2**53 / width)
         self.best = np.full((len(queries), k), -np.inf) if self.exact else np.full((len(queries), k), None, object)
         self.ids = np.full((len(queries), k), -1, np.int64)
         self.kth = np.full(len(queries), -np.inf)
-        self.fast = (self.q.astype(float), self.d.astype(float))
+        self.fast = (self.q.astype(float), self.d.astype(float)) if self.exact else None
 
     def run(self) -> tuple[np.ndarray, np.ndarray]:
         if len(self.q) and len(self.d):
@@ -160,13 +161,13 @@ class Search:
 
 
 def _whole(vectors: pd.Series, width: int, scale: float) -> np.ndarray:
+    """floor(scale * x), as Python integers if any is beyond what a double holds exactly."""
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
-    out = np.floor(out * scale)
-    if np.abs(out).max(initial=0) >= 2**53:
-        return np.array([[int(x) for x in row] for row in out], dtype=object).reshape(out.shape)
-    return out
+    if np.abs(out).max(initial=0) * 2 < 2**53 / max(abs(scale), 1):
+        return np.floor(out * scale)
+    return np.array([[math.floor(Fraction(float(x)) * Fraction(scale)) for x in row] for row in out], dtype=object).reshape(out.shape)
 
 
 def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:

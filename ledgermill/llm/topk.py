@@ -155,9 +155,10 @@ class Search:
             return
         for q in qs:
             own = [int(x) for x in self.q[q]]
-            found = [(-sum(x * int(y) for x, y in zip(own, self.d[d], strict=True)), int(self.di[d])) for d in ds if self.di[d] != self.qi[q]]
-            for i, (score, vec_id) in enumerate(sorted(found)[: self.k]):
-                self.best[q, i], self.ids[q, i] = min(max(-score, _LONG[0]), _LONG[1]), vec_id
+            scores = [(sum(x * int(y) for x, y in zip(own, self.d[d], strict=True)), int(self.di[d])) for d in ds if self.di[d] != self.qi[q]]
+            found = sorted((-min(max(score, _LONG[0]), _LONG[1]), vec_id) for score, vec_id in scores)
+            for i, (score, vec_id) in enumerate(found[: self.k]):
+                self.best[q, i], self.ids[q, i] = -score, vec_id
 
 
 def _whole(vectors: pd.Series, width: int, scale: float) -> np.ndarray:

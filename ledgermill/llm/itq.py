@@ -55,7 +55,8 @@ def learn_rotation(sample: np.ndarray, bits: int = BITS, rounds: int = 50, seed:
     width = sample.shape[1]
     mean = sample.mean(axis=0) if len(sample) else np.zeros(width)
     centred = sample - mean
-    _, _, axes = np.linalg.svd(centred, full_matrices=True) if len(sample) else (None, None, np.eye(width))
+    # Principal axes from the covariance, which is as small as the vectors are short.
+    axes = np.linalg.eigh(centred.T @ centred)[1].T[::-1]
     rng = np.random.default_rng(seed)
     main = axes[: min(bits, width)].T
     if bits > width:  # more bits than dimensions: random directions fill up

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 #: Encoded words, and stretches between white space, that a worker remembers before it starts afresh.
-REMEMBERED = 350_000
+REMEMBERED = 120_000
 #: Longer ones are not remembered.
 REMEMBERED_LENGTH = 64
 #: Python splits at these, the vocabulary's white space leaves them out.

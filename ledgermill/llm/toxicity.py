@@ -173,7 +173,7 @@ class Model:
 class Scorer:
     """Features of texts under one lexicon. It remembers tokens up to a bound."""
 
-    REMEMBERED = 400_000
+    REMEMBERED = 120_000
 
     def __init__(self, entries: list[Entry]):
         self.lexicon = Lexicon(entries)

@@ -75,9 +75,10 @@ def test_gradients():
         net.load(flat)
 
 
-def test_louvain_finds_cliques(spark):
+@pytest.mark.parametrize("local_edges", [0, 1000])
+def test_louvain_finds_cliques(spark, local_edges):
     pairs = [(f"{c}{i}", f"{c}{j}") for c in "abc" for i in range(6) for j in range(i + 1, 6)] + [("a0", "b0"), ("b1", "c0")]
-    found = communities.louvain(spark.createDataFrame(pairs, "a string, b string"))
+    found = communities.louvain(spark.createDataFrame(pairs, "a string, b string"), rounds=4, max_levels=3, local_edges=local_edges)
     groups = {}
     for r in found.collect():
         groups.setdefault(r.community, set()).add(r.id[0])

@@ -181,9 +181,9 @@ def brute_lines(docs, min_sites, min_chars):
     sites = defaultdict(set)
     for _, text, site in docs:
         for line in (text or "").split("\n") if text is not None else []:
-            sites[line.strip(" \t\r ")].add(site)
+            sites[line.strip(" \t\r")].add(site)
     gone = {line for line, s in sites.items() if len(s) >= min_sites and len(line) >= min_chars}
-    return {i: None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" \t\r ") not in gone) for i, t, _ in docs}
+    return {i: None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" \t\r") not in gone) for i, t, _ in docs}
 
 
 def test_lines_like_brute_force(spark):

@@ -66,5 +66,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_substrings, op4_simhash, op5_topk, op6_itq, op7_lines, op8_licenses, op9_sharding, op10_mixing)}
 
 
+_TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings),
+pairs AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.e, d.e) AS BIGINT) AS score FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 5
+"""
+
+_LINES_SQL = f"""
+WITH split AS (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents),
+line AS (SELECT doc_id, source, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM split),
+bare AS (SELECT *, trim(x, ' ' || chr(9) || chr(13)) AS b FROM line),
+gone AS (SELECT b FROM bare WHERE length(b) >= {lines.MIN_CHARS} GROUP BY b HAVING count(DISTINCT coalesce('s' || source, 'none')) >= {lines.MIN_SITES}),
+marked AS (SELECT bare.*, gone.b IS NOT NULL AS out FROM bare LEFT JOIN gone ON bare.b = gone.b)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (out) AS n_removed, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT out), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the two queries that it can express. ``documents`` has unique ids and no null texts there."""
+    return {"op5_topk": _TOPK_SQL, "op7_lines": _LINES_SQL}

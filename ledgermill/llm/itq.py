@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import ship
-from .common import checkpoint
+from .common import broadcast_if_small, checkpoint
 from .topk import usable
 
 SAMPLE = 8192
@@ -191,12 +191,13 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, id_col: str
         points = F.concat(F.array(own), F.array(*[own.bitwiseXOR(F.lit(1 << b)) for b in range(w)]))
         filings.append(_filed_under(points, s))
     filed = coded.select("id", "code", F.explode(F.concat(*filings)).alias("f")).select("id", "code", "f.*")
-    sizes = filed.groupBy("seg", "point").agg(F.count("*").alias("n")).where("n > 1")
-    shared = checkpoint(filed.join(sizes, ["seg", "point"]))
+    sizes = filed.groupBy("seg", "point").agg(F.count("*").alias("n"))
+    crowded = broadcast_if_small(sizes.where(F.col("n") > cold_bucket))
 
-    cold = shared.where(F.col("n") <= cold_bucket)
+    cold = filed.join(crowded, ["seg", "point"], "left_anti")
     other = cold.select("seg", "point", F.col("id").alias("id2"), F.col("code").alias("code2"))
-    pairs = cold.join(other, ["seg", "point"]).where((F.col("id") < F.col("id2")) & (F.bit_count(F.col("code").bitwiseXOR(F.col("code2"))) <= FAR_CODE) & _canonical_here("code", "code2")).select("id", "id2")
+    close_codes = F.bit_count(F.col("code").bitwiseXOR(F.col("code2"))) <= FAR_CODE
+    pairs = cold.join(other, ["seg", "point"]).where((F.col("id") < F.col("id2")) & close_codes & _canonical_here("code", "code2")).select("id", "id2")
     second = linkable.select(F.col("id").alias("id2"), F.col("v").alias("v2"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
     one, two = F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs))), F.transform("v2", lambda x: x / F.array_max(F.transform("v2", F.abs)))
@@ -205,7 +206,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, id_col: str
     close = checkpoint(close)
 
     parts = F.ceil(F.col("n") / part).cast("int")
-    hot = shared.where(F.col("n") > cold_bucket).withColumn("p", parts).withColumn("part", F.pmod(F.xxhash64(F.lit(3), F.col("id")), F.col("p")).cast("int"))
+    hot = filed.join(crowded, ["seg", "point"]).withColumn("p", parts).withColumn("part", F.pmod(F.xxhash64(F.lit(3), F.col("id")), F.col("p")).cast("int"))
     hot = hot.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).withColumn("i", F.least("part", "with")).withColumn("j", F.greatest("part", "with"))
     hot = hot.join(linkable, "id").select("seg", "point", "i", "j", "part", "id", "code", "v")
     tied = hot.groupBy("seg", "point", "i", "j").applyInPandas(lambda b: _block(b, threshold), "id long, n long, least long")

@@ -136,11 +136,11 @@ def test_simhash_components_of_odd_rows(spark):
 # ---- vectors ----
 
 
-@pytest.mark.parametrize(("cold", "part"), [(32, 512), (2, 3)])
-def test_itq_recall(spark, cold, part):
+@pytest.mark.parametrize(("cold", "part", "n", "groups"), [(32, 512, 300, 60), (8, 6, 40, 2)])
+def test_itq_recall(spark, cold, part, n, groups):
     rng = np.random.default_rng(4)
-    base = rng.standard_normal((60, 64))
-    rows = [base[i % 60] + rng.standard_normal(64) * rng.choice([0.02, 0.1, 0.2]) for i in range(300)]
+    base = rng.standard_normal((groups, 64))
+    rows = [base[i % groups] + rng.standard_normal(64) * rng.choice([0.02, 0.1, 0.2]) for i in range(n)]
     rows += [rows[0], rows[0] * 3, -rows[0]]
     data = [(i, [float(x) for x in r], i % 3) for i, r in enumerate(rows)]
     bad = [(1000, None, 0), (1001, [0.0] * 64, 0), (1002, [float("nan")] * 64, 0), (1003, [None] + [1.0] * 63, 0), (1004, [], 0), (None, data[0][1], 0), (0, data[0][1], 0)]

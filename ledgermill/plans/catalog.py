@@ -103,8 +103,16 @@ def reject_reason_counts(spark, d):
     return validate.validate(fx.dirty(spark, d))[1].groupBy("reject_reason").agg(F.count("*").alias("n"))
 
 
+def _mixed_sources(tx: DataFrame, mtx: DataFrame) -> DataFrame:
+    return tx.unionByName(mtx).groupBy(F.substring("tx_id", 1, 2).alias("source"), "asn").agg(F.count("*").alias("n"), F.round(F.sum("amount_btc"), 4).alias("total"))
+
+
 def union_mixed_sources(spark, d):
-    return fx.tx(spark, d).unionByName(fx.mtx(spark, d)).groupBy(F.substring("tx_id", 1, 2).alias("source"), "asn").agg(F.count("*").alias("n"), F.round(F.sum("amount_btc"), 4).alias("total"))
+    return _mixed_sources(fx.tx(spark, d), fx.mtx(spark, d))
+
+
+def union_mixed_sources_all(spark, d):
+    return _mixed_sources(fx.tx(spark, d), fx.mtx(spark, d, whole=True))
 
 
 def ip_to_int_public_filter(spark, d):
@@ -163,6 +171,14 @@ def co_input_merge_counts(spark, d):
     return linkage.co_input_merges(fx.mtx(spark, d))
 
 
+def co_input_links_all(spark, d):
+    return linkage.co_input_edges(fx.mtx(spark, d, whole=True))
+
+
+def co_input_merge_counts_all(spark, d):
+    return linkage.co_input_merges(fx.mtx(spark, d, whole=True))
+
+
 def pass_through_links(spark, d):
     return linkage.pass_through(fx.clean_tx(spark, d))
 
@@ -351,7 +367,7 @@ def synthetic_transactions(spark, d):
 _NAMED: dict[str, Query] = {f.__name__.removesuffix("_q"): f for f in (
     canonical_tx, validate_clean, validate_rejects, reject_reason_counts, union_mixed_sources, ip_to_int_public_filter, geo_range_join,
     graph_vertices, graph_edges, edge_kind_counts, nodes_by_kind, wallet_tx_list, simple_projection, node_degree, evidence_2hop_nodes, evidence_induced_edges,
-    co_input_links, co_input_merge_counts, pass_through_links, co_broadcast_links, wallet_entities, entity_sizes, entity_touches, entity_features_q, entity_gap_stats, entity_geo_q,
+    co_input_links, co_input_merge_counts, co_input_links_all, co_input_merge_counts_all, union_mixed_sources_all, pass_through_links, co_broadcast_links, wallet_entities, entity_sizes, entity_touches, entity_features_q, entity_gap_stats, entity_geo_q,
     motif_peel, motif_fan, motif_rapid, motif_rapid_wide, motif_combined, features_standardized, minmax_scores, iforest_scores, autoencoder_scores, communities_q, community_isolation,
     fused_ranking, alerts, fused_missing_detector, ranked_joined, explanations, top_features, shap_top, latest_feedback, feedback_ready, learned_weights,
     cluster_truth, confusion, precision_at_k, recall_by_typology, typology_options, alerts_filtered, located_points, entity_lookup, kind_view, node_display, node_details, edge_property_endpoints, synthetic_transactions,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..settings import DEFAULTS, FEATURES
-from ..sources.fixtures import CLEAN_SQL, DIRTY_SQL, FB_SQL, GEO_SQL, GT_SQL, MTX_SQL, TX_SQL
+from ..sources.fixtures import CLEAN_SQL, DIRTY_SQL, FB_SQL, GEO_SQL, GT_SQL, MTX_ALL_SQL, MTX_SQL, TX_SQL
 
 US = "(epoch_us({b}) - epoch_us({a}))"
 
@@ -192,7 +192,16 @@ def _with(ctes: str, body: str) -> str:
     return f"WITH RECURSIVE {ctes.strip()}\n{body}"
 
 
+#: Queries over all rows of a fixture, by the statement of the query over its part.
+_WHOLE_TABLE = {f"{name}_all": (name, MTX_SQL, MTX_ALL_SQL) for name in ("union_mixed_sources", "co_input_links", "co_input_merge_counts")}
+
+
 def statements() -> dict[str, str]:
+    found = _statements()
+    return found | {name: found[of].replace(part.strip(), whole.strip()) for name, (of, part, whole) in _WHOLE_TABLE.items()}
+
+
+def _statements() -> dict[str, str]:
     lookup = GEO_LOOKUP.format(rows="tx")
     top = "CAST(count(*) AS BIGINT)"
     isolation = """

@@ -56,9 +56,11 @@ def clean_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx(spark, sf_dir).where("src_wallet <> dst_wallet and not amount_btc <= 0")
 
 
-def mtx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transactions with several inputs."""
-    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity = 1")
+def mtx(spark: SparkSession, sf_dir: str, *, whole: bool = False) -> DataFrame:
+    """Transactions with several inputs: those of quantity 1, as MTX_SQL has them, or of all line items."""
+    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    if not whole:
+        item = item.where("l_quantity = 1")
     return item.select(
         F.concat(F.lit("ord"), F.col("l_orderkey").cast("string")).alias("tx_id"),
         F.col("l_shipdate").cast("timestamp_ntz").alias("timestamp"),
@@ -77,6 +79,7 @@ mtx AS (
          l_extendedprice AS amount_btc, '90.1.' || (l_suppkey // 250) || '.' || (l_suppkey % 250) AS broadcast_ip, 'AS' || (1000 + l_suppkey % 8) AS asn
   FROM lineitem WHERE l_quantity = 1)
 """
+MTX_ALL_SQL = MTX_SQL.replace(" WHERE l_quantity = 1", "")
 
 # (block, country, city, latitude, longitude, organisation)
 _BLOCKS = (

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from ledgermill.operators import linkage, motifs
 from ledgermill.operators.components import connected_components
 from ledgermill.operators.features import entity_features, touches, with_entities
+from ledgermill.plans import catalog
 
 SCHEMA = "tx_id string, timestamp timestamp_ntz, src_wallet string, dst_wallet string, amount_btc double, broadcast_ip string, asn string"
 T0 = datetime(2026, 1, 1)
@@ -128,3 +129,12 @@ def test_fan_flags_when_the_last_transfer_is_internal(spark):
     rows = labelled(spark, chain, lambda w: "E")
     assert flags(motifs.fan_pattern(rows)) == {"E": 1.0}
     assert flags(motifs.peel_chain(rows)) == {"E": 0.0}
+
+
+def test_whole_fixture_has_every_line_item(spark, tmp_path):
+    rows = [(1, 1, 9, 1.0), (1, 2, 9, 30.0), (1, 3, 9, 2.0), (2, 4, 9, 7.0), (2, 4, 9, 1.0), (3, 5, 9, 1.0)]
+    items = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double")
+    items.selectExpr("*", "10.0D as l_extendedprice", "timestamp'2026-01-01' as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    links = {(r.a, r.b) for r in catalog.co_input_links_all(spark, str(tmp_path)).collect()}
+    assert links == {("P0000002", "P0000001"), ("P0000003", "P0000001")}
+    assert {r.tx_id: r.merges for r in catalog.co_input_merge_counts_all(spark, str(tmp_path)).collect()} == {"ord1": 2, "ord2": 1}

@@ -72,12 +72,12 @@ def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return explain.evidence(graph.vertices(tx), graph.edges(tx), _seed(spark))
 
 
-def _truth(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.cluster_truth(entities(spark, d), fx.ground_truth(spark, d))
+def _truth(spark: SparkSession, d: str, *, whole: bool = False) -> DataFrame:
+    return evaluate.cluster_truth(entities(spark, d), fx.ground_truth(spark, d, whole=whole))
 
 
-def _judged(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.judged(checkpoint(_ranking(spark, d)), checkpoint(_truth(spark, d)))
+def _judged(spark: SparkSession, d: str, *, whole: bool = False) -> DataFrame:
+    return evaluate.judged(checkpoint(_ranking(spark, d)), checkpoint(_truth(spark, d, whole=whole)))
 
 
 def _peel(spark: SparkSession, d: str) -> DataFrame:
@@ -323,6 +323,22 @@ def recall_by_typology(spark, d):
     return rounded(evaluate.recall_by_typology(_judged(spark, d)))
 
 
+def cluster_truth_all(spark, d):
+    return _truth(spark, d, whole=True)
+
+
+def confusion_all(spark, d):
+    return rounded(evaluate.confusion(_judged(spark, d, whole=True)))
+
+
+def precision_at_k_all(spark, d):
+    return rounded(evaluate.precision_at(_judged(spark, d, whole=True)).withColumn("k", F.col("k").cast("long")))
+
+
+def recall_by_typology_all(spark, d):
+    return rounded(evaluate.recall_by_typology(_judged(spark, d, whole=True)))
+
+
 def typology_options(spark, d):
     return views.typologies(motif_combined(spark, d))
 
@@ -370,7 +386,7 @@ _NAMED: dict[str, Query] = {f.__name__.removesuffix("_q"): f for f in (
     co_input_links, co_input_merge_counts, co_input_links_all, co_input_merge_counts_all, union_mixed_sources_all, pass_through_links, co_broadcast_links, wallet_entities, entity_sizes, entity_touches, entity_features_q, entity_gap_stats, entity_geo_q,
     motif_peel, motif_fan, motif_rapid, motif_rapid_wide, motif_combined, features_standardized, minmax_scores, iforest_scores, autoencoder_scores, communities_q, community_isolation,
     fused_ranking, alerts, fused_missing_detector, ranked_joined, explanations, top_features, shap_top, latest_feedback, feedback_ready, learned_weights,
-    cluster_truth, confusion, precision_at_k, recall_by_typology, typology_options, alerts_filtered, located_points, entity_lookup, kind_view, node_display, node_details, edge_property_endpoints, synthetic_transactions,
+    cluster_truth, confusion, precision_at_k, recall_by_typology, cluster_truth_all, confusion_all, precision_at_k_all, recall_by_typology_all, typology_options, alerts_filtered, located_points, entity_lookup, kind_view, node_display, node_details, edge_property_endpoints, synthetic_transactions,
 )}
 
 

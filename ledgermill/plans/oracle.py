@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..settings import DEFAULTS, FEATURES
-from ..sources.fixtures import CLEAN_SQL, DIRTY_SQL, FB_SQL, GEO_SQL, GT_SQL, MTX_ALL_SQL, MTX_SQL, TX_SQL
+from ..sources.fixtures import CLEAN_SQL, DIRTY_SQL, FB_SQL, GEO_SQL, GT_ALL_SQL, GT_SQL, MTX_ALL_SQL, MTX_SQL, TX_SQL
 
 US = "(epoch_us({b}) - epoch_us({a}))"
 
@@ -194,6 +194,7 @@ def _with(ctes: str, body: str) -> str:
 
 #: Queries over all rows of a fixture, by the statement of the query over its part.
 _WHOLE_TABLE = {f"{name}_all": (name, MTX_SQL, MTX_ALL_SQL) for name in ("union_mixed_sources", "co_input_links", "co_input_merge_counts")}
+_WHOLE_TABLE |= {f"{name}_all": (name, GT_SQL, GT_ALL_SQL) for name in ("cluster_truth", "confusion", "precision_at_k", "recall_by_typology")}
 
 
 def statements() -> dict[str, str]:

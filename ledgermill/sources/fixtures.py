@@ -112,9 +112,11 @@ def _literal(value) -> str:
 GEO_SQL = "geo(ip_start, ip_end, prefix, country, city, latitude, longitude, asn_org) AS (VALUES " + ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in _geo_rows()) + ")"
 
 
-def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """True entities with their wallets as a list in text."""
-    users = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 10 = 0").select("user_id").distinct()
+def ground_truth(spark: SparkSession, sf_dir: str, *, whole: bool = False) -> DataFrame:
+    """True entities with their wallets as a list in text: those of every tenth user, as GT_SQL has them, or of all users."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+    if not whole:
+        users = users.where("user_id % 10 = 0")
     group = F.floor(F.col("user_id") / 20).cast("long")
     rows = users.groupBy(group.alias("g")).agg(F.array_join(F.sort_array(F.collect_set(_padded("W", F.col("user_id"), 7))), ";").alias("wallets"))
     kind = F.element_at(F.array(*[F.lit(t) for t in ("none", "peel_chain", "mixer_fan_in_out", "structuring", "ip_hopping")]), (F.col("g") % 5 + 1).cast("int"))
@@ -128,6 +130,7 @@ gt AS (
   FROM (SELECT DISTINCT user_id // 20 AS g, 'W' || lpad(CAST(user_id AS VARCHAR), 7, '0') AS w FROM events WHERE user_id % 10 = 0)
   GROUP BY g)
 """
+GT_ALL_SQL = GT_SQL.replace(" WHERE user_id % 10 = 0", "")
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:

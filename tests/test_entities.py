@@ -10,6 +10,7 @@ from ledgermill.operators import linkage, motifs
 from ledgermill.operators.components import connected_components
 from ledgermill.operators.features import entity_features, touches, with_entities
 from ledgermill.plans import catalog
+from ledgermill.sources import fixtures
 
 SCHEMA = "tx_id string, timestamp timestamp_ntz, src_wallet string, dst_wallet string, amount_btc double, broadcast_ip string, asn string"
 T0 = datetime(2026, 1, 1)
@@ -138,3 +139,9 @@ def test_whole_fixture_has_every_line_item(spark, tmp_path):
     links = {(r.a, r.b) for r in catalog.co_input_links_all(spark, str(tmp_path)).collect()}
     assert links == {("P0000002", "P0000001"), ("P0000003", "P0000001")}
     assert {r.tx_id: r.merges for r in catalog.co_input_merge_counts_all(spark, str(tmp_path)).collect()} == {"ord1": 2, "ord2": 1}
+
+
+def test_whole_truth_has_every_user(spark, tmp_path):
+    spark.range(1, 48).selectExpr("id as user_id").write.parquet(f"{tmp_path}/events.parquet")
+    truth = {r.entity_id: r.wallets.split(";") for r in fixtures.ground_truth(spark, str(tmp_path), whole=True).collect()}
+    assert truth == {f"true_{g}": [f"W{u:07d}" for u in range(1, 48) if u // 20 == g] for g in range(3)}

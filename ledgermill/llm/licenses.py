@@ -7,14 +7,15 @@ window. Each band is one MinHash value: with a template's share of the window at
 its worst 0.18 (a template half as long as its class allows, with one shingle in five
 altered) 48 bands collide at least once with a probability of 1 - 0.82^48, or 99.99 %.
 Templates that a band retrieves count if the window contains at least ``min_containment`` of
-their shingles.
+their shingles. A template of fewer words than a shingle is one shingle of its own length; windows
+for it hold shingles of that length, and are signed and verified alike.
 
 A band's value can equal a template's only where the window holds a shingle of that
 template. So windows without any template shingle, nearly all of a corpus, are not
 signed: leaving them out changes no result. Templates are a fixed list of parameters, so
 that their bands are a small table. Everything is built-in functions.
 
-Defined cases: null, empty and blank texts, and texts of fewer words than a shingle, have no
+Defined cases: null, empty and blank texts, and texts of fewer words than the shortest template, have no
 match; windows are cut at the end of a text; passages repeated within a text give one row per
 template, with the best containment; rows that share an id are reported together; rows with a
 null id are reported under null; empty tables give empty results; other columns are passed by.
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ SHINGLE = 5
 BANDS = 48
 MIN_CONTAINMENT = 0.8
 
-# Public license notices, by SPDX identifier.
+# Public license notices, by SPDX identifier or a LicenseRef where there is none.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -57,6 +58,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.",),
     "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "LicenseRef-All-Rights-Reserved": ("All rights reserved.",),
 }
 
 
@@ -74,6 +76,11 @@ def _hash_shingles(word_hashes: Column, positions: Column, size: int) -> Column:
     return F.transform(positions, lambda i: F.xxhash64(*[F.element_at(word_hashes, (i + k).cast("int")) for k in range(size)]))
 
 
+def _shingles_by_size(first: Column, last: Column, sizes: Collection[int]) -> Column:
+    """Hashes of the shingles of ``wh`` that begin from first to last, of as many words as the column ``size`` says."""
+    return F.coalesce(*[F.when(F.col("size") == k, _hash_shingles(F.col("wh"), F.sequence(first, last), k)) for k in sorted(sizes)], F.array().cast("array<bigint>"))
+
+
 def _signature(window: Column, bands: int) -> Column:
     """array<struct<band, value>> of an array of shingle hashes."""
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.array_min(F.transform(window, lambda h: F.xxhash64(h, b))).alias("value")))
@@ -85,18 +92,22 @@ def _class_of(shingles: int) -> int:
 
 
 def template_table(spark, templates: Mapping[str, tuple[str, ...]], size: int, bands: int) -> DataFrame:
-    """(license, part, m, shingles, class, signature), hashed by the same functions as texts."""
+    """(license, part, size, m, shingles, class, signature), hashed by the same functions as texts.
+
+    size is the shingle's length in words: that of the template if it is shorter.
+    """
     rows = []
     for name, texts in sorted(templates.items()):
         for part, text in enumerate(texts):
             words = template_words(text)
-            if len(words) < size:
-                raise ValueError(f"a template of {name} has fewer than {size} words")
-            rows.append((name, part, words, _class_of(len(words) - size + 1)))
-    schema = T.StructType([T.StructField("license", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("class", T.IntegerType())])
+            if not words:
+                raise ValueError(f"a template of {name} has no words")
+            own = min(size, len(words))
+            rows.append((name, part, words, own, _class_of(len(words) - own + 1)))
+    schema = T.StructType([T.StructField("license", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("size", T.IntegerType()), T.StructField("class", T.IntegerType())])
     table = spark.createDataFrame(rows, schema).withColumn("wh", F.transform("words", lambda w: F.xxhash64(w)))
-    table = table.withColumn("shingles", F.array_distinct(_hash_shingles(F.col("wh"), F.sequence(F.lit(1), F.size("wh") - (size - 1)), size)))
-    return table.select("license", "part", F.size("shingles").alias("m"), "shingles", "class", _signature(F.col("shingles"), bands).alias("signature"))
+    table = table.withColumn("shingles", F.array_distinct(_shingles_by_size(F.lit(1), F.size("wh") - (F.col("size") - 1), {r[3] for r in rows})))
+    return table.select("license", "part", "size", F.size("shingles").alias("m"), "shingles", "class", _signature(F.col("shingles"), bands).alias("signature"))
 
 
 def scan(docs: DataFrame, *, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, size: int = SHINGLE, bands: int = BANDS, min_containment: float = MIN_CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,32 +117,37 @@ def scan(docs: DataFrame, *, templates: Mapping[str, tuple[str, ...]] = TEMPLATE
     """
     spark = docs.sparkSession
     fixed = [r.asDict() for r in template_table(spark, templates, size, bands).collect()]  # as long as the parameter
-    by_class: dict[int, list[int]] = {}
+    by_class: dict[tuple[int, int], list[int]] = {}
     for r in fixed:
-        by_class.setdefault(r["class"], []).extend(r["shingles"])
-    everything = sorted({h for hs in by_class.values() for h in hs})
-    hashed = docs.select(F.col(id_col).alias("_id"), F.transform(_words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("wh"))
-    starts = F.when(F.size("wh") >= size, F.sequence(F.lit(1), F.size("wh") - (size - 1))).otherwise(F.array().cast("array<int>"))
-    one = lambda i: F.xxhash64(*[F.element_at(F.col("wh"), (i + k).cast("int")) for k in range(size)])
-    hits = hashed.withColumn("hits", F.filter(starts, lambda i: one(i).isin(everything)))
+        by_class.setdefault((r["size"], r["class"]), []).extend(r["shingles"])
+    sizes = sorted({k for k, _ in by_class})
+    one = lambda i, k: F.xxhash64(*[F.element_at(F.col("wh"), (i + j).cast("int")) for j in range(k)])
+    hits = docs.select(F.col(id_col).alias("_id"), F.transform(_words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("wh"))
+
+    def hits_of(k: int) -> Column:
+        everything = sorted({h for (own, _), hs in by_class.items() if own == k for h in hs})
+        starts = F.when(F.size("wh") >= k, F.sequence(F.lit(1), F.size("wh") - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.filter(starts, lambda i: one(i, k).isin(everything))
+
+    hits = hits.select("_id", "wh", *[hits_of(k).alias(f"hits_{k}") for k in sizes])
     # Window w of a class begins at shingle w * m; a hit lies in up to two of them.
 
-    def windows_of(m: int, shingles: list[int]) -> Column:
-        own = F.filter("hits", lambda i: one(i).isin(shingles))
+    def windows_of(k: int, m: int, shingles: list[int]) -> Column:
+        own = F.filter(f"hits_{k}", lambda i: one(i, k).isin(shingles))
         at = F.transform(own, lambda i: F.floor((i - 1) / m).cast("int"))
         before = F.filter(F.transform(at, lambda w: w - 1), lambda w: w >= 0)
-        return F.transform(F.array_distinct(F.concat(at, before)), lambda w: F.struct(F.lit(m).alias("class"), (w * m).alias("begin")))
+        return F.transform(F.array_distinct(F.concat(at, before)), lambda w: F.struct(F.lit(k).alias("size"), F.lit(m).alias("class"), (w * m).alias("begin")))
 
-    plans = [windows_of(m, shingles) for m, shingles in sorted(by_class.items())]
+    plans = [windows_of(k, m, shingles) for (k, m), shingles in sorted(by_class.items())]
     # Outer explodes: for others Spark infers a filter, pushes it down and hashes a text anew for each of its words.
     windows = hits.select("_id", "wh", F.explode_outer(F.concat(*plans)).alias("w")).where("w is not null").select("_id", "wh", "w.*")
-    last = F.least(F.col("begin") + 2 * F.col("class"), F.size("wh") - (size - 1))
-    signed = windows.select("_id", "class", "begin", _hash_shingles(F.col("wh"), F.sequence(F.col("begin") + 1, last), size).alias("window"))
-    asked = signed.withColumn("s", F.explode_outer(_signature(F.col("window"), bands))).select("_id", "class", "begin", "window", "s.band", "s.value")
-    rows = [(r["license"], r["part"], r["class"], r["m"], s["band"], s["value"], r["shingles"]) for r in fixed for s in r["signature"]]
-    small = spark.createDataFrame(rows, "license string, part int, class int, m int, band int, value long, shingles array<long>")
+    last = F.least(F.col("begin") + 2 * F.col("class"), F.size("wh") - (F.col("size") - 1))
+    signed = windows.select("_id", "size", "class", "begin", _shingles_by_size(F.col("begin") + 1, last, sizes).alias("window"))
+    asked = signed.withColumn("s", F.explode_outer(_signature(F.col("window"), bands))).select("_id", "size", "class", "begin", "window", "s.band", "s.value")
+    rows = [(r["license"], r["part"], r["size"], r["class"], r["m"], s["band"], s["value"], r["shingles"]) for r in fixed for s in r["signature"]]
+    small = spark.createDataFrame(rows, "license string, part int, size int, class int, m int, band int, value long, shingles array<long>")
     # A row for each template and band, with no relation to the data.
-    met = asked.join(F.broadcast(small), ["class", "band", "value"])
+    met = asked.join(F.broadcast(small), ["size", "class", "band", "value"])
     share = F.size(F.array_intersect("window", "shingles")) / F.col("m")
     best = F.max_by(F.struct("containment", "begin"), F.struct("containment", -F.col("begin")))
     found = met.select("_id", "license", "begin", share.alias("containment")).where(F.col("containment") >= min_containment)
@@ -141,13 +157,14 @@ def scan(docs: DataFrame, *, templates: Mapping[str, tuple[str, ...]] = TEMPLATE
 def brute_force(text: str | None, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, size: int = SHINGLE, min_containment: float = MIN_CONTAINMENT) -> set[str]:
     """The licenses whose shingles some window of the class length contains, for tests."""
     words = template_words(text or "")
-    shingles = [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
+    spans = lambda of, k: [tuple(of[i : i + k]) for i in range(len(of) - k + 1)]
     found = set()
     for name, texts in templates.items():
         for t in texts:
             own = template_words(t)
-            wanted = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)}
-            m = _class_of(len(own) - size + 1)
+            k = min(size, len(own))
+            shingles, wanted = spans(words, k), set(spans(own, k))
+            m = _class_of(len(own) - k + 1)
             windows = (set(shingles[at : at + 2 * m]) for at in range(0, len(shingles), m))
             if any(len(wanted & w) / len(wanted) >= min_containment for w in windows):
                 found.add(name)

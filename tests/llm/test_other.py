@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import zlib
 
@@ -157,6 +158,30 @@ def test_licenses_like_brute_force(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+#: The notice lines that documents holds.
+NOTICES = {
+    "All rights reserved.": "LicenseRef-All-Rights-Reserved",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "Released under the MIT License.": "MIT",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_notice_lines_of_the_table_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = {(r.doc_id, NOTICES[line]) for r in docs.select("doc_id", "text").collect() for line in map(str.strip, (r.text or "").split("\n")) if line in NOTICES}
+    assert {name for _, name in held} == set(NOTICES.values())
+    assert held <= {(r.doc_id, r.license) for r in licenses.scan(docs).collect()}
+
+
+def test_short_notices_are_found_anywhere(spark):
+    texts = ["All rights reserved.", "x all RIGHTS\nreserved y", "all rights", "all rights are reserved", "rights reserved all", "w " * 500 + "(c) all rights reserved"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in licenses.scan(docs).collect()) == [0, 1, 5]
+
+
 # ---- sharding and mixing ----
 
 

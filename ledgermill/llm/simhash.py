@@ -113,22 +113,42 @@ def near_links(distinct: DataFrame, *, distance: int = 2, hot_bucket: int = HOT_
     return direct.unionByName(stars.select("a", "b"))
 
 
+def _fingerprint_components(classes: DataFrame, *, distance: int, hot_bucket: int) -> DataFrame:
+    """``classes`` (one row per fp) with the fingerprint that names the component of each."""
+    parts = connected_components(near_links(classes.select("fp"), distance=distance, hot_bucket=hot_bucket))
+    return classes.join(parts, classes.fp == parts.id, "left").select(*classes.columns, F.coalesce("component", "fp").alias("component"))
+
+
 def simhash_components(docs: DataFrame, *, distance: int = 2, id_col: str = "doc_id", text_col: str = "text", hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """One row per row of ``docs``: id, fp (signed long), component_id (smallest id reachable)."""
     prints = checkpoint(fingerprints(docs, id_col=id_col, text_col=text_col))
     classes = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    parts = connected_components(near_links(classes.select("fp"), distance=distance, hot_bucket=hot_bucket))
-    named = classes.join(parts, classes.fp == parts.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = _fingerprint_components(classes, distance=distance, hot_bucket=hot_bucket)
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     owners = named.join(smallest, "component").select(F.col("fp").alias("of"), "component_id")
     return prints.join(owners, prints.fp == owners.of).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def _row_keys(docs: DataFrame, text_col: str) -> list:
+    """Hashes of a row's text and of the whole row; a null counts apart from a value that is left out."""
+    plain = lambda c, t: F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if "<" in t or t == "variant" else F.col(c)
+    whole = F.xxhash64(*[x for c, t in docs.dtypes for x in (F.col(c).isNull(), plain(c, t))])
+    return [F.xxhash64(text_col).alias("_text_key"), whole.alias("_row_key")]
+
+
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest id stays.
+    """``docs`` without near-duplicates: of each component one row stays, that with the smallest id.
 
-    Rows that share that id are one document written more than once; one of them stays.
-    Rows with a null id stay if their component has no other.
+    Rows of a component that share that id go by the hashes of text and row, and of equal rows one stays.
+    A row with a null id stays only if its component has no other. Components do not touch
+    each other: unrelated texts stay although their ids are null or the same.
     """
-    kept = simhash_components(docs, distance=distance, id_col=id_col, text_col=text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
+    ship(docs.sparkSession)
+    keys = _row_keys(docs, text_col)
+    prints = docs.select(F.col(id_col).alias("id"), F.pandas_udf(_fingerprints, "long")(F.col(text_col)).alias("fp"), *keys)
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "_text_key", "_row_key")).alias("first")
+    classes = checkpoint(prints.groupBy("fp").agg(first))
+    named = _fingerprint_components(classes, distance=distance, hot_bucket=HOT_BUCKET)
+    kept = named.groupBy("component").agg(F.min("first").alias("first")).select("first._text_key", "first._row_key")
+    marked = docs.select("*", *keys).join(kept, ["_text_key", "_row_key"], "left_semi")
+    return marked.dropDuplicates(["_text_key", "_row_key"]).select(*docs.columns)

@@ -133,6 +133,15 @@ def test_simhash_components_of_odd_rows(spark):
     assert simhash.simhash_components(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays_whatever_its_id(spark):
+    apart = [" ".join(f"{k}{w}" for w in "abcdefgh") for k in ("red", "blue", "green", "grey", "pink")]
+    rows = [(None, apart[0], 1), (None, apart[1], 2), (None, apart[2], 3), (7, apart[2], 3), (8, apart[3], 4), (8, apart[4], 5), (9, apart[3], 4), (8, apart[4], 5), (None, apart[0], 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    for frame in (docs, docs.repartition(5)):
+        got = simhash.deduplicated(frame).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, {rows[0], rows[1], rows[3], rows[4], rows[5]}))
+
+
 # ---- vectors ----
 
 

@@ -290,7 +290,7 @@ def top_features(spark, d):
 
 def shap_top(spark, d):
     f = checkpoint(features(spark, d))
-    return forest.explain(f, _ranking(spark, d), forest.fit(f, trees=50), top_n=20)
+    return forest.explain(f, _ranking(spark, d), forest.fit(f))
 
 
 def latest_feedback(spark, d):

@@ -9,8 +9,8 @@ import pandas as pd
 import pytest
 
 from ledgermill.operators import autoencoder, communities, evaluate, explain, feedback, forest, fusion, graph, scaling, views
-from ledgermill.plans import batch
-from ledgermill.settings import FEATURES
+from ledgermill.plans import batch, catalog
+from ledgermill.settings import DEFAULTS, FEATURES
 from ledgermill.sources import readers, sinks, synth
 
 
@@ -192,3 +192,13 @@ def test_graph_counts(spark):
     assert graph.edges(tx).count() == 8
     assert graph.vertices(tx).count() == 6
     assert graph.wallet_transactions(graph.edges(tx), spark.createDataFrame([("A",)], "wallet string")).count() == 2
+
+
+def test_shap_top_has_the_settings_of_the_scores(monkeypatch):
+    seen = {}
+    for name in ("features", "checkpoint", "_ranking"):
+        monkeypatch.setattr(catalog, name, lambda *_: None)
+    monkeypatch.setattr(forest, "fit", lambda f, trees=DEFAULTS.forest_trees, **_: trees)
+    monkeypatch.setattr(forest, "explain", lambda f, ranked, model, top_n=DEFAULTS.explained_top: seen.update(trees=model, top_n=top_n))
+    catalog.shap_top(None, "")
+    assert seen == {"trees": DEFAULTS.forest_trees, "top_n": DEFAULTS.explained_top}

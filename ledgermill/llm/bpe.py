@@ -6,9 +6,11 @@ new pairs go in, and entries whose symbols have changed since are skipped when t
 up. Decoding joins vocabulary strings as the vocabulary's library does without a
 decoder, with one space between tokens.
 
-Words repeat, so that each worker keeps a bounded memory of encoded words, and of whole
-stretches between white space, which no word crosses: most of a text costs one split and one
-look-up per stretch. Vocabulary and merges travel
+Words repeat, so that each worker keeps a bounded memory of what it has encoded, in two
+generations: what the younger one lacks comes over from the older one, and when the younger is
+full it takes the older one's place, so that frequent words are never forgotten. Whole stretches
+between white space, which no word crosses, are remembered like words: most of a text costs one
+split and one look-up per stretch. Vocabulary and merges travel
 as one broadcast of fixed size; executors need not have the file.
 
 Defined cases: null and empty texts encode to no tokens; texts of any length are encoded
@@ -19,10 +21,11 @@ empty tables give empty results; other columns are passed by.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import pandas as pd
 import regex
@@ -30,11 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .common import resident
 
-#: Encoded words, and stretches between white space, that a worker remembers before it starts afresh.
-REMEMBERED = 120_000
+#: Encoded words and stretches between white space in one generation of a worker's memory.
+REMEMBERED = 200_000
 #: Longer ones are not remembered.
 REMEMBERED_LENGTH = 64
+#: Bits of a symbol's number within the key of a pair.
+_SHIFT = 24
 #: Python splits at these, the vocabulary's white space leaves them out.
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
 
@@ -53,121 +59,129 @@ class WordBpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
-        self.ranks: dict[tuple[str, str], int] = {}
-        for rank, pair in enumerate(model["merges"]):
-            left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks[left, right] = rank
-        self.pairs = {rank: pair for pair, rank in self.ranks.items()}
+        merges = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
+        letters = byte_letters()
+        # Symbols have numbers: those of the vocabulary its ids, the rest what follows.
+        self.known_ids = max(self.vocab.values()) + 1
+        number = dict(self.vocab)
+        for symbol in [*letters.values(), *[s + self.end for s in letters.values()], *[x for left, right in merges for x in (left, right, left + right)]]:
+            number.setdefault(symbol, max(self.known_ids, len(number)))
+        self.inner = [number[letters[b]] for b in range(256)]
+        self.final = [number[letters[b] + self.end] for b in range(256)]
+        self.ranks = {number[left] << _SHIFT | number[right]: rank for rank, (left, right) in enumerate(merges)}
+        self.whole = [number[left + right] for left, right in merges]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split)
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.letters = byte_letters()
-        self.memory: dict[str, tuple[str, int, str]] = {}
-        self.stretches: dict[str, tuple[str, int, str]] = {}
+        self.digits = {i: str(i) for i in self.strings}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def load(cls, path: str) -> WordBpe:
         with open(path, encoding="utf-8") as f:
             return cls(json.load(f))
 
-    def merge(self, word: str) -> list[str]:
-        """The symbols of one word after all merges."""
-        symbols = list(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
-        symbols[-1] += self.end
-        n = len(symbols)
-        if n == 1:
-            return symbols
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        ranks, pairs = self.ranks, self.pairs
-        # An entry is rank * n + position: the lowest rank first, then the leftmost.
-        queue = [rank * n + i for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)) if (rank := ranks.get(pair)) is not None]
-        heapq.heapify(queue)
-        while queue:
-            rank, i = divmod(heapq.heappop(queue), n)
-            j, (left, right) = after[i], pairs[rank]
-            if j < 0 or symbols[i] != left or symbols[j] != right:
-                continue  # stale: one of the two has merged elsewhere since
-            symbols[i], symbols[j] = whole, _ = left + right, None
-            after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-                if (rank := ranks.get((whole, symbols[k]))) is not None:
-                    heapq.heappush(queue, rank * n + i)
-            if (h := before[i]) >= 0 and (rank := ranks.get((symbols[h], whole))) is not None:
-                heapq.heappush(queue, rank * n + h)
-        return [s for s in symbols if s is not None]
-
-    def _word(self, word: str) -> tuple[str, int, str]:
-        """(ids joined by spaces, their number, token strings joined by spaces)."""
-        if (found := self.memory.get(word)) is None:
-            tokens = [s for s in self.merge(word) if s in self.vocab]
-            found = " ".join([str(self.vocab[s]) for s in tokens]), len(tokens), " ".join(tokens)
-            self._keep(self.memory, word, found)
-        return found
-
-    @staticmethod
-    def _keep(memory: dict, key: str, found) -> None:
+    def merge(self, word: str) -> tuple[int, ...]:
+        """The ids of one word after all merges."""
+        data = word.encode("utf-8", "surrogatepass")
+        n = len(data)
+        symbols = [self.inner[b] for b in data]
+        symbols[-1] = self.final[data[-1]]
+        if n > 1:
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+            get, whole = self.ranks.get, self.whole
+            # The rank of the merge that each symbol has with the next one, or -1.
+            due = [get(a << _SHIFT | b, -1) for a, b in zip(symbols, symbols[1:], strict=False)]
+            due.append(-1)
+            # An entry is rank * n + position: the lowest rank first, then the leftmost.
+            queue = [rank * n + i for i, rank in enumerate(due) if rank >= 0]
+            heapify(queue)
+            while queue:
+                rank, i = divmod(heappop(queue), n)
+                if due[i] != rank:
+                    continue  # stale: one of the two has merged elsewhere since
+                j = after[i]
+                symbols[i] = symbol = whole[rank]
+                symbols[j] = -1
+                after[i], due[j], due[i] = (k := after[j]), -1, -1
+                if k < n:
+                    before[k] = i
+                    if (rank := get(symbol << _SHIFT | symbols[k], -1)) >= 0:
+                        due[i] = rank
+                        heappush(queue, rank * n + i)
+                if (h := before[i]) >= 0:
+                    due[h] = rank = get(symbols[h] << _SHIFT | symbol, -1)
+                    if rank >= 0:
+                        heappush(queue, rank * n + h)
+        limit = self.known_ids
+        return tuple([s for s in symbols if 0 <= s < limit])
+
+    def _keep(self, key: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(key) <= REMEMBERED_LENGTH:
-            if len(memory) >= REMEMBERED:
-                memory.clear()
-            memory[key] = found
-
-    def _stretch(self, stretch: str) -> tuple[str, int, str]:
-        """The same of what stands between white space, lower-cased."""
-        found = [f for word in self.words.findall(stretch) if (f := self._word(word))[1]]
-        joined = " ".join([f[0] for f in found]), sum([f[1] for f in found]), " ".join([f[2] for f in found])
-        self._keep(self.stretches, stretch, joined)
-        return joined
+            if len(self.young) >= REMEMBERED:
+                self.old, self.young = self.young, {}
+            self.young[key] = ids
+        return ids
+
+    def _stretch(self, stretch: str) -> tuple[int, ...]:
+        """The ids of what stands between white space, lower-cased."""
+        if (ids := self.young.get(stretch)) is not None:  # met earlier in the same text
+            return ids
+        if (ids := self.old.get(stretch)) is not None:
+            return self._keep(stretch, ids)
+        words = self.words.findall(stretch)
+        if words == [stretch]:
+            return self._keep(stretch, self.merge(stretch))
+        return self._keep(stretch, tuple([i for word in words for i in self._word(word)]))
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        if (ids := self.young.get(word)) is not None:
+            return ids
+        # A word that would be split further on its own is not looked up as a stretch.
+        return self._stretch(word) if self.words.findall(word) == [word] else self.merge(word)
 
     @staticmethod
     def _lower(text: str) -> str:
         # Letter by letter: no final sigma from its place in a word.
         return text.lower() if "Σ" not in text else "σ".join(p.lower() for p in text.split("Σ"))
 
-    def pieces(self, text: str) -> list[tuple[str, int, str]]:
-        """(ids joined by spaces, their number, token strings joined by spaces) of each stretch of the text."""
+    def encode(self, text: str | None) -> list[int]:
+        """The ids of a whole text."""
+        if not text:
+            return []
         parts = self.specials.split(text) if self.specials and any(s in text for s in self.special) else [text]
-        known, out = self.stretches, []
+        out: list[int] = []
         for part in parts:
             if part in self.special:
-                out.append((str(self.special[part]), 1, part))
+                out.append(self.special[part])
             elif part:
                 lower = self._lower(part if part.isascii() else unicodedata.normalize("NFC", part))
                 if _NOT_SPACE.search(lower):
-                    out += [self._word(word) for word in self.words.findall(lower)]
+                    found = [self._word(word) for word in self.words.findall(lower)]
                 else:
                     stretches = lower.split()
-                    found = list(map(known.get, stretches))
+                    found = list(map(self.young.get, stretches))
                     if None in found:
-                        found = [f or known.get(s) or self._stretch(s) for f, s in zip(found, stretches, strict=True)]
-                    out += found
+                        found = [self._stretch(s) if f is None else f for f, s in zip(found, stretches, strict=True)]
+                out += chain.from_iterable(found)
         return out
 
-    def encode(self, text: str | None) -> list[int]:
-        return [int(i) for ids, n, _ in self.pieces(text or "") if n for i in ids.split(" ")]
-
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(self.strings[i] for i in ids)
+    def decode(self, ids: Iterable[int]) -> str:
+        return " ".join(map(self.strings.__getitem__, ids))
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
-        """Number of tokens, and SHA-256 of the ids and of the decoded text."""
-        found = [p for p in self.pieces(text or "") if p[1]]
-        ids = " ".join([p[0] for p in found])
-        decoded = " ".join([p[2] for p in found])
-        return ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
-
-
-_loaded: dict[int, WordBpe] = {}
+        """Number of tokens, and SHA-256 of the ids and of the text that they decode to."""
+        ids = self.encode(text)
+        written = " ".join(map(self.digits.__getitem__, ids))
+        return len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _on_executor(shared) -> WordBpe:
-    """One tokenizer per Python worker; its memory of words outlives a task."""
-    if shared.id not in _loaded:
-        _loaded.clear()
-        _loaded[shared.id] = WordBpe(json.loads(shared.value))
-    return _loaded[shared.id]
+    """The worker's tokenizer; its memory outlives a task."""
+    return resident(("bpe", shared.id), lambda: WordBpe(json.loads(shared.value)))
 
 
 class _Shared:

@@ -3,7 +3,8 @@
 A byte is removed if a string of ``length`` bytes that covers it also starts anywhere
 else. Texts are anchored by content: of the ``anchor`` byte strings within a window of
 ``length`` bytes, the one with the smallest hash is the window's anchor. Equal windows
-have equal anchors, so that only windows with a common anchor need comparing. Runs of
+have equal anchors, so that only windows with a common anchor need comparing. Texts with very many
+copies go as a whole; one copy of each stays as a partner for others. Runs of
 windows with the same anchor form a segment; segments go through three steps.
 
 1. Segments are counted by anchor and content, as hashes. Most anchors occur once and
@@ -20,8 +21,9 @@ anchor share a longer core, which takes the anchor's place. A task that still me
 group narrows the range further, down to single windows. So no task holds more of a group than it
 has distinct neighbourhoods, and nothing is dropped.
 
-Hashes only select what is compared, but for whole segments, whose equality rests on 64 bits
-within the same 64-bit anchor.
+Hashes only select what is compared, but for whole texts and whole segments: the equality of texts
+rests on 128 bits, that of segments on 64 bits within the same 64-bit anchor. Texts, anchors and
+contents that very many rows share are joined where those rows are.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` have nothing
 to remove; matches do not cross texts but may overlap, also within one text; repeated rows, even
@@ -43,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import checkpoint, materialize
+from .common import HOT_KEY, broadcast_if_small, checkpoint, join_hot, materialize
 from .gsaca import suffix_array
 
 LENGTH = 400
@@ -186,15 +188,28 @@ def _bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def _keys(id_col: str, text_col: str) -> list[Column]:
-    """128 bits that tell rows apart by id and text."""
-    return [F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)).alias("k1"), F.xxhash64(F.lit(2), F.col(text_col), F.col(id_col)).alias("k2")]
+KEY = ["k1", "k2"]
 
 
-def repeated_ranges(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
-    """(k1, k2, first, last): ranges of window starts that recur, for rows keyed by ``_keys``."""
-    ship(docs.sparkSession)
-    keyed = docs.where(F.octet_length(text_col) >= length).select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
+def _keys(text: Column) -> list[Column]:
+    """128 bits that tell texts apart."""
+    return [F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(text, F.lit(2)).alias("k2")]
+
+
+def copied_texts(keyed: DataFrame, least: int = HOT_KEY) -> DataFrame:
+    """keyed(k1, k2, ...) -> (k1, k2) of the texts that more than ``least`` rows have."""
+    return broadcast_if_small(keyed.groupBy(*KEY).agg(F.count("*").alias("times")).where(F.col("times") > least).select(*KEY))
+
+
+def repeated_ranges(keyed: DataFrame, copied: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, crowded: int = CROWDED) -> DataFrame:
+    """(k1, k2, first, last): ranges of window starts that recur, of the texts that are not ``copied``.
+
+    keyed(k1, k2, text): the texts of ``length`` bytes and more; ``copied``: their ``copied_texts``.
+    """
+    ship(keyed.sparkSession)
+    # Of texts with very many copies, one takes part.
+    partners = materialize(keyed.join(copied, KEY).groupBy(*KEY).agg(F.first("text").alias("text")))
+    keyed = keyed.join(copied, KEY, "left_anti").unionByName(partners)
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -208,14 +223,13 @@ def repeated_ranges(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCH
                 yield pd.DataFrame(np.concatenate(out, axis=1).T, columns=["k1", "k2", "at", "n", "off", "h", "c"])
 
     found = materialize(keyed.mapInPandas(find, "k1 long, k2 long, at long, n long, off long, h long, c long"))
-    # Written out, so that the join below meets two plain shuffles, of which adaptive execution splits a hot anchor's.
-    anchors = checkpoint(found.groupBy("h").agg(F.count("*").alias("times"), (F.min("c") != F.max("c")).alias("mixed")).where("times > 1").select("h", "mixed"))
-    shared = materialize(found.join(anchors, "h"))
+    anchors = checkpoint(found.groupBy("h").agg(F.count("*").alias("times"), (F.min("c") != F.max("c")).alias("mixed")).where("times > 1"))
+    shared = materialize(join_hot(found, anchors, ["h"]).drop("times"))
     contents = shared.where("mixed").groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "at", "n", "off")).alias("one"))
     contents = checkpoint(contents)
     kinds = contents.groupBy("h").agg(F.count("*").alias("kinds"))
-    again = contents.where("times > 1").select("h", "c")
-    whole = shared.where("not mixed").select("k1", "k2", "at", "n").unionByName(shared.where("mixed").join(again, ["h", "c"], "left_semi").select("k1", "k2", "at", "n"))
+    again = contents.where("times > 1").select("h", "c", "times")
+    whole = shared.where("not mixed").select("k1", "k2", "at", "n").unionByName(join_hot(shared.where("mixed"), again, ["h", "c"]).select("k1", "k2", "at", "n"))
     whole = whole.select("k1", "k2", F.col("at").alias("first"), (F.col("at") + F.col("n") - 1).alias("last"))
 
     wanted = contents.join(kinds, "h").select("one.*", "h", (F.col("times") > 1).alias("whole"), (F.col("kinds") > crowded).alias("crowded"))
@@ -263,12 +277,24 @@ def repeated_ranges(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCH
     return whole.unionByName(marked)
 
 
-def substring_report(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED, keep: bool = False) -> DataFrame:
+def substring_report(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED, hot_text: int = HOT_KEY, keep: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep`` the kept bytes and the spans."""
-    ranges = repeated_ranges(docs, length=length, anchor=anchor, id_col=id_col, text_col=text_col, crowded=crowded)
-    each = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *_keys(id_col, text_col))
-    fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<struct<first:long,end:long>>" if keep else "")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    short, long = rows.where(size < length), rows.where(size >= length).select("id", *_keys(F.col("text")), "text")
+    keyed = long.select(*KEY, "text")
+    copied = copied_texts(keyed, hot_text)
+    ranges = repeated_ranges(keyed, copied, length=length, anchor=anchor, crowded=crowded)
+    each = ranges.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("ranges"))  # rows with one text find the same
+    span = "array<struct<first:long,end:long>>"
+
+    def settled(df: DataFrame, gone: bool) -> DataFrame:
+        """The report of texts that go, or stay, as a whole."""
+        kept = F.encode(F.lit("") if gone else F.coalesce("text", F.lit("")), "UTF-8")
+        spans = F.array(F.struct(F.lit(0).cast("long").alias("first"), size.alias("end"))) if gone else F.array()
+        return df.select(F.col("id").alias(id_col), size.alias("n_bytes"), (size if gone else F.lit(0)).cast("long").alias("n_removed"), F.lit(int(gone)).cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"), *([kept.alias("kept"), spans.cast(span).alias("spans")] if keep else []))
+
+    fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (f", kept binary, spans {span}" if keep else "")
 
     def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, found in batches:
@@ -285,8 +311,9 @@ def substring_report(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANC
                 out.append((*row, rest, [{"first": a, "end": b} for a, b in spans]) if keep else row)
             yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] if keep else [])])
 
-    joined = keyed.join(each, ["k1", "k2"], "left")
-    return joined.select(F.col("id").alias(id_col), F.pandas_udf(apply, fields)("text", "ranges").alias("r")).select(id_col, "r.*")
+    once = long.join(copied, KEY, "left_anti").join(each, KEY, "left")
+    once = once.select(F.col("id").alias(id_col), F.pandas_udf(apply, fields)("text", "ranges").alias("r")).select(id_col, "r.*")
+    return once.unionByName(settled(long.join(copied, KEY, "left_semi"), True)).unionByName(settled(short, False))
 
 
 def brute_force(texts: list[str | None], length: int) -> list[tuple[int, int, int, str]]:

@@ -54,15 +54,29 @@ def _texts(rng):
 
 
 @pytest.mark.parametrize("crowded", [1, 256])
-def test_substrings_like_brute_force(spark, crowded):
+def test_substrings_like_brute_force(spark, crowded, monkeypatch):
+    if crowded == 1:
+        monkeypatch.setattr("ledgermill.llm.common.join_hot.__defaults__", ("inner", 2))
     texts = _texts(random.Random(11))
     docs = spark.createDataFrame([(i if i % 9 else None, i, t) for i, t in enumerate(texts)], "doc_id long, n_bytes long, text string")
-    got = substrings.substring_report(docs, length=40, anchor=8, crowded=crowded).collect()
+    got = substrings.substring_report(docs, length=40, anchor=8, crowded=crowded, hot_text=1 if crowded == 1 else 1000).collect()
     want = substrings.brute_force(texts, 40)
     ids = [i if i % 9 else None for i in range(len(texts))]
     assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, *w)) for i, w in zip(ids, want, strict=True))
 
 
+@pytest.mark.parametrize("hot", [100, 1000])
+def test_many_equal_rows_take_linear_time(spark, hot):
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(4000))
+    docs = spark.createDataFrame([(1, text)] * 600 + [(2, text[:9000] + "!"), (3, None), (1, "short")], "doc_id long, text string")
+    got = substrings.substring_report(docs, hot_text=hot, keep=True).collect()
+    assert len(got) == 603
+    assert all((r.n_removed, r.n_spans, bytes(r.kept)) == (len(text), 1, b"") for r in got if r.doc_id == 1 and r.n_bytes > 5)
+    (other,) = [r for r in got if r.doc_id == 2]
+    assert (other.n_removed, other.n_spans, bytes(other.kept)) == (9000, 1, b"!")
+
+
 def test_large_groups_narrow_alike(monkeypatch):
     rng = random.Random(3)
     groups = defaultdict(set)

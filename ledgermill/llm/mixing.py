@@ -8,16 +8,26 @@ x and y and sizes a and b transfer mass (a dx = -b dy, so that the words taken s
 same) until one of the two is integral, in a random direction whose odds keep each
 expectation. What is left is one fractional document for each group; those meet in the
 next level of a reduction tree, up to the last one of a source, which is rounded alone.
-So a source misses its target by less than one document. Groups are random; inside a
-group large documents meet first, so that the one left over is mostly a small one.
+A large document left over would miss the target by much, and the many small ones of its source
+could not make up for it one by one. So documents above a thousandth of their source
+are rounded first, in descending order, each against all smaller ones of its source taken together:
+what it gains or loses, their fractions lose or gain in proportion, which keeps sums and expectations;
+only a draw that would settle all of these and leave the document itself open, as can happen at the
+very end, gives way to the other one. That takes one small array for each source. The smaller documents then enter the tree with what
+is left of their fractions. A source misses its target by less than one of its smallest
+documents, or a thousandth of its size, unless a single document outweighs all others of its source.
 
 The tree is built of groups of about ``fan_in`` documents: every level is one shuffle of
 the narrow residuals and one native fold, and the number of levels grows with
-the logarithm of the rows. All draws are hashes of ids, so that reruns agree.
+the logarithm of the rows. All draws are hashes of rows, so that reruns agree.
+
+Rows that agree in every column form one unit: as many whole copies as their number times the
+fraction holds, and one fractional copy that is rounded like a document.
 
 Defined cases: a null text has size 0; documents of size 0 take 0 words; a null source is a
-source of its own, ordered last; rows that agree in id, source and size stand or fall
-together; with no words at all every target is 0; an empty table gives an empty result.
+source of its own, ordered last; ids may be null, repeated and of any type; texts of any length
+count whole; with no words at all every target is 0; an empty table gives an empty result;
+``mix_sources`` passes other columns by and ``mixed_documents`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +37,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bits_for, broadcast_if_small, cell_of, checkpoint, let, shuffle_key
+from .common import bits_for, broadcast_if_small, cell_of, checkpoint, let, repeated, row_keys, shuffle_key
 
 WORD = r"[^\x20\x09-\x0D]+"
-ITEM = "struct<id:bigint,size:bigint,n:bigint,x:double>"
+#: Documents of a larger share of their source are rounded one by one; so there are at most 1 / GIANT of them.
+GIANT = 0.001
+ITEM = "struct<k1:bigint,k2:bigint,size:bigint,x:double>"
 
 
 def word_count(text: Column) -> Column:
@@ -38,24 +50,23 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sized: DataFrame, *, weights: Sequence[float], share: float, max_repeats: float) -> DataFrame:
-    """sized(_name, _none, size) -> one row per source with source_size and target.
+    """sized(name, none, size) -> one row per source with source_size and target.
 
     The resharing has a closed form. With sources ordered by limit over weight, let
     level_k be what a unit of weight gets if exactly the sources before k are at their
     limits. The level that holds is the largest one.
     """
-    sums = sized.groupBy("_name", "_none").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy("_none", "_name")  # one row for each source from here on
+    sums = sized.groupBy("name", "none").agg(F.sum("size").alias("source_size"))
+    order = Window.orderBy("none", "name")  # one row for each source from here on
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights)) + 1)
     limits = sums.withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(float(max_repeats)))
-    everything = Window.orderBy(F.col("limit") / F.col("weight"), "_none", "_name")
+    everything = Window.orderBy(F.col("limit") / F.col("weight"), "none", "name")
     past = everything.rowsBetween(Window.unboundedPreceding, -1)
-    rest = everything.rowsBetween(0, Window.unboundedFollowing)
     full = everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     budget = F.sum("source_size").over(full) * F.lit(float(share))
-    level = (budget - F.coalesce(F.sum("limit").over(past), F.lit(0.0))) / F.sum("weight").over(rest)
+    level = (budget - F.coalesce(F.sum("limit").over(past), F.lit(0.0))) / (F.sum("weight").over(full) - F.coalesce(F.sum("weight").over(past), F.lit(0.0)))
     levels = limits.withColumn("level", level)
-    return levels.withColumn("target", F.least("limit", F.col("weight") * F.max("level").over(full))).select("_name", "_none", "source_size", "target")
+    return levels.withColumn("target", F.least("limit", F.col("weight") * F.max("level").over(full))).select("name", "none", "source_size", "target")
 
 
 def _unit(seed: int, *parts: Column) -> Column:
@@ -68,13 +79,13 @@ def _fold(items: Column, seed: int, level: int) -> Column:
     none = F.lit(None).cast(ITEM)
 
     def item(of: Column, x: Column) -> Column:
-        return F.struct(of["id"].alias("id"), of["size"].alias("size"), of["n"].alias("n"), x.cast("double").alias("x"))
+        return F.struct(of["k1"].alias("k1"), of["k2"].alias("k2"), of["size"].alias("size"), x.cast("double").alias("x"))
 
     def meet(state: Column, new: Column) -> Column:
         def pair(old: Column) -> Column:
-            a, b = (old["size"] * old["n"]).cast("double"), (new["size"] * new["n"]).cast("double")
+            a, b = old["size"].cast("double"), new["size"].cast("double")
             # up: the old one gains, the new one loses; down: the reverse. Both in copies of the old one.
-            draw = _unit(seed, old["id"], new["id"], old["size"], new["size"], F.lit(level))
+            draw = _unit(seed, old["k1"], new["k1"], old["k2"], new["k2"], F.lit(level))
             moves = F.struct(F.least(1 - old["x"], new["x"] * b / a).alias("up"), F.least(old["x"], (1 - new["x"]) * b / a).alias("down"), (a / b).alias("ratio"), draw.alias("draw"))
 
             def move(m: Column) -> Column:
@@ -104,31 +115,117 @@ def _fold(items: Column, seed: int, level: int) -> Column:
     return F.aggregate(items, start, meet)
 
 
-def pivotal_round(units: DataFrame, *, seed: int, rows: int, fan_in: int = 64) -> DataFrame:
-    """units(_name, _none, id, size, n, x) with 0 < x < 1 and size > 0 -> the same with x 0.0 or 1.0.
+def _against_the_rest(giants: Column, mass: Column, size: Column, seed: int) -> Column:
+    """giants: array of ITEM in descending order of size; ``mass`` and ``size``: sums of size * x and size over all units of the source.
 
-    ``n`` copies of a row stand or fall together. Within (_name, _none) the sum of
-    size * n * x stays the same but for the last unit, which is rounded at random.
+    Each giant is paired with all that comes after it. The common change of these is kept as
+    x -> scale * x + shift. -> struct(out: array of ITEM, all integral but possibly one, scale, shift).
     """
+
+    def item(of: Column, x: Column) -> Column:
+        return F.struct(of["k1"].alias("k1"), of["k2"].alias("k2"), of["size"].alias("size"), x.cast("double").alias("x"))
+
+    def meet(state: Column, new: Column) -> Column:
+        own = F.least(F.greatest(state["scale"] * new["x"] + state["shift"], F.lit(0.0)), F.lit(1.0))
+        w = new["size"].cast("double")
+
+        def pool(x: Column) -> Column:
+            held = F.greatest(state["mass"] - w * x, F.lit(0.0))
+            room = F.greatest(state["size"] - w - held, F.lit(0.0))
+            return let(F.struct(x.alias("x"), held.alias("held"), room.alias("room"), F.least(1 - x, held / w).alias("up"), F.least(x, room / w).alias("down"), _unit(seed, new["k1"], new["k2"], F.lit(-2)).alias("draw")), move)
+
+        def move(m: Column) -> Column:
+            above, below = m["up"] >= 1 - m["x"], m["down"] >= m["x"]
+            # A direction that would settle all the rest and leave this one open is not taken, if the other settles it.
+            rises = F.when(above != below, above).otherwise(m["draw"] * (m["up"] + m["down"]) < m["down"])
+            ends = F.when(rises, above).otherwise(below)
+            x = F.when(rises, F.when(ends, F.lit(1.0)).otherwise(m["x"] + m["up"])).otherwise(F.when(ends, F.lit(0.0)).otherwise(m["x"] - m["down"]))
+            # What the rest gives (rises) or takes, as a share of all that it could.
+            share = F.when(~ends, F.lit(1.0)).when(rises, F.when(m["held"] > 0, m["up"] * w / m["held"]).otherwise(0.0)).otherwise(F.when(m["room"] > 0, m["down"] * w / m["room"]).otherwise(0.0))
+            return let(F.struct(x.alias("x"), rises.alias("rises"), F.least(share, F.lit(1.0)).alias("share"), m["held"].alias("held"), m["room"].alias("room")), close)
+
+        def close(e: Column) -> Column:
+            keep = 1 - e["share"]
+            shift = state["shift"] * keep + F.when(e["rises"], F.lit(0.0)).otherwise(e["share"])
+            mass = F.when(e["rises"], e["held"] * keep).otherwise(e["held"] + e["room"] * e["share"])
+            return F.struct(F.concat(state["out"], F.array(item(new, e["x"]))).alias("out"), (state["scale"] * keep).alias("scale"), shift.alias("shift"), mass.alias("mass"), (state["size"] - w).alias("size"))
+
+        settled = F.struct(F.concat(state["out"], F.array(item(new, own))).alias("out"), state["scale"], state["shift"], (state["mass"] - w * own).alias("mass"), (state["size"] - w).alias("size"))
+        return F.when((own <= 0) | (own >= 1), settled).otherwise(let(own, pool))
+
+    start = F.struct(F.array().cast(f"array<{ITEM}>").alias("out"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("shift"), mass.alias("mass"), size.cast("double").alias("size"))
+    return F.aggregate(giants, start, meet)
+
+
+FIELDS = ["k1", "k2", "size", "x"]
+
+
+def _tree(left: DataFrame, *, seed: int, rows: int, fan_in: int) -> DataFrame:
+    """Round fractional units by the reduction tree; the last one of each source is rounded alone."""
     step = max(2, fan_in).bit_length() - 1
     bits = max(0, bits_for(rows, fan_in, least=0, most=30))
-    key = shuffle_key(seed, "id", "size")
     level, out = 0, None
-    left = units.withColumn("_key", key).withColumn("_cell", cell_of(F.col("_key"), bits) if bits else F.lit(0))
-    fields = ["id", "size", "n", "x"]
+    left = left.withColumn("key", shuffle_key(seed, "k1", "k2"))
+    left = left.withColumn("cell", cell_of(F.col("key"), bits) if bits else F.lit(0))
     while True:
-        groups = left.groupBy("_name", "_none", "_cell").agg(F.sort_array(F.collect_list(F.struct((-F.col("size") * F.col("n")).alias("order"), "_key", F.struct(*fields).alias("item")))).alias("all"))
-        folded = checkpoint(groups.withColumn("f", _fold(F.transform("all", lambda e: e["item"]), seed, level)).select("_name", "_none", "_cell", "f"))
-        done = folded.select("_name", "_none", F.explode("f.out").alias("i")).select("_name", "_none", "i.*")
+        groups = left.groupBy("name", "none", "cell").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("order"), "key", F.struct(*FIELDS).alias("item")))).alias("all"))
+        folded = checkpoint(groups.withColumn("f", _fold(F.transform("all", lambda e: e["item"]), seed, level)).select("name", "none", "cell", "f"))
+        done = folded.select("name", "none", F.explode("f.out").alias("i")).select("name", "none", "i.*")
         out = done if out is None else out.unionByName(done)
-        left = folded.where("f.rest is not null").select("_name", "_none", "_cell", "f.rest.*").withColumn("_key", shuffle_key(seed + level + 1, "id", "size"))
+        left = folded.where("f.rest is not null").select("name", "none", "cell", "f.rest.*").withColumn("key", shuffle_key(seed + level + 1, "k1", "k2"))
         if not bits:
             break
         drop = min(step, bits)
         bits, level = bits - drop, level + 1
-        left = left.withColumn("_cell", F.shiftright("_cell", drop))
-    last = left.withColumn("x", F.when(_unit(seed, F.col("id"), F.col("size"), F.lit(-1)) < F.col("x"), 1.0).otherwise(0.0))
-    return out.unionByName(last.select("_name", "_none", *fields))
+        left = left.withColumn("cell", F.shiftright("cell", drop))
+    return out.unionByName(_alone(left, seed).select("name", "none", *FIELDS))
+
+
+def _alone(left: DataFrame, seed: int) -> DataFrame:
+    """Units that no other one is left to pair with, rounded at random."""
+    return left.withColumn("x", F.when(_unit(seed, F.col("k1"), F.col("k2"), F.lit(-1)) < F.col("x"), 1.0).otherwise(0.0))
+
+
+def pivotal_round(units: DataFrame, *, seed: int, rows: int, fan_in: int = 64, giant: float = GIANT) -> DataFrame:
+    """units(name, none, k1, k2, size, x) with 0 < x < 1 and size > 0 -> the same with x 0.0 or 1.0.
+
+    k1 and k2 tell units apart. Within (name, none) the sum of size * x stays the same but for
+    the last unit, which is rounded at random.
+    """
+    sums = units.groupBy("name", "none").agg(F.sum("size").alias("total"), F.sum(F.col("size") * F.col("x")).alias("mass"))
+    sums = broadcast_if_small(sums)  # one row for each source
+    weighed = units.join(sums, ["name", "none"]).withColumn("large", F.col("size") >= F.col("total") * giant)
+    weighed = checkpoint(weighed)
+    # At most 1 / giant of them for each source.
+    order = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("order"), "k1", "k2", F.struct(*FIELDS).alias("item"))))
+    large = weighed.where("large").groupBy("name", "none").agg(order.alias("all"), F.first("mass").alias("mass"), F.first("total").alias("total"))
+    large = checkpoint(large.select("name", "none", _against_the_rest(F.transform("all", lambda e: e["item"]), F.col("mass"), F.col("total"), seed).alias("f")))
+    one_by_one = large.select("name", "none", F.explode("f.out").alias("i")).select("name", "none", "i.*")
+    change = broadcast_if_small(large.select("name", "none", "f.scale", "f.shift"))
+    moved = F.coalesce("scale", F.lit(1.0)) * F.col("x") + F.coalesce("shift", F.lit(0.0))
+    small = weighed.where("not large").join(change, ["name", "none"], "left").withColumn("x", F.least(F.greatest(moved, F.lit(0.0)), F.lit(1.0)))
+    small = small.select("name", "none", *FIELDS)
+    open_ = (F.col("x") > 0) & (F.col("x") < 1)
+    out = one_by_one.where(~open_).unionByName(_alone(one_by_one.where(open_), seed)).unionByName(small.where(~open_))
+    return out.unionByName(_tree(small.where(open_), seed=seed, rows=rows, fan_in=fan_in)).select("name", "none", *FIELDS)
+
+
+def _planned(docs: DataFrame, *, weights: Sequence[float], share: float, max_repeats: float, seed: int, fan_in: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """One row per distinct row of ``docs``: k1, k2, id, name, none, size, n (its number), source_size, target, base and extra.
+
+    Each of the n rows is copied ``base`` times, and ``extra`` of them once more.
+    """
+    sized = docs.select(*row_keys(docs), F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("name"), F.col(source_col).isNull().alias("none"), word_count(F.col(text_col)).alias("size"))
+    same = [F.first(c).alias(c) for c in ("id", "name", "none", "size")]
+    sized = checkpoint(sized.groupBy("k1", "k2").agg(*same, F.count("*").alias("n")))  # narrow; keeps the texts from being counted at each level
+    targets = broadcast_if_small(source_targets(sized.select("name", "none", (F.col("size") * F.col("n")).alias("size")), weights=weights, share=share, max_repeats=max_repeats))
+    due = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
+    planned = sized.join(targets, ["name", "none"]).withColumn("base", F.floor(due).cast("long")).withColumn("over", F.col("n") * (due - F.floor(due)))
+    planned = planned.withColumn("more", F.floor(F.col("over") + 1e-9).cast("long")).withColumn("x", F.col("over") - F.col("more"))
+    units = planned.where("x > 1e-9").select("name", "none", *FIELDS)
+    bits = pivotal_round(units, seed=seed, rows=sized.count(), fan_in=fan_in).select("k1", "k2", F.col("x").alias("bit"))
+    joined = planned.join(bits, ["k1", "k2"], "left")
+    return joined.withColumn("extra", F.col("more") + F.coalesce("bit", F.lit(0.0)).cast("long")).drop("over", "more", "x", "bit")
 
 
 def mix_sources(docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeats: float = 2.0, seed: int = 77, fan_in: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -137,23 +234,17 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share:
     ``weights`` go to the sources in code point order, over and over; ``share`` is the
     mixture's size over that of all documents.
     """
-    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("_name"), F.col(source_col).isNull().alias("_none"), word_count(F.col(text_col)).alias("size"))
-    sized = checkpoint(sized)  # narrow; keeps the texts from being counted at each level
-    targets = broadcast_if_small(source_targets(sized, weights=weights, share=share, max_repeats=max_repeats))
-    due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    planned = sized.join(targets, ["_name", "_none"]).withColumn("base", F.floor(due).cast("long")).withColumn("x", due - F.floor(due))
-    units = planned.where("x > 0 and size > 0").groupBy("_name", "_none", "id", "size").agg(F.count("*").alias("n"), F.max("x").alias("x"))
-    bits = pivotal_round(units, seed=seed, rows=sized.count(), fan_in=fan_in).select(F.col("_name").alias("n1"), F.col("_none").alias("n2"), F.col("id").alias("n3"), F.col("size").alias("n4"), F.col("x").alias("bit"))
-    same = (F.col("id").eqNullSafe(F.col("n3"))) & (F.col("size") == F.col("n4")) & (F.col("_name") == F.col("n1")) & (F.col("_none") == F.col("n2"))
-    copies = F.col("base") + F.coalesce(F.col("bit"), F.lit(0.0)).cast("long")
-    joined = planned.join(bits, same, "left").withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long"))
-    return joined.select(F.col("id").alias(id_col), F.when(~F.col("_none"), F.col("_name")).alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    planned = _planned(docs, weights=weights, share=share, max_repeats=max_repeats, seed=seed, fan_in=fan_in, id_col=id_col, text_col=text_col, source_col=source_col)
+    each = repeated(planned, "n", "k1", "k2")
+    copies = (F.col("base") + (F.col("ordinal") < F.col("extra")).cast("long")).alias("copies")
+    each = each.select("id", F.when(~F.col("none"), F.col("name")).alias("source"), "size", "source_size", "target", copies)
+    return each.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeats: float = 2.0, seed: int = 77, fan_in: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` as mixed: each row as often as its copies say, with the columns of ``docs``."""
-    mix = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0")
-    mix = mix.select(F.col(id_col).alias("_m_id"), F.col(source_col).alias("_m_source"), F.col("size").alias("_m_size"), F.col("copies").alias("_m_copies")).distinct()
-    keyed = docs.withColumn("_m_words", word_count(F.col(text_col)))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_m_id")) & F.col(source_col).eqNullSafe(F.col("_m_source")) & (F.col("_m_words") == F.col("_m_size"))
-    return keyed.join(mix, same).withColumn("_m_copy", F.explode(F.sequence(F.lit(1), F.col("_m_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    planned = _planned(docs, weights=weights, share=share, max_repeats=max_repeats, seed=seed, fan_in=fan_in, id_col=id_col, text_col=text_col, source_col=source_col)
+    planned = planned.select("k1", "k2", (F.col("n") * F.col("base") + F.col("extra")).alias("times"))
+    # Whole rows travel as one struct, so that no name of theirs meets one of these. Equal rows go as one.
+    rows = docs.select(F.struct("*").alias("row"), *row_keys(docs)).dropDuplicates(["k1", "k2"])
+    return repeated(rows.join(planned, ["k1", "k2"]), "times", "k1", "k2").select("row.*")

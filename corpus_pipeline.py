@@ -8,7 +8,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``documents``. SQL can express neither a fitted model nor the hashes, so that
-there is no SQL for the whole; tests hold it against a brute-force version.
+there is no SQL for the whole; tests/llm/test_pipeline.py holds each stage against a
+brute-force version.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from ledgermill.llm.queries import vocabulary_path
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

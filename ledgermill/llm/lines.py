@@ -44,8 +44,8 @@ def _bare(line: Column) -> Column:
 
 def line_hashes(docs: DataFrame, *, text_col: str, min_chars: int, **carried: Column) -> DataFrame:
     """(carried..., h): one row per line of at least ``min_chars`` characters."""
-    lines = docs.select(*[c.alias(n) for n, c in carried.items()], F.explode(_lines(F.col(text_col))).alias("_line"))
-    bare = _bare(F.col("_line"))
+    lines = docs.select(*[c.alias(n) for n, c in carried.items()], F.explode(_lines(F.col(text_col))).alias("line"))
+    bare = _bare(F.col("line"))
     return lines.where(F.length(bare) >= min_chars).select(*carried, F.xxhash64(bare).alias("h"))
 
 
@@ -66,29 +66,36 @@ def boilerplate(docs: DataFrame, *, min_sites: int = MIN_SITES, min_chars: int =
     return judged.where("sure").select("h", F.col("sites").cast("long"), F.lit(False).alias("counted")).unionByName(exact)
 
 
-def _marked(docs: DataFrame, *, id_col: str, text_col: str, site_col: str, min_sites: int, min_chars: int) -> DataFrame:
-    """``docs`` with _gone, the hashes of the lines to remove, or null."""
+def _own_boilerplate(docs: DataFrame, *, id_col: str, text_col: str, site_col: str, min_sites: int, min_chars: int) -> DataFrame:
+    """(key, gone): for each id of ``docs`` the hashes of the lines to remove, where there are any."""
     known = broadcast_if_small(boilerplate(docs, min_sites=min_sites, min_chars=min_chars, text_col=text_col, site_col=site_col).select("h"))
     hits = line_hashes(docs, text_col=text_col, min_chars=min_chars, key=F.col(id_col)).join(known, "h", "left_semi")
-    gone = hits.groupBy(F.col("key").alias("_key")).agg(F.collect_set("h").alias("_gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_key")), "left").drop("_key")
+    return hits.groupBy("key").agg(F.collect_set("h").alias("gone"))
+
+
+def _stays(line: Column, gone: Column, min_chars: int) -> Column:
+    return ~((F.length(_bare(line)) >= min_chars) & F.array_contains(gone, F.xxhash64(_bare(line))))
 
 
 def _kept(text: Column, gone: Column, min_chars: int) -> Column:
-    stays = F.filter(_lines(text), lambda line: ~((F.length(_bare(line)) >= min_chars) & F.array_contains(gone, F.xxhash64(_bare(line)))))
-    return F.when(gone.isNull(), text).otherwise(F.array_join(stays, "\n"))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(F.filter(_lines(text), lambda line: _stays(line, gone, min_chars)), "\n"))
 
 
 def without_boilerplate(docs: DataFrame, *, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """``docs`` with the boilerplate lines taken out of ``text_col``; all rows and columns stay."""
-    marked = _marked(docs, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, min_chars=min_chars)
-    return marked.withColumn(text_col, _kept(F.col(text_col), F.col("_gone"), min_chars)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = _own_boilerplate(docs, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, min_chars=min_chars)
+    # Whole rows travel as one struct, so that no name of theirs meets one of these.
+    rows = docs.select(F.struct("*").alias("row"))
+    value = lambda c: F.col("row").getField(c)
+    marked = rows.join(gone, value(id_col).eqNullSafe(F.col("key")), "left")
+    return marked.select(*[(_kept(value(c), F.col("gone"), min_chars) if c == text_col else value(c)).alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, *, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: id, n_lines, n_removed, kept_sha256 (null for a null text)."""
-    marked = _marked(docs.select(id_col, text_col, site_col), id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, min_chars=min_chars)
-    kept = marked.withColumn("_kept", _kept(F.col(text_col), F.col("_gone"), min_chars))
-    lines = F.coalesce(F.size(_lines(F.col(text_col))), F.lit(0))
-    removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(lines - F.size(F.filter(_lines(F.col(text_col)), lambda line: ~((F.length(_bare(line)) >= min_chars) & F.array_contains(F.col("_gone"), F.xxhash64(_bare(line)))))))
-    return kept.select(F.col(id_col), lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.sha2(F.encode("_kept", "UTF-8"), 256).alias("kept_sha256"))
+    gone = _own_boilerplate(docs, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, min_chars=min_chars)
+    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(gone, F.col("id").eqNullSafe(F.col("key")), "left")
+    text, found = F.col("text"), F.col("gone")
+    lines = F.coalesce(F.size(_lines(text)), F.lit(0))
+    removed = F.when(found.isNull(), F.lit(0)).otherwise(lines - F.size(F.filter(_lines(text), lambda line: _stays(line, found, min_chars))))
+    return marked.select(F.col("id").alias(id_col), lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.sha2(F.encode(_kept(text, found, min_chars), "UTF-8"), 256).alias("kept_sha256"))

@@ -20,7 +20,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.select("doc_id", "text"), model).drop("text")
+    return toxicity.score(docs, model)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,9 @@ Copies count once: all work is on distinct fingerprints, each with its smallest
 
 Defined cases: null and blank texts have fingerprint zero and link like any other; texts
 of one or two words are one shingle; repeated rows are copies; rows with a null id
-stay, linked by fingerprint, but do not name a component; empty tables give empty
-results; other columns are passed by.
+stay, linked by fingerprint, but do not name a component; texts of any length are hashed whole;
+empty tables give empty results; ``simhash_components`` passes other columns by and
+``deduplicated`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import ship
-from .common import checkpoint
+from .common import checkpoint, row_keys
 
 SEED = 42
 #: Distinct fingerprints in one table bucket beyond which the bucket is linked through shared neighbours.
@@ -129,26 +130,20 @@ def simhash_components(docs: DataFrame, *, distance: int = 2, id_col: str = "doc
     return prints.join(owners, prints.fp == owners.of).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def _row_keys(docs: DataFrame, text_col: str) -> list:
-    """Hashes of a row's text and of the whole row; a null counts apart from a value that is left out."""
-    plain = lambda c, t: F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if "<" in t or t == "variant" else F.col(c)
-    whole = F.xxhash64(*[x for c, t in docs.dtypes for x in (F.col(c).isNull(), plain(c, t))])
-    return [F.xxhash64(text_col).alias("_text_key"), whole.alias("_row_key")]
-
-
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:
     """``docs`` without near-duplicates: of each component one row stays, that with the smallest id.
 
-    Rows of a component that share that id go by the hashes of text and row, and of equal rows one stays.
+    Rows of a component that share that id go by a hash of the row, and of equal rows one stays.
     A row with a null id stays only if its component has no other. Components do not touch
     each other: unrelated texts stay although their ids are null or the same.
     """
     ship(docs.sparkSession)
-    keys = _row_keys(docs, text_col)
+    keys = row_keys(docs)
     prints = docs.select(F.col(id_col).alias("id"), F.pandas_udf(_fingerprints, "long")(F.col(text_col)).alias("fp"), *keys)
-    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "_text_key", "_row_key")).alias("first")
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "k1", "k2")).alias("first")
     classes = checkpoint(prints.groupBy("fp").agg(first))
     named = _fingerprint_components(classes, distance=distance, hot_bucket=HOT_BUCKET)
-    kept = named.groupBy("component").agg(F.min("first").alias("first")).select("first._text_key", "first._row_key")
-    marked = docs.select("*", *keys).join(kept, ["_text_key", "_row_key"], "left_semi")
-    return marked.dropDuplicates(["_text_key", "_row_key"]).select(*docs.columns)
+    kept = named.groupBy("component").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
+    # Whole rows travel as one struct, so that no name of theirs meets one of these.
+    rows = docs.select(F.struct("*").alias("row"), *keys).join(kept, ["k1", "k2"], "left_semi")
+    return rows.dropDuplicates(["k1", "k2"]).select("row.*")

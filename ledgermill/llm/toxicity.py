@@ -12,14 +12,15 @@ speech, and without a second person near by, it is a quotation and counts less t
 abuse. A text's features, the weight of its abuse, of its quotations, of the worst window
 and of fuzzy matches, enter a logistic model fitted on labelled rows.
 
-Learning sees at most ``max_labelled`` rows, those with the smallest hashes, and never more
-than ``max_entries`` of lexicon; equal texts count once. Scoring sees every whole text.
+Learning sees at most ``max_labelled`` rows, those with the smallest hashes, which bounds the lexicon
+too; equal texts count once. Scoring sees every whole text.
 
 Defined cases: null and empty texts have no match and get the score of a text without
 any; texts of any length are scored whole; repeated rows are scored alike; a row whose id is
 null or unlabelled is scored but not learned from; rows with conflicting labels for
-one id count as toxic if any of them is; with no usable labels the lexicon is empty and every
-score is 0; empty tables give empty results; other columns are passed by.
+one id count as toxic if any of them is; where labels teach no lexicon (too few of either kind)
+every score is the base rate, 0.5 at most, and without any label it is 0; empty tables give empty
+results; ``score`` passes other columns by and ``without_toxic`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,10 +37,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import checkpoint
+from .common import checkpoint, resident
 
 MAX_LABELLED = 20_000
-MAX_ENTRIES = 3_000
 #: Distinct toxic texts that a term or stem must occur in, and odds that it must have.
 LEAST_TEXTS = 4
 LEAST_LOG_ODDS = 3.0
@@ -246,7 +246,7 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _learned_entries(sample: DataFrame, max_entries: int) -> list[Entry]:
+def _learned_entries(sample: DataFrame) -> list[Entry]:
     """sample(text, toxic): distinct texts. Terms and stems whose share among toxic texts stands out."""
     totals = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     if not totals[0] or not totals[1]:
@@ -255,13 +255,13 @@ def _learned_entries(sample: DataFrame, max_entries: int) -> list[Entry]:
     counts = checkpoint(tokens.groupBy("token").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
     odds = F.log((F.col("t") + 0.1) / (totals[0] + 1)) - F.log((F.col("c") + 0.1) / (totals[1] + 1))
     strong = lambda df: df.withColumn("odds", odds).where((F.col("t") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_LOG_ODDS))
-    terms = strong(counts.where(F.length("token") >= 3)).orderBy(F.col("odds").desc(), "token").limit(max_entries).collect()
+    terms = strong(counts.where(F.length("token") >= 3)).orderBy(F.col("odds").desc(), "token").collect()  # as bounded as the sample
     least, most = STEM_LENGTHS
     lengths = F.sequence(F.lit(least), F.least(F.lit(most), F.length("token") - 1))
     stems = counts.where(F.length("token") > least).select("t", "c", "token", F.explode(F.transform(lengths, lambda n: F.substring("token", F.lit(1), n))).alias("stem"))
     stems = stems.groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count_if(F.col("t") >= 2).alias("kinds"))
     # A stem needs several endings that each recur, and none or next to none in clean texts.
-    stems = strong(stems.where("kinds >= 5")).orderBy(F.length("stem"), F.col("odds").desc(), "stem").limit(max_entries).collect()
+    stems = strong(stems.where("kinds >= 5")).orderBy(F.length("stem"), F.col("odds").desc(), "stem").collect()
     top = max([r.odds for r in terms] + [r.odds for r in stems], default=1.0)
     out: dict[tuple[str, bool], float] = {}
     for r in stems:
@@ -286,52 +286,56 @@ def _learned_entries(sample: DataFrame, max_entries: int) -> list[Entry]:
     return [e._replace(fuzzy=e.text not in exact_only) for e in entries]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_entries: int = MAX_ENTRIES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     """Fit on labelled rows outside the held-out fold."""
     ship(docs.sparkSession)
-    marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
+    marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     # The bound on learning: rows with the smallest hashes of their ids.
-    chosen = marks.orderBy(F.xxhash64(F.lit(11), F.col("_id")), "_id").limit(max_labelled)
-    texts = docs.where(F.col(text_col).isNotNull()).join(chosen, docs[id_col] == F.col("_id")).groupBy(F.col(text_col).alias("text")).agg(F.max("toxic").alias("toxic"))
+    chosen = marks.orderBy(F.xxhash64(F.lit(11), F.col("id")), "id").limit(max_labelled)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    texts = texts.join(chosen, "id").groupBy("text").agg(F.max("toxic").alias("toxic"))
     texts = checkpoint(texts.repartition(F.xxhash64("text")))
-    entries = _learned_entries(texts, max_entries)
+    entries = _learned_entries(texts)
     if not entries:
-        return Model([])
+        toxic, seen = texts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
+        # Nothing tells texts apart: all get the base rate, with one text of either kind added.
+        return Model([], intercept=min(0.0, math.log((toxic + 1) / (seen - toxic + 1))) if seen else -50.0)
     known = texts.select("toxic", _features_udf(texts.sparkSession, Model(entries))("text").alias("f")).toPandas()
     x = np.array(known.f.tolist(), dtype=float).reshape(len(known), len(FEATURES))
     w, b = fit_logistic(x, known.toxic.to_numpy(float))
     return Model(entries, w.tolist(), b)
 
 
-_scorers: dict[int, Scorer] = {}
-
-
-def _scorer(entries: list, key: int) -> Scorer:
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(entries)
-    return _scorers[key]
-
-
 def _features_udf(spark, model: Model):
-    entries = spark.sparkContext.broadcast(model.entries)  # max_entries bounds it
+    entries = spark.sparkContext.broadcast(model.entries)  # as bounded as the labelled rows
     key = hash(tuple(model.entries))
 
     def features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = _scorer(entries.value, key)
+        scorer = resident(("toxicity", key), lambda: Scorer(entries.value))
         for batch in texts:
             yield pd.Series([scorer.features(t) for t in batch])
 
     return F.pandas_udf(features, "array<double>")
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``docs`` with held_out, score, predicted and the features."""
-    ship(docs.sparkSession)
-    found = docs.withColumn("_f", _features_udf(docs.sparkSession, model)(F.col(text_col)))
+def _probability(features: Column, model: Model) -> Column:
     at = F.lit(float(model.intercept))
     for i, w in enumerate(model.coefficients):
-        at = at + F.col("_f")[i] * F.lit(float(w))
-    scored = found.withColumn("score", 1 / (1 + F.exp(-at)))
-    scored = scored.withColumns({"held_out": held_out(F.col(id_col)), "predicted": (F.col("score") >= threshold).cast("int")})
-    return scored.withColumns({name: F.col("_f")[i] for i, name in enumerate(FEATURES[:4])}).drop("_f")
+        at = at + features[i] * F.lit(float(w))
+    return 1 / (1 + F.exp(-at))
+
+
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """One row per row of ``docs``: id, held_out, score, predicted and the features."""
+    ship(docs.sparkSession)
+    found = docs.select(F.col(id_col).alias("id"), _features_udf(docs.sparkSession, model)(F.col(text_col)).alias("f"))
+    scored = found.select("id", "f", held_out(F.col("id")).alias("held_out"), _probability(F.col("f"), model).alias("score"))
+    return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col("f")[i].alias(name) for i, name in enumerate(FEATURES[:4])])
+
+
+def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """``docs`` without the rows whose texts score ``threshold`` or more."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.struct("*").alias("row"))
+    found = _features_udf(docs.sparkSession, model)(F.col("row").getField(text_col))
+    return rows.withColumn("f", found).where(_probability(F.col("f"), model) < threshold).select("row.*")

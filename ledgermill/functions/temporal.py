@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Date, or date and time with optional seconds, fraction and offset.
@@ -19,6 +19,24 @@ def micros_between(earlier: Column, later: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", earlier, later)
 
 
+def time_slice(ts: Column, seconds: int) -> Column:
+    """The number of the stretch of ``seconds`` that a timestamp without time zone falls in."""
+    return F.floor(micros_between(F.lit("1970-01-01").cast("timestamp_ntz"), ts) / F.lit(seconds * 1_000_000)).cast("long")
+
+
+def gaps(rows: DataFrame, *by: str, ts: str = "timestamp", seconds: int = 3600) -> DataFrame:
+    """(by, gap_us): the time from each row to the next one with the same ``by``, in microseconds, but for the first.
+
+    Rows are ordered within stretches of ``seconds``, and the ends of successive stretches are
+    stitched, so that no task orders all rows of one key. Rows without ``by`` or ``ts`` take no part.
+    """
+    rows = rows.select(*by, F.col(ts).alias("ts")).dropna().withColumn("slice", time_slice(F.col("ts"), seconds))
+    inner = rows.select(*by, micros_between(F.lag("ts").over(Window.partitionBy(*by, "slice").orderBy("ts")), F.col("ts")).alias("gap_us"))
+    ends = rows.groupBy(*by, "slice").agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    between = ends.select(*by, micros_between(F.lag("high").over(Window.partitionBy(*by).orderBy("slice")), F.col("low")).alias("gap_us"))
+    return inner.unionByName(between).where("gap_us is not null")
+
+
 def utc_ntz(ts: Column) -> Column:
     """An instant as a timestamp without time zone in UTC, whatever the session's zone."""
     seconds = (F.unix_micros(ts).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.temporal import seconds_between
+from ..functions.temporal import gaps, seconds_between
 from ..settings import FEATURES
 
 
@@ -29,23 +29,22 @@ def _or_zero(c: Column) -> Column:
 
 
 def entity_features(touched: DataFrame) -> DataFrame:
-    """(entity_id, FEATURES). The gap window and the aggregation share one shuffle by entity."""
-    by = Window.partitionBy("entity_id").orderBy("timestamp", "tx_id", "role")
-    rows = touched.withColumn("_gap", seconds_between(F.lag("timestamp").over(by), F.col("timestamp")))
-    sums = rows.groupBy("entity_id").agg(
+    """(entity_id, FEATURES). Every aggregate has partial sums, and gaps are taken slice by slice, so that one huge entity is not one task."""
+    waits = gaps(touched, "entity_id").groupBy("entity_id").agg(F.avg(F.col("gap_us") / 1e6).alias("gap_mean"), F.stddev_samp(F.col("gap_us") / 1e6).alias("gap_std"))
+    sums = touched.groupBy("entity_id").agg(
         F.count_distinct("tx_id").alias("tx_count"),
         F.count_if(F.col("role") == "receiver").alias("fan_in"),
         F.count_if(F.col("role") == "sender").alias("fan_out"),
         F.avg("amount_btc").alias("amount_mean"),
         F.coalesce(F.stddev_samp("amount_btc"), F.lit(0.0)).alias("amount_std"),
-        F.coalesce(F.avg("_gap"), F.lit(0.0)).alias("inter_tx_time_mean"),
-        F.coalesce(F.stddev_samp("_gap"), F.lit(0.0)).alias("inter_tx_time_std"),
         F.count_distinct("broadcast_ip").alias("distinct_ip_count"),
         F.count_distinct("asn").alias("distinct_asn_count"),
         seconds_between(F.min("timestamp"), F.max("timestamp")).alias("_span"),
     )
     spread = (F.col("distinct_ip_count") - 1) / F.greatest(F.col("tx_count") - 1, F.lit(1))
-    out = sums.withColumns({
+    out = sums.join(waits, "entity_id", "left").withColumns({
+        "inter_tx_time_mean": F.coalesce("gap_mean", F.lit(0.0)),
+        "inter_tx_time_std": F.coalesce("gap_std", F.lit(0.0)),
         "amount_cv": F.when(F.col("amount_mean") > 0, F.col("amount_std") / F.when(F.col("amount_mean") > 0, F.col("amount_mean"))).otherwise(0.0),
         "network_obfuscation_score": F.greatest(F.least(spread, F.lit(1.0)), F.lit(0.0)),
         "round_trip_time_mean": F.col("_span") / F.greatest("tx_count", F.lit(1)),

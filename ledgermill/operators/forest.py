@@ -171,13 +171,18 @@ def _tree_shap(tree: Tree, x: np.ndarray) -> np.ndarray:
 def fit(features: DataFrame, *, trees: int = DEFAULTS.forest_trees, sample: int = DEFAULTS.forest_sample, seed: int = DEFAULTS.seed, key: str = "entity_id") -> Forest:
     """A forest over standardised features."""
     columns = list(FEATURES)
-    # About twice the rows that the trees want, evenly by hash; every tree then draws its own from them.
-    pool = features.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(max(sample, min(trees * sample, 20_000))).select(*columns).toPandas()
-    forest = Forest([], min(sample, max(len(pool), 1)), columns, moments(features, columns))
-    x = forest._scaled(pool) if len(pool) else np.zeros((0, len(columns)))
-    for t in range(trees if len(x) else 0):
-        rng = np.random.default_rng([seed, t])
-        forest.trees.append(grow(x[np.sort(rng.choice(len(x), min(sample, len(x)), replace=False))], rng))
+    count = features.count()
+    forest = Forest([], max(1, min(sample, count)), columns, moments(features, columns))
+    if not count:
+        return forest
+    # Each tree takes the rows whose hashes, drawn anew for every tree, are smallest. Hashes below ``least`` hold about twice as many.
+    least = min(2**63 - 1, int(2 * (sample + 32) / count * 2**64) - 2**63)
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, F.col(key)).alias("draw"))), lambda d: d["draw"] <= F.lit(least))
+    chosen = features.select(*columns, F.col(key).alias("key"), F.explode(drawn).alias("d")).select(*columns, "key", "d.*").toPandas()  # trees * sample rows, about twice
+    chosen = chosen.sort_values(["tree", "draw", "key"], kind="stable")
+    for t, rows in chosen.groupby("tree", sort=True):
+        own = rows.head(sample)
+        forest.trees.append(grow(forest._scaled(own[columns]), np.random.default_rng([seed, t])))
     return forest
 
 

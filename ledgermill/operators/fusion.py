@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,19 +31,22 @@ def risk(columns: list[str], weights: Mapping[str, float]) -> Column:
     return out
 
 
-def ranked_by(df: DataFrame, column: str, into: str = "rank", buckets: int = 1024) -> DataFrame:
+def ranked_by(df: DataFrame, column: str, into: str = "rank", rows_a_part: int = 200_000) -> DataFrame:
     """``df`` with ranks 1, 2, ... by a column from high to low, then entity_id, without a window over everything.
 
-    Scores between 0 and 1 fall into ``buckets``; a rank is the number of rows in higher buckets plus the
-    place in the own one. Where scores are tied in masses, ids deal a bucket out further.
+    Rows are dealt out by ranges of (column, entity_id), so that tied scores are split like any others; a
+    rank is the number of rows in earlier parts plus the place in the own one.
     """
-    slot = F.least(F.greatest(F.floor((1 - F.coalesce(F.col(column), F.lit(0.0))) * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    dealt = df.withColumn("_slot", slot)
-    sizes = dealt.groupBy("_slot").agg(F.count("*").alias("_n"))
-    past = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_slot", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_before"))  # ``buckets`` rows at most
-    within = F.row_number().over(Window.partitionBy("_slot").orderBy(F.col(column).desc(), "entity_id"))
-    return dealt.withColumn("_place", within).join(F.broadcast(starts), "_slot").withColumn(into, (F.col("_before") + F.col("_place")).cast("long")).drop("_slot", "_place", "_before")
+    df = checkpoint(df)
+    parts = max(1, math.ceil(df.count() / rows_a_part))
+    order = [F.col(column).desc(), F.col("entity_id").asc()]
+    # Written, so that the parts stay what they were counted as.
+    dealt = checkpoint(df.repartitionByRange(parts, *order).select(F.struct("*").alias("row"))).select("row", F.spark_partition_id().alias("part"))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(F.col(f"row.{column}").desc(), F.col("row.entity_id").asc()))
+    placed = dealt.withColumn("place", within).join(F.broadcast(starts), "part")  # one row for each part
+    return placed.select("row.*", (F.col("before") + F.col("place")).cast("long").alias(into))
 
 
 def fuse(scores: Mapping[str, DataFrame], weights: Mapping[str, float] | None = None, threshold: float = DEFAULTS.alert_threshold) -> DataFrame:

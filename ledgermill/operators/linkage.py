@@ -6,10 +6,12 @@ busy address costs one edge per wallet.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.temporal import micros_between
+from ..functions.temporal import micros_between, time_slice
 from ..settings import DEFAULTS
 from .components import connected_components
 
@@ -32,14 +34,21 @@ def pass_through(tx: DataFrame, gap_s: int = DEFAULTS.pass_through_gap_s, retent
     A forward as-of join as one window: the earliest outgoing transfer at or after an
     incoming one, of which the gap and then the retained share are tested. Equal times
     go by transaction id, and outgoing events follow incoming ones.
+
+    Time is cut into slices of ``gap_s``. An outgoing transfer counts in its own slice and the one before,
+    which holds every incoming one that it can follow in time; so no task orders all that one wallet does.
     """
+    width = max(1, math.ceil(gap_s))
     event = F.array(
         F.struct(F.col("dst_wallet").alias("wallet"), F.lit(0).alias("is_out"), F.col("src_wallet").alias("other")),
         F.struct(F.col("src_wallet").alias("wallet"), F.lit(1).alias("is_out"), F.col("dst_wallet").alias("other")),
     )
     events = tx.select("tx_id", F.col("timestamp").alias("ts"), F.col("amount_btc").alias("amount"), F.explode(event).alias("e")).select("tx_id", "ts", "amount", "e.*")
-    ahead = Window.partitionBy("wallet").orderBy("ts", "is_out", "tx_id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    out = F.first(F.when(F.col("is_out") == 1, F.struct("tx_id", "ts", "amount", "other")), ignorenulls=True).over(ahead)
+    own = time_slice(F.col("ts"), width)
+    events = events.withColumn("slice", F.explode(F.when(F.col("is_out") == 1, F.array(own, own - 1)).otherwise(F.array(own))))
+    # From the latest event back: frames that only grow cost one step a row.
+    back = Window.partitionBy("wallet", "slice").orderBy(F.col("ts").desc(), F.col("is_out").desc(), F.col("tx_id").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = F.last(F.when(F.col("is_out") == 1, F.struct("tx_id", "ts", "amount", "other")), ignorenulls=True).over(back)
     met = events.withColumn("o", out).where("is_out = 0 and o is not null").withColumn("gap_us", micros_between(F.col("ts"), F.col("o.ts")))
     kept = met.where((F.col("gap_us") <= gap_s * 1_000_000) & (F.col("amount") > 0))
     kept = kept.where(F.col("o.amount") / F.when(F.col("amount") > 0, F.col("amount")) >= retention)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.temporal import micros_between, seconds_between
+from ..functions.temporal import gaps, micros_between
 from ..settings import DEFAULTS
 
 FLAGS = ("peel_chain_flag", "fan_pattern_flag", "rapid_pass_through_flag")
@@ -13,10 +13,9 @@ FLAGS = ("peel_chain_flag", "fan_pattern_flag", "rapid_pass_through_flag")
 
 def peel_chain(labelled: DataFrame, gap_s: int = DEFAULTS.peel_gap_s, min_hops: int = DEFAULTS.peel_min_hops) -> DataFrame:
     """Entities whose wallets send again within ``gap_s``, ``min_hops`` times in all."""
-    by = Window.partitionBy("src_wallet").orderBy("timestamp", "tx_id")
-    sends = labelled.where("src_entity is not null").withColumn("_gap", micros_between(F.lag("timestamp").over(by), F.col("timestamp")))
-    hops = F.count_if(F.col("_gap") <= gap_s * 1_000_000)
-    return sends.groupBy(F.col("src_entity").alias("entity_id")).agg((hops >= min_hops).cast("double").alias(FLAGS[0]))
+    quick = gaps(labelled, "src_entity", "src_wallet").where(F.col("gap_us") <= gap_s * 1_000_000).groupBy("src_entity").agg(F.count("*").alias("hops"))
+    senders = labelled.where("src_entity is not null").select("src_entity").distinct()
+    return senders.join(quick, "src_entity", "left").select(F.col("src_entity").alias("entity_id"), (F.coalesce("hops", F.lit(0)) >= min_hops).cast("double").alias(FLAGS[0]))
 
 
 def strict_peel_chain(links: DataFrame, entities: DataFrame, min_hops: int = DEFAULTS.peel_min_hops) -> DataFrame:
@@ -36,10 +35,16 @@ def fan_pattern(labelled: DataFrame, threshold: int = DEFAULTS.fan_threshold, wi
 
 
 def rapid_pass_through(labelled: DataFrame, median_s: float = DEFAULTS.rapid_median_s) -> DataFrame:
-    """Entities with two sends or more whose median gap is at most ``median_s``."""
-    by = Window.partitionBy("src_entity").orderBy("timestamp", "tx_id")
-    gaps = labelled.where("src_entity is not null").select(F.col("src_entity").alias("entity_id"), seconds_between(F.lag("timestamp").over(by), F.col("timestamp")).alias("gap")).where("gap is not null")
-    return gaps.groupBy("entity_id").agg((F.median("gap") <= median_s).cast("double").alias(FLAGS[2]))
+    """Entities with two sends or more whose median gap is at most ``median_s``.
+
+    Counts decide: the median lies below if more than half of the gaps do; if exactly half do, it is
+    the mean of the largest of these and the smallest of the others.
+    """
+    gap = F.col("gap_us") / 1e6
+    sums = gaps(labelled, "src_entity").groupBy(F.col("src_entity").alias("entity_id")).agg(
+        F.count("*").alias("n"), F.count_if(gap <= median_s).alias("below"), F.max(F.when(gap <= median_s, gap)).alias("low"), F.min(F.when(gap > median_s, gap)).alias("high"))
+    rapid = (F.col("below") * 2 > F.col("n")) | ((F.col("below") * 2 == F.col("n")) & ((F.col("low") + F.col("high")) / 2 <= median_s))
+    return sums.select("entity_id", rapid.cast("double").alias(FLAGS[2]))
 
 
 def combine(*flags: DataFrame) -> DataFrame:

@@ -72,12 +72,12 @@ def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return explain.evidence(graph.vertices(tx), graph.edges(tx), _seed(spark))
 
 
-def _truth(spark: SparkSession, d: str, *, whole: bool = False) -> DataFrame:
-    return evaluate.cluster_truth(entities(spark, d), fx.ground_truth(spark, d, whole=whole))
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.cluster_truth(entities(spark, d), fx.ground_truth(spark, d))
 
 
-def _judged(spark: SparkSession, d: str, *, whole: bool = False) -> DataFrame:
-    return evaluate.judged(checkpoint(_ranking(spark, d)), checkpoint(_truth(spark, d, whole=whole)))
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.judged(checkpoint(_ranking(spark, d)), checkpoint(_truth(spark, d)))
 
 
 def _peel(spark: SparkSession, d: str) -> DataFrame:
@@ -103,16 +103,8 @@ def reject_reason_counts(spark, d):
     return validate.validate(fx.dirty(spark, d))[1].groupBy("reject_reason").agg(F.count("*").alias("n"))
 
 
-def _mixed_sources(tx: DataFrame, mtx: DataFrame) -> DataFrame:
-    return tx.unionByName(mtx).groupBy(F.substring("tx_id", 1, 2).alias("source"), "asn").agg(F.count("*").alias("n"), F.round(F.sum("amount_btc"), 4).alias("total"))
-
-
 def union_mixed_sources(spark, d):
-    return _mixed_sources(fx.tx(spark, d), fx.mtx(spark, d))
-
-
-def union_mixed_sources_all(spark, d):
-    return _mixed_sources(fx.tx(spark, d), fx.mtx(spark, d, whole=True))
+    return fx.tx(spark, d).unionByName(fx.mtx(spark, d)).groupBy(F.substring("tx_id", 1, 2).alias("source"), "asn").agg(F.count("*").alias("n"), F.round(F.sum("amount_btc"), 4).alias("total"))
 
 
 def ip_to_int_public_filter(spark, d):
@@ -171,14 +163,6 @@ def co_input_merge_counts(spark, d):
     return linkage.co_input_merges(fx.mtx(spark, d))
 
 
-def co_input_links_all(spark, d):
-    return linkage.co_input_edges(fx.mtx(spark, d, whole=True))
-
-
-def co_input_merge_counts_all(spark, d):
-    return linkage.co_input_merges(fx.mtx(spark, d, whole=True))
-
-
 def pass_through_links(spark, d):
     return linkage.pass_through(fx.clean_tx(spark, d))
 
@@ -262,6 +246,15 @@ def fused_ranking(spark, d):
     return _ranking(spark, d)
 
 
+def ensemble_ranking(spark, d):
+    """The ranking by the real detectors: forest, autoencoder and motifs."""
+    rows = checkpoint(labelled(spark, d))
+    f = checkpoint(entity_features(touches(rows)))
+    found = motifs.motif_scores(rows)
+    scores = {"isolation_forest_score": forest.scores(f), "autoencoder_score": autoencoder.scores(f), "motif_score": found.select("entity_id", "motif_score")}
+    return fusion.describe(fusion.fuse(scores), f, found, None, None)
+
+
 def alerts(spark, d):
     return views.alerts(_ranking(spark, d), 0.3, columns=["entity_id", "risk_score", "rank"])
 
@@ -323,22 +316,6 @@ def recall_by_typology(spark, d):
     return rounded(evaluate.recall_by_typology(_judged(spark, d)))
 
 
-def cluster_truth_all(spark, d):
-    return _truth(spark, d, whole=True)
-
-
-def confusion_all(spark, d):
-    return rounded(evaluate.confusion(_judged(spark, d, whole=True)))
-
-
-def precision_at_k_all(spark, d):
-    return rounded(evaluate.precision_at(_judged(spark, d, whole=True)).withColumn("k", F.col("k").cast("long")))
-
-
-def recall_by_typology_all(spark, d):
-    return rounded(evaluate.recall_by_typology(_judged(spark, d, whole=True)))
-
-
 def typology_options(spark, d):
     return views.typologies(motif_combined(spark, d))
 
@@ -383,10 +360,10 @@ def synthetic_transactions(spark, d):
 _NAMED: dict[str, Query] = {f.__name__.removesuffix("_q"): f for f in (
     canonical_tx, validate_clean, validate_rejects, reject_reason_counts, union_mixed_sources, ip_to_int_public_filter, geo_range_join,
     graph_vertices, graph_edges, edge_kind_counts, nodes_by_kind, wallet_tx_list, simple_projection, node_degree, evidence_2hop_nodes, evidence_induced_edges,
-    co_input_links, co_input_merge_counts, co_input_links_all, co_input_merge_counts_all, union_mixed_sources_all, pass_through_links, co_broadcast_links, wallet_entities, entity_sizes, entity_touches, entity_features_q, entity_gap_stats, entity_geo_q,
+    co_input_links, co_input_merge_counts, pass_through_links, co_broadcast_links, wallet_entities, entity_sizes, entity_touches, entity_features_q, entity_gap_stats, entity_geo_q,
     motif_peel, motif_fan, motif_rapid, motif_rapid_wide, motif_combined, features_standardized, minmax_scores, iforest_scores, autoencoder_scores, communities_q, community_isolation,
-    fused_ranking, alerts, fused_missing_detector, ranked_joined, explanations, top_features, shap_top, latest_feedback, feedback_ready, learned_weights,
-    cluster_truth, confusion, precision_at_k, recall_by_typology, cluster_truth_all, confusion_all, precision_at_k_all, recall_by_typology_all, typology_options, alerts_filtered, located_points, entity_lookup, kind_view, node_display, node_details, edge_property_endpoints, synthetic_transactions,
+    fused_ranking, ensemble_ranking, alerts, fused_missing_detector, ranked_joined, explanations, top_features, shap_top, latest_feedback, feedback_ready, learned_weights,
+    cluster_truth, confusion, precision_at_k, recall_by_typology, typology_options, alerts_filtered, located_points, entity_lookup, kind_view, node_display, node_details, edge_property_endpoints, synthetic_transactions,
 )}
 
 

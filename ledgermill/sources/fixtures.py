@@ -56,11 +56,9 @@ def clean_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx(spark, sf_dir).where("src_wallet <> dst_wallet and not amount_btc <= 0")
 
 
-def mtx(spark: SparkSession, sf_dir: str, *, whole: bool = False) -> DataFrame:
-    """Transactions with several inputs: those of quantity 1, as MTX_SQL has them, or of all line items."""
+def mtx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions with several inputs: an order has one for each of its line items."""
     item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    if not whole:
-        item = item.where("l_quantity = 1")
     return item.select(
         F.concat(F.lit("ord"), F.col("l_orderkey").cast("string")).alias("tx_id"),
         F.col("l_shipdate").cast("timestamp_ntz").alias("timestamp"),
@@ -77,9 +75,8 @@ mtx AS (
   SELECT 'ord' || l_orderkey AS tx_id, l_shipdate AS "timestamp",
          'P' || lpad(CAST(l_partkey AS VARCHAR), 7, '0') AS src_wallet, 'S' || lpad(CAST(l_suppkey AS VARCHAR), 7, '0') AS dst_wallet,
          l_extendedprice AS amount_btc, '90.1.' || (l_suppkey // 250) || '.' || (l_suppkey % 250) AS broadcast_ip, 'AS' || (1000 + l_suppkey % 8) AS asn
-  FROM lineitem WHERE l_quantity = 1)
+  FROM lineitem)
 """
-MTX_ALL_SQL = MTX_SQL.replace(" WHERE l_quantity = 1", "")
 
 # (block, country, city, latitude, longitude, organisation)
 _BLOCKS = (
@@ -112,11 +109,9 @@ def _literal(value) -> str:
 GEO_SQL = "geo(ip_start, ip_end, prefix, country, city, latitude, longitude, asn_org) AS (VALUES " + ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in _geo_rows()) + ")"
 
 
-def ground_truth(spark: SparkSession, sf_dir: str, *, whole: bool = False) -> DataFrame:
-    """True entities with their wallets as a list in text: those of every tenth user, as GT_SQL has them, or of all users."""
+def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True entities with their wallets as a list in text."""
     users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
-    if not whole:
-        users = users.where("user_id % 10 = 0")
     group = F.floor(F.col("user_id") / 20).cast("long")
     rows = users.groupBy(group.alias("g")).agg(F.array_join(F.sort_array(F.collect_set(_padded("W", F.col("user_id"), 7))), ";").alias("wallets"))
     kind = F.element_at(F.array(*[F.lit(t) for t in ("none", "peel_chain", "mixer_fan_in_out", "structuring", "ip_hopping")]), (F.col("g") % 5 + 1).cast("int"))
@@ -127,10 +122,9 @@ GT_SQL = """
 gt AS (
   SELECT 'true_' || g AS entity_id, string_agg(w, ';' ORDER BY w) AS wallets, g % 5 <> 0 AS is_illicit,
          (['none', 'peel_chain', 'mixer_fan_in_out', 'structuring', 'ip_hopping'])[g % 5 + 1] AS typology
-  FROM (SELECT DISTINCT user_id // 20 AS g, 'W' || lpad(CAST(user_id AS VARCHAR), 7, '0') AS w FROM events WHERE user_id % 10 = 0)
+  FROM (SELECT DISTINCT user_id // 20 AS g, 'W' || lpad(CAST(user_id AS VARCHAR), 7, '0') AS w FROM events)
   GROUP BY g)
 """
-GT_ALL_SQL = GT_SQL.replace(" WHERE user_id % 10 = 0", "")
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,12 +136,53 @@ def test_whole_fixture_has_every_line_item(spark, tmp_path):
     rows = [(1, 1, 9, 1.0), (1, 2, 9, 30.0), (1, 3, 9, 2.0), (2, 4, 9, 7.0), (2, 4, 9, 1.0), (3, 5, 9, 1.0)]
     items = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double")
     items.selectExpr("*", "10.0D as l_extendedprice", "timestamp'2026-01-01' as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
-    links = {(r.a, r.b) for r in catalog.co_input_links_all(spark, str(tmp_path)).collect()}
+    links = {(r.a, r.b) for r in catalog.co_input_links(spark, str(tmp_path)).collect()}
     assert links == {("P0000002", "P0000001"), ("P0000003", "P0000001")}
-    assert {r.tx_id: r.merges for r in catalog.co_input_merge_counts_all(spark, str(tmp_path)).collect()} == {"ord1": 2, "ord2": 1}
+    assert {r.tx_id: r.merges for r in catalog.co_input_merge_counts(spark, str(tmp_path)).collect()} == {"ord1": 2, "ord2": 1}
 
 
 def test_whole_truth_has_every_user(spark, tmp_path):
     spark.range(1, 48).selectExpr("id as user_id").write.parquet(f"{tmp_path}/events.parquet")
-    truth = {r.entity_id: r.wallets.split(";") for r in fixtures.ground_truth(spark, str(tmp_path), whole=True).collect()}
+    truth = {r.entity_id: r.wallets.split(";") for r in fixtures.ground_truth(spark, str(tmp_path)).collect()}
     assert truth == {f"true_{g}": [f"W{u:07d}" for u in range(1, 48) if u // 20 == g] for g in range(3)}
+
+
+def test_one_wallet_in_every_transfer(spark):
+    """A wallet of 10^5 transfers, in and out by turns; linear in time and split over slices."""
+    n = 100_000
+    rows = spark.range(n).selectExpr("concat('t', lpad(id, 7, '0')) as tx_id", "timestamp_ntz'2026-01-01' + make_dt_interval(0, 0, 0, id * 200) as timestamp", "if(id % 2 = 0, concat('A', id), 'HUB') as src_wallet", "if(id % 2 = 0, 'HUB', concat('B', id)) as dst_wallet", "1.0d as amount_btc", "'1' as broadcast_ip", "'AS1' as asn")
+    links = linkage.pass_through(rows)
+    assert links.count() == n // 2
+    assert {r.gap_us for r in links.select("gap_us").distinct().collect()} == {200_000_000}
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("AB"), st.sampled_from("ABC"), st.integers(0, 3000), st.integers(1, 4)), max_size=40), st.sampled_from([7, 600, 1000]))
+def test_pass_through_like_brute_force(spark, moves, gap):
+    rows = [(a, b, x, s, "1") for a, b, s, x in moves if a != b]
+    got = sorted((r.in_tx, r.out_tx) for r in linkage.pass_through(transfers(spark, *rows) if rows else spark.createDataFrame([], SCHEMA), gap).collect())
+    want = []
+    for i, (_, b, x, s, _) in enumerate(rows):
+        later = sorted((s2, j) for j, (a2, _, _, s2, _) in enumerate(rows) if a2 == b and s2 >= s)
+        if later and later[0][0] - s <= gap and rows[later[0][1]][2] / x >= linkage.DEFAULTS.retention:
+            want.append((f"t{i:04d}", f"t{later[0][1]:04d}"))
+    assert got == sorted(want)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("AB"), st.integers(0, 20_000)), min_size=1, max_size=40), st.sampled_from([100.0, 3000.0]))
+def test_gaps_and_medians_like_brute_force(spark, sends, limit):
+    from statistics import median
+
+    from ledgermill.functions.temporal import gaps
+
+    rows = labelled(spark, [(w, "Z", 1, s, "1") for w, s in sends], lambda w: w)
+    want = {}
+    for w, s in sorted(sends):
+        want.setdefault(w, []).append(s)
+    want = {w: [b - a for a, b in zip(x, x[1:])] for w, x in want.items()}
+    got = {}
+    for r in gaps(rows, "src_entity").collect():
+        got.setdefault(r.src_entity, []).append(r.gap_us / 1e6)
+    assert {w: sorted(x) for w, x in got.items()} == {w: sorted(x) for w, x in want.items() if x}
+    assert flags(motifs.rapid_pass_through(rows, limit)) == {w: float(median(x) <= limit) for w, x in want.items() if x}

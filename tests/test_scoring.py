@@ -202,3 +202,10 @@ def test_shap_top_has_the_settings_of_the_scores(monkeypatch):
     monkeypatch.setattr(forest, "explain", lambda f, ranked, model, top_n=DEFAULTS.explained_top: seen.update(trees=model, top_n=top_n))
     catalog.shap_top(None, "")
     assert seen == {"trees": DEFAULTS.forest_trees, "top_n": DEFAULTS.explained_top}
+
+
+def test_ranks_of_tied_scores_are_split(spark):
+    rows = [(f"e{k:03d}", float(k % 3 == 0)) for k in range(200)]
+    frame = spark.createDataFrame(rows, "entity_id string, s double")
+    got = {r.entity_id: r["rank"] for r in fusion.ranked_by(frame, "s", rows_a_part=30).collect()}
+    assert got == {e: i + 1 for i, (_, e) in enumerate(sorted((-s, e) for e, s in rows))}

@@ -14,8 +14,8 @@ are rounded first, in descending order, each against all smaller ones of its sou
 what it gains or loses, their fractions lose or gain in proportion, which keeps sums and expectations;
 only a draw that would settle all of these and leave the document itself open, as can happen at the
 very end, gives way to the other one. That takes one small array for each source. The smaller documents then enter the tree with what
-is left of their fractions. A source misses its target by less than one of its smallest
-documents, or a thousandth of its size, unless a single document outweighs all others of its source.
+is left of their fractions. A source misses its target by less than a document
+that outweighs all smaller ones of its source together, mostly one of the smallest, or a thousandth of its size.
 
 The tree is built of groups of about ``fan_in`` documents: every level is one shuffle of
 the narrow residuals and one native fold, and the number of levels grows with

@@ -12,11 +12,15 @@ A pair may meet many times over. It counts only at its canonical meeting point:
 segment that brings it together, and there the smallest value between the two. So
 counts of links need no pass that removes repeats.
 
-Where a table bucket holds few vectors, candidate pairs are joined, filtered by code
-distance and looked up. Where it holds many, its members meet in square blocks of bounded
-size: a task compares two parts of the bucket by matrix product and gives back only each
-vector's number of links and the smallest vector it is tied to. No group of copies is ever
-written out as pairs.
+Equal vectors are one entry with a count: they take part once, and each of them has the
+links of all. Vectors are scaled to length one once, before any pair is looked at.
+
+Where a table bucket holds few vectors, candidate pairs are joined and looked up. Where it
+holds many, its members meet in square blocks of bounded size: a task compares two parts of
+the bucket by matrix product and gives back only each vector's number of links and the
+smallest vector it is tied to. Both ways take the same candidates, those within ``RADIUS`` bits, and
+the same cosine, a sum from the first component to the last, so that links do not depend
+on how full a bucket is. No group of copies is ever written out as pairs.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components
 link with nothing and are kept; rows that repeat an id count once, with the smallest usable
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import ship
-from .common import broadcast_if_small, checkpoint
+from .common import broadcast_if_small, checkpoint, join_hot, materialize
 from .topk import usable
 
 SAMPLE = 8192
@@ -46,8 +50,10 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 COLD_BUCKET = 32
 #: Members of one part of a large bucket.
 PART = 512
-#: Code distance beyond which a joined candidate is not looked up; codes at cosine 0.95 differ in about 6.5 bits of 64.
-FAR_CODE = 20
+#: Radius of the search in bits of the whole code; codes at cosine 0.95 differ in about 6.5 bits of 64.
+RADIUS = 20
+#: Products of matrices sum in another order; cosines this near the threshold are summed again.
+_NEAR = 1e-9
 
 
 def learn_rotation(sample: np.ndarray, bits: int = BITS, rounds: int = 50, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -119,30 +125,51 @@ def _met_here(a: np.ndarray, b: np.ndarray, seg: int, point: int) -> np.ndarray:
     return met
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    width = max((len(v) for v in vectors), default=0)
-    out = np.zeros((len(vectors), width + 1))
+def _matrix(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Rows filled up with zeros to equal length, and their lengths."""
+    lengths = np.array([len(v) for v in vectors], np.int64)
+    out = np.zeros((len(lengths), lengths.max(initial=0)))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
-        out[i, width] = len(v)
-    return out
+    return out, lengths
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; rows of zeros stay."""
+    top = np.abs(x).max(axis=1, keepdims=True, initial=0)
+    x = x / np.where(top > 0, top, 1)
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norms > 0, norms, 1)
+
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of rows of length one, summed from the first component to the last."""
+    return np.cumsum(x * y, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+
+
+def _close(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of x and y have a cosine at the threshold, as a matrix."""
+    product = x @ y.T
+    close = product >= threshold
+    i, j = np.nonzero(np.abs(product - threshold) <= _NEAR)
+    close[i, j] = _cosines(x[i], y[j]) >= threshold
+    return close
 
 
 def _block(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links of one pair of parts of a bucket: per vector their number, and the smallest vector it is tied to here."""
     seg, point, i, j = (int(block[c].iloc[0]) for c in ("seg", "point", "i", "j"))
     block = block.sort_values("id", kind="stable")
-    rows, full = block.part.to_numpy(), _matrix(block.v)
-    x, lengths = full[:, :-1], full[:, -1]
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    ids, codes = block.id.to_numpy(), block.code.to_numpy()
+    rows, (x, lengths) = block.part.to_numpy(), _matrix(block.unit)
+    ids, codes, times = block.id.to_numpy(), block.code.to_numpy(), block.times.to_numpy()
     left, right = np.nonzero(rows == i)[0], np.nonzero(rows == j)[0]
-    linked = (x[left] @ x[right].T >= threshold) & _met_here(codes[left], codes[right], seg, point) & (lengths[left][:, None] == lengths[right][None, :]) & (ids[left][:, None] != ids[right][None, :])
+    near = np.bitwise_count(codes[left][:, None] ^ codes[right][None, :]) <= RADIUS
+    near &= _met_here(codes[left], codes[right], seg, point) & (lengths[left][:, None] == lengths[right][None, :]) & (ids[left][:, None] != ids[right][None, :])
+    linked = near & _close(x[left], x[right], threshold)
     counts = np.zeros(len(ids), np.int64)
-    counts[left] += linked.sum(axis=1)
+    counts[left] += linked @ times[right]
     if i != j:
-        counts[right] += linked.sum(axis=0)
+        counts[right] += times[left] @ linked
     label = np.arange(len(ids))  # rows are in order of id
     while True:
         old = label.copy()
@@ -164,7 +191,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, id_col: str
     v = F.col(vector_col).cast("array<double>")
     good = usable(F.col(vector_col)) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(good, v).alias("v"))
-    rows = rows.groupBy("id").agg(F.min("v").alias("v"))  # nulls give way to a usable vector
+    rows = materialize(rows.groupBy("id").agg(F.min("v").alias("v")))  # nulls give way to a usable vector
     linkable = rows.where("id is not null and v is not null")
     seen = linkable.orderBy(F.xxhash64(F.lit(9), F.col("id")), "id").limit(sample).select("v").toPandas().v
     width = int(seen.map(len).mode().iloc[0]) if len(seen) else 1
@@ -173,18 +200,20 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, id_col: str
         out = np.zeros((len(batch), width))
         for i, x in enumerate(batch):
             out[i, : min(len(x), width)] = x[:width]
-        top = np.abs(out).max(axis=1, keepdims=True, initial=0)
-        out /= np.where(top > 0, top, 1)
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norms > 0, norms, 1)
+        return _unit(out)
 
     mean, projection = learn_rotation(fit(seen))
 
-    def code(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.Series(encode(fit(batch), mean, projection) if len(batch) else [], dtype="int64")
-
-    coded = checkpoint(linkable.select("id", F.pandas_udf(code, "long")("v").alias("code")))
+            x, lengths = _matrix(batch)
+            units = [list(row[:n]) for row, n in zip(_unit(x), lengths, strict=True)]
+            yield pd.DataFrame({"code": encode(fit(batch), mean, projection) if len(batch) else [], "unit": units})
+
+    distinct = materialize(linkable.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("times")))
+    coded = distinct.select("id", "times", F.pandas_udf(code, "code long, unit array<double>")("v").alias("c"))
+    coded = materialize(coded.select("id", "times", "c.code", "c.unit"))
+    units = coded.select("id", "times", "unit")
     filings = []
     for s, (at, w) in enumerate(SEGMENTS):
         own = _segment(F.col("code"), at, w)
@@ -196,26 +225,34 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, id_col: str
 
     cold = filed.join(crowded, ["seg", "point"], "left_anti")
     other = cold.select("seg", "point", F.col("id").alias("id2"), F.col("code").alias("code2"))
-    close_codes = F.bit_count(F.col("code").bitwiseXOR(F.col("code2"))) <= FAR_CODE
-    pairs = cold.join(other, ["seg", "point"]).where((F.col("id") < F.col("id2")) & close_codes & _canonical_here("code", "code2")).select("id", "id2")
-    second = linkable.select(F.col("id").alias("id2"), F.col("v").alias("v2"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    one, two = F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs))), F.transform("v2", lambda x: x / F.array_max(F.transform("v2", F.abs)))
-    close = pairs.join(linkable, "id").join(second, "id2").where(F.size("v") == F.size("v2")).select("id", "id2", one.alias("v"), two.alias("v2"))
-    close = close.where(dot("v", "v2") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("v2", "v2"))) >= threshold).select("id", "id2")
-    close = checkpoint(close)
+    within = F.bit_count(F.col("code").bitwiseXOR(F.col("code2"))) <= RADIUS
+    pairs = cold.join(other, ["seg", "point"]).where((F.col("id") < F.col("id2")) & within & _canonical_here("code", "code2")).select("id", "id2")
+    both = pairs.join(units, "id").join(units.select(F.col("id").alias("id2"), F.col("times").alias("times2"), F.col("unit").alias("unit2")), "id2")
+
+    def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            (x, n), (y, m) = _matrix(a), _matrix(b)
+            most = max(x.shape[1], y.shape[1])
+            x, y = (np.pad(z, ((0, 0), (0, most - z.shape[1]))) for z in (x, y))
+            yield pd.Series((n == m) & (_cosines(x, y) >= threshold))
+
+    close = checkpoint(both.where(F.pandas_udf(linked, "boolean")("unit", "unit2")).select("id", "times", "id2", "times2"))
 
     parts = F.ceil(F.col("n") / part).cast("int")
     hot = filed.join(crowded, ["seg", "point"]).withColumn("p", parts).withColumn("part", F.pmod(F.xxhash64(F.lit(3), F.col("id")), F.col("p")).cast("int"))
     hot = hot.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).withColumn("i", F.least("part", "with")).withColumn("j", F.greatest("part", "with"))
-    hot = hot.join(linkable, "id").select("seg", "point", "i", "j", "part", "id", "code", "v")
+    hot = hot.join(units, "id").select("seg", "point", "i", "j", "part", "id", "times", "code", "unit")
     tied = hot.groupBy("seg", "point", "i", "j").applyInPandas(lambda b: _block(b, threshold), "id long, n long, least long")
     tied = checkpoint(tied.groupBy("id", "least").agg(F.sum("n").alias("n")))
 
-    each = close.select(F.explode(F.array("id", "id2")).alias("id"), F.lit(1).cast("long").alias("n"))
-    links = each.unionByName(tied.select("id", "n")).groupBy("id").agg(F.sum("n").alias("n_links")).withColumnRenamed("id", "k")
+    ends = F.array(F.struct("id", F.col("times2").alias("n")), F.struct(F.col("id2").alias("id"), F.col("times").alias("n")))
+    each = close.select(F.explode(ends).alias("e")).select("e.id", "e.n")
+    links = each.unionByName(tied.select("id", "n")).groupBy("id").agg(F.sum("n").alias("others")).withColumnRenamed("id", "k")
     edges = close.select(F.col("id").alias("a"), F.col("id2").alias("b")).unionByName(tied.select(F.col("id").alias("a"), F.col("least").alias("b")))
     components = connected_components(edges).withColumnRenamed("id", "c")
-    out = rows.select("id").join(links, F.col("id") == F.col("k"), "left").join(components, F.col("id") == F.col("c"), "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    found = distinct.join(links, F.col("id") == F.col("k"), "left").join(components, F.col("id") == F.col("c"), "left")
+    n_links = F.col("times") - 1 + F.coalesce("others", F.lit(0))
+    found = materialize(found.select("v", "times", n_links.alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+    alone = rows.where("id is null or v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = join_hot(linkable, found, ["v"]).select("id", "n_links", "component_id").unionByName(alone)
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

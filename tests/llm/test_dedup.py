@@ -183,6 +183,17 @@ def test_itq_recall(spark, cold, part, n, groups):
     assert itq.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_links_do_not_depend_on_full_buckets(spark):
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((12, 32)) * np.linspace(3, 0.1, 32)
+    rows = [base[i % 12] + rng.standard_normal(32) * rng.choice([0.0, 0.05, 0.3]) for i in range(200)]
+    data = [(i, [float(x) for x in r]) for i, r in enumerate(rows)] + [(500 + i, [1.0] * n) for i, n in enumerate((3, 3, 4))]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    found = [sorted(map(tuple, itq.near_duplicates(frame, cold_bucket=cold, part=part).collect())) for cold, part in ((0, 5), (20, 8), (10_000, 512))]
+    assert found[0] == found[1] == found[2]
+    assert [r[:3] for r in found[0][-3:]] == [(500, 1, 500), (501, 1, 500), (502, 0, 502)]
+
+
 def test_meeting_points_agree():
     rng = np.random.default_rng(0)
     a = rng.integers(-(2**63), 2**63, 50)

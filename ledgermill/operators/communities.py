@@ -1,12 +1,12 @@
 """Communities by parallel Louvain rounds, and how isolated an entity's community is.
 
 A round computes for each node the weight it has towards each neighbouring community, one grouped sum,
-and moves it where modularity gains most. Only half of the nodes may move in a round,
-by a hash, so that two neighbours do not swap for ever; ties go to the smaller community. After the moves
-communities become nodes, and the next level begins. All state is in tables.
-
-A graph whose counted edges stay below a bound is small enough for one process, where the
-sequential method saves the overhead of many jobs.
+and moves it where modularity gains most. Half of the nodes, by a hash, may move in a round and the others in
+the next, so that two neighbours do not swap for ever; ties go to the smaller community. A level ends with a pair of rounds whose
+moves gain next to nothing, or hardly less than those of the pair before (moves that undo each other).
+Then communities become nodes, and the next level begins, until modularity stops rising. All state is in
+written tables (a checkpointed frame keeps what the planner inferred about its columns, and over many rounds that makes
+planning ever slower), and one method serves graphs of every size.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import materialize
 from .scaling import min_max
 
 
@@ -30,75 +30,30 @@ def modularity(edges: DataFrame, communities: DataFrame) -> float:
     return float(inside - degree.agg(F.sum((F.col("d") / (2 * total)) ** 2)).first()[0])
 
 
-#: Edges up to which communities are found in one process.
-LOCAL_EDGES = 200_000
-
-
-def louvain_local(pairs: list[tuple[str, str]], least_gain: float = 1e-7) -> dict[str, str]:
-    """node -> community, by the sequential method over nodes in order."""
-    names = sorted({x for p in pairs for x in p})
-    number = {x: i for i, x in enumerate(names)}
-    near: list[dict[int, float]] = [{} for _ in names]
-    for a, b in pairs:
-        i, j = number[a], number[b]
-        near[i][j] = near[j][i] = near[i].get(j, 0.0) + 1.0
-    loops, total, of = [0.0] * len(names), float(len(pairs)), list(range(len(names)))
-    while total:
-        degree = [sum(n.values()) + 2 * loop for n, loop in zip(near, loops, strict=True)]
-        mine, weight = list(range(len(near))), degree[:]
-        moved_any, moved = False, True
-        while moved:
-            moved = False
-            for i, neighbours in enumerate(near):
-                towards: dict[int, float] = {}
-                for j, w in neighbours.items():
-                    towards[mine[j]] = towards.get(mine[j], 0.0) + w
-                weight[mine[i]] -= degree[i]
-                gain = lambda c, t=towards, k=degree[i], s=weight: t.get(c, 0.0) - k * s[c] / (2 * total)
-                best = min(towards, key=lambda c: (-gain(c), c), default=mine[i])
-                if gain(best) > gain(mine[i]) + least_gain:
-                    mine[i], moved, moved_any = best, True, True
-                weight[mine[i]] += degree[i]
-        if not moved_any:
-            break
-        fresh = {c: k for k, c in enumerate(sorted(set(mine)))}
-        new_near: list[dict[int, float]] = [{} for _ in fresh]
-        new_loops = [0.0] * len(fresh)
-        for i, neighbours in enumerate(near):
-            a = fresh[mine[i]]
-            new_loops[a] += loops[i]
-            for j, w in neighbours.items():
-                b = fresh[mine[j]]
-                if a != b:
-                    new_near[a][b] = new_near[a].get(b, 0.0) + w
-                else:
-                    new_loops[a] += w / 2
-        of = [fresh[mine[c]] for c in of]
-        near, loops = new_near, new_loops
-    smallest: dict[int, str] = {}
-    for i, c in enumerate(of):
-        smallest.setdefault(c, names[i])
-    return {names[i]: smallest[c] for i, c in enumerate(of)}
-
-
-def louvain(pairs: DataFrame, *, max_levels: int = 5, rounds: int = 6, seed: int = 42, least_gain: float = 1e-4, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """pairs(a, b), a simple undirected graph -> (id, community): each community is named after its smallest node."""
-    edges = checkpoint(pairs.where("a <> b").select("a", "b", F.lit(1.0).alias("w")))
-    if edges.limit(local_edges + 1).count() <= local_edges:
-        found = louvain_local([(r.a, r.b) for r in edges.select("a", "b").collect()])
-        return edges.sparkSession.createDataFrame(sorted(found.items()), "id string, community string")
+#: Share of the gain of one pair of rounds above which the next pair counts as no progress.
+STALLED = 0.9
+
+
+def louvain(pairs: DataFrame, *, seed: int = 42, least_gain: float = 1e-4) -> DataFrame:
+    """pairs(a, b), a simple undirected graph -> (id, community): each community is named after its smallest node.
+
+    ``least_gain`` is the modularity that a pair of rounds, and a level, must add to be followed by another.
+    """
+    edges = materialize(pairs.where("a <> b").select("a", "b", F.lit(1.0).alias("w")))
     total = edges.agg(F.sum("w")).first()[0]
-    member = checkpoint(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("community", F.col("id")))
+    member = materialize(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("community", F.col("id")))
     if not total:
         return member
     # Loops carry the weight inside a contracted community.
     loops, best = None, -1.0
-    for _level in range(max_levels):
-        both = checkpoint(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    while True:
+        both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
         inner = both.groupBy("a").agg(F.sum("w").alias("k")).withColumnRenamed("a", "id")
         nodes = inner if loops is None else inner.join(loops, "id", "full").select("id", (F.coalesce("k", F.lit(0.0)) + 2 * F.coalesce("loop", F.lit(0.0))).alias("k"))
-        state = checkpoint(nodes.select("id", "k", F.col("id").alias("c")))
-        for r in range(rounds):
+        state = materialize(nodes.select("id", "k", F.col("id").alias("c")))
+        gains: list[float] = []
+        while True:
+            r = len(gains)
             sums = state.groupBy("c").agg(F.sum("k").alias("s"))
             towards = both.join(state.select(F.col("id").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("in_w"))
             mine = state.withColumnRenamed("c", "own")
@@ -111,19 +66,22 @@ def louvain(pairs: DataFrame, *, max_levels: int = 5, rounds: int = 6, seed: int
             best_of = F.min(F.struct((-F.round(gain, 9)).alias("loss"), (-stay).alias("stay"), F.col("c").alias("to"))).alias("top")
             chosen = options.where("c is not null").groupBy("id").agg(best_of, F.max(F.when(here, F.round(gain, 9))).alias("now"))
             own_sum = state.join(sums, "c").select("id", F.col("k"), F.col("c"), (-F.col("k") * (F.col("s") - F.col("k")) / (2 * total)).alias("alone"))
-            turn = F.pmod(F.xxhash64(F.lit(seed + r), F.col("id")), F.lit(2)) == 0
-            moved = own_sum.join(chosen, "id", "left").select("id", "k", F.when(turn & (-F.col("top.loss") > F.coalesce("now", F.round("alone", 9)) + 1e-9), F.col("top.to")).otherwise(F.col("c")).alias("c"), F.col("c").alias("was"))
-            moved = checkpoint(moved)
-            changed = moved.where("c <> was").count()
-            state = moved.drop("was")
-            if not changed and r:
+            turn = F.pmod(F.xxhash64(F.lit(seed + r // 2), F.col("id")), F.lit(2)) == r % 2
+            more = -F.col("top.loss") - F.coalesce("now", F.round("alone", 9))
+            moves = turn & (more > 1e-9)
+            moved = own_sum.join(chosen, "id", "left").select("id", "k", F.when(moves, F.col("top.to")).otherwise(F.col("c")).alias("c"), F.when(moves, more).alias("gain"))
+            moved = materialize(moved)
+            gains.append(float(moved.agg(F.coalesce(F.sum("gain"), F.lit(0.0))).first()[0]) / total)
+            state = moved.drop("gain")
+            pair, before = sum(gains[-2:]), sum(gains[-4:-2])
+            if r % 2 and (pair <= least_gain or r > 1 and pair > STALLED * before):
                 break
         names = state.groupBy("c").agg(F.min("id").alias("name"))
-        renamed = checkpoint(state.join(names, "c").select("id", "name"))
-        new = checkpoint(member.join(renamed.withColumnRenamed("id", "community"), "community").select("id", F.col("name").alias("community")))
+        renamed = materialize(state.join(names, "c").select("id", "name"))
+        new = materialize(member.join(renamed.withColumnRenamed("id", "community"), "community").select("id", F.col("name").alias("community")))
         ra, rb = renamed.select(F.col("id").alias("a"), F.col("name").alias("na")), renamed.select(F.col("id").alias("b"), F.col("name").alias("nb"))
         mapped = edges.join(ra, "a").join(rb, "b").groupBy(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).agg(F.sum("w").alias("w"))
-        mapped = checkpoint(mapped)
+        mapped = materialize(mapped)
         inside = mapped.where("a = b").select(F.col("a").alias("id"), F.col("w").alias("loop"))
         if loops is not None:
             inside = inside.unionByName(loops.join(renamed, "id").select(F.col("name").alias("id"), "loop")).groupBy("id").agg(F.sum("loop").alias("loop"))
@@ -131,7 +89,7 @@ def louvain(pairs: DataFrame, *, max_levels: int = 5, rounds: int = 6, seed: int
         if q <= best + least_gain:
             break
         member, best = new, q
-        loops, edges = checkpoint(inside), mapped.where("a <> b")
+        loops, edges = materialize(inside), mapped.where("a <> b")
         if edges.isEmpty():
             break
     names = member.groupBy("community").agg(F.min("id").alias("name"))

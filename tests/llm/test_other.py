@@ -158,6 +158,48 @@ def test_licenses_like_brute_force(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_altered_notices_are_retrieved(spark):
+    """Notices with words changed, left out or put in, as long as enough of them is left, wherever they begin."""
+    rng = random.Random(8)
+    notices = [t for parts in licenses.TEMPLATES.values() for t in parts]
+    texts = []
+    for i in range(400):
+        words = rng.choice(notices).split()
+        for _ in range(rng.randint(0, 2)):
+            at = rng.choice([0, len(words) - 1, rng.randrange(len(words))])
+            words[at : at + rng.randint(0, 1)] = rng.choice([[], ["other"], ["one", "more"]])
+        texts.append(" ".join(f"w{rng.randrange(900)}" for _ in range(i % 37)) + " " + " ".join(words) + " end" * (i % 5))
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    expected = {(i, name) for i, t in enumerate(texts) for name in licenses.brute_force(t)}
+    got = {(r.doc_id, r.license) for r in rows}
+    assert got <= expected
+    assert len(expected) > 200
+    assert len(got) >= 0.999 * len(expected)
+
+
+@pytest.mark.parametrize(("shingles", "lost"), [(1, 0), (4, 0), (5, 1), (10, 1), (11, 2), (17, 3), (19, 1), (50, 2)])
+def test_bands_meet_their_certainty(shingles, lost):
+    """A window that has lost what the best one may at worst still shares a band's least and greatest, by drawn orders."""
+    rng = random.Random(3)
+    width, bands = licenses.window_of(shingles), licenses.bands_for(shingles, 0.8, 0.999)
+    both, a, b = range(width - lost), range(100, 100 + lost), range(200, 200 + lost)
+    missed = 0
+    for _ in range(1000):
+        for _ in range(bands):
+            order = {x: rng.random() for x in (*both, *a, *b)}
+            left, right = sorted([*both, *a], key=order.get), sorted([*both, *b], key=order.get)
+            if (left[0], left[-1]) == (right[0], right[-1]):
+                break
+        else:
+            missed += 1
+    assert missed <= 6
+
+
+def test_too_low_a_containment_is_refused():
+    with pytest.raises(ValueError):
+        licenses.bands_for(17, 0.1, 0.999)
+
+
 #: The notice lines that documents holds.
 NOTICES = {
     "All rights reserved.": "LicenseRef-All-Rights-Reserved",

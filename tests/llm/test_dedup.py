@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 from collections import defaultdict
 
@@ -183,6 +184,30 @@ def test_itq_recall(spark, cold, part, n, groups):
     assert itq.near_duplicates(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("folder", ["sf0.1", "check_s"])
+def test_itq_recall_on_the_table(spark, folder):
+    """Links of the rows with an id divisible by 100, and of all rows, against all rows of ``embeddings``; sf0.1 holds no pair."""
+    path = f"/root/testdata/{folder}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    table = spark.read.parquet(path)
+    rows = sorted((r.vec_id, r.embedding) for r in table.collect())
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= 0.95
+    np.fill_diagonal(linked, False)
+    want = linked.sum(axis=1)
+    got = {r.vec_id: r.n_links for r in itq.near_duplicates(table).collect()}
+    found = np.array([got[i] for i in ids.tolist()])
+    assert len(got) == len(rows)
+    assert (found <= want).all()
+    asked = ids % 100 == 0
+    print("links found, all", found.sum(), want.sum(), "asked", found[asked].sum(), want[asked].sum())
+    assert found.sum() >= 0.9 * want.sum()
+    assert found[asked].sum() >= 0.9 * want[asked].sum()
+
+
 def test_links_do_not_depend_on_full_buckets(spark):
     rng = np.random.default_rng(11)
     base = rng.standard_normal((12, 32)) * np.linspace(3, 0.1, 32)

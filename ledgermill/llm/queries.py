@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, itq, licenses, lines, mixing, sharding, simhash, substrings, topk, toxicity
+from . import bpe, divergence, filters, itq, licenses, lines, mixing, pii, sharding, simhash, substrings, topk, toxicity
 from .common import table
 
 
@@ -62,8 +62,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_substrings, op4_simhash, op5_topk, op6_itq, op7_lines, op8_licenses, op9_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_substrings, op4_simhash, op5_topk, op6_itq, op7_lines, op8_licenses, op9_sharding, op10_mixing, op11_filters, op12_divergence, op13_pii)}
 
 
 _TOPK_SQL = """
@@ -84,6 +96,52 @@ FROM marked GROUP BY doc_id
 """
 
 
+_FILTERS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+m AS (
+  SELECT doc_id, part,
+         CASE WHEN len(words) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN least < doc_id THEN 16 ELSE 0 END AS mask FROM w),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+r AS (SELECT part, mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM m LEFT JOIN marks USING (doc_id)),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (SELECT filter_order, s AS step, bits[s] AS bit, CAST(coalesce(list_sum(bits[1:s - 1]), 0) AS INTEGER) AS before FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS s)),
+cases AS (SELECT DISTINCT bit, before FROM steps),
+judged AS (
+  SELECT part, bit, before, count(*) FILTER (mask & (before | bit) = 0) AS kept, count(*) FILTER (mask & bit <> 0 AND mask & before = 0) AS removed,
+         count(*) FILTER (mask & bit <> 0 AND mask & before <> 0) AS redundant, count(*) FILTER (mask = bit) AS unique_fails,
+         count(*) FILTER (mask & bit <> 0 AND mask & before = 0 AND good = 1) AS good_lost, count(*) FILTER (mask & bit <> 0 AND mask & before = 0 AND toxic = 1) AS toxic_lost
+  FROM r, cases GROUP BY part, bit, before),
+sums AS (SELECT part, bit, CAST(sum(removed) AS BIGINT) AS shapley FROM steps JOIN judged USING (bit, before) GROUP BY part, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley
+FROM steps JOIN judged USING (bit, before) JOIN sums USING (part, bit)
+"""
+
+_DIVERGENCE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+size AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+own AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(o.total, 0) + 5 * s.v))::BIGINT AS p,
+         (1 + (1000000000::HUGEINT * (k.n + 5)) // (s.total + 5 * s.v))::BIGINT AS q
+  FROM g JOIN kept k USING (lang) JOIN size s USING (lang) LEFT JOIN own o USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM placed WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for the two queries that it can express. ``documents`` has unique ids and no null texts there."""
-    return {"op5_topk": _TOPK_SQL, "op7_lines": _LINES_SQL}
+    """SQL for the queries that it can express. ``documents`` has unique ids and no null texts there."""
+    return {"op5_topk": _TOPK_SQL, "op7_lines": _LINES_SQL, "op11_filters": _FILTERS_SQL, "op12_divergence": _DIVERGENCE_SQL}

@@ -10,12 +10,12 @@ expectation. What is left is one fractional document for each group; those meet
 next level of a reduction tree, up to the last one of a source, which is rounded alone.
 A large document left over would miss the target by much, and the many small ones of its source
 could not make up for it one by one. So documents above a thousandth of their source
-are rounded first, in descending order, each against all smaller ones of its source taken together:
-what it gains or loses, their fractions lose or gain in proportion, which keeps sums and expectations;
-only a draw that would settle all of these and leave the document itself open, as can happen at the
-very end, gives way to the other one. That takes one small array for each source. The smaller documents then enter the tree with what
-is left of their fractions. A source misses its target by less than a document
-that outweighs all smaller ones of its source together, mostly one of the smallest, or a thousandth of its size.
+are rounded first, in descending order, each against a pool: the smaller ones that are due the same fraction as most of
+their source. The document is taken with the odds of its own fraction, always; what it gains or loses, the fractions of the
+pool lose or gain in one proportion, as far as they can bear it in both directions, so that every
+expectation is kept exactly. That takes one small array for each source. The smaller documents then enter the tree with what
+is left of their fractions. A source misses its target by less than a thousandth of its size, or twice its smallest document if all are large, unless a document has more words than
+all fractions of its source are due, or leave out; such a document, taken or not, misses by the excess.
 
 The tree is built of groups of about ``fan_in`` documents: every level is one shuffle of
 the narrow residuals and one native fold, and the number of levels grows with
@@ -115,43 +115,37 @@ def _fold(items: Column, seed: int, level: int) -> Column:
     return F.aggregate(items, start, meet)
 
 
-def _against_the_rest(giants: Column, mass: Column, size: Column, seed: int) -> Column:
-    """giants: array of ITEM in descending order of size; ``mass`` and ``size``: sums of size * x and size over all units of the source.
+def _against_the_pool(giants: Column, mass: Column, size: Column, seed: int) -> Column:
+    """giants: array of (item, pooled) in descending order of size; ``mass`` and ``size``: sums of size * x and size over the pool, pooled giants included.
 
-    Each giant is paired with all that comes after it. The common change of these is kept as
-    x -> scale * x + shift. -> struct(out: array of ITEM, all integral but possibly one, scale, shift).
+    The common change of the pool is kept as x -> scale * x + shift. -> struct(out: array of ITEM, all integral, scale, shift).
     """
 
-    def item(of: Column, x: Column) -> Column:
-        return F.struct(of["k1"].alias("k1"), of["k2"].alias("k2"), of["size"].alias("size"), x.cast("double").alias("x"))
-
-    def meet(state: Column, new: Column) -> Column:
-        own = F.least(F.greatest(state["scale"] * new["x"] + state["shift"], F.lit(0.0)), F.lit(1.0))
+    def meet(state: Column, entry: Column) -> Column:
+        new, pooled = entry["item"], entry["pooled"]
         w = new["size"].cast("double")
+        own = F.when(pooled, F.least(F.greatest(state["scale"] * new["x"] + state["shift"], F.lit(0.0)), F.lit(1.0))).otherwise(new["x"])
 
         def pool(x: Column) -> Column:
-            held = F.greatest(state["mass"] - w * x, F.lit(0.0))
-            room = F.greatest(state["size"] - w - held, F.lit(0.0))
-            return let(F.struct(x.alias("x"), held.alias("held"), room.alias("room"), F.least(1 - x, held / w).alias("up"), F.least(x, room / w).alias("down"), _unit(seed, new["k1"], new["k2"], F.lit(-2)).alias("draw")), move)
+            held = F.greatest(state["mass"] - F.when(pooled, w * x).otherwise(0.0), F.lit(0.0))
+            size = state["size"] - F.when(pooled, w).otherwise(0.0)
+            rises = _unit(seed, new["k1"], new["k2"], F.lit(-2)) < x
+            return let(F.struct(held.alias("held"), F.greatest(size - held, F.lit(0.0)).alias("room"), size.alias("size"), rises.alias("rises"), (w * (1 - x)).alias("gain"), (w * x).alias("loss")), move)
 
         def move(m: Column) -> Column:
-            above, below = m["up"] >= 1 - m["x"], m["down"] >= m["x"]
-            # A direction that would settle all the rest and leave this one open is not taken, if the other settles it.
-            rises = F.when(above != below, above).otherwise(m["draw"] * (m["up"] + m["down"]) < m["down"])
-            ends = F.when(rises, above).otherwise(below)
-            x = F.when(rises, F.when(ends, F.lit(1.0)).otherwise(m["x"] + m["up"])).otherwise(F.when(ends, F.lit(0.0)).otherwise(m["x"] - m["down"]))
-            # What the rest gives (rises) or takes, as a share of all that it could.
-            share = F.when(~ends, F.lit(1.0)).when(rises, F.when(m["held"] > 0, m["up"] * w / m["held"]).otherwise(0.0)).otherwise(F.when(m["room"] > 0, m["down"] * w / m["room"]).otherwise(0.0))
-            return let(F.struct(x.alias("x"), rises.alias("rises"), F.least(share, F.lit(1.0)).alias("share"), m["held"].alias("held"), m["room"].alias("room")), close)
+            # The part of gain and loss that the pool can bear, whichever of them comes.
+            part = F.least(F.lit(1.0), F.when(m["gain"] > 0, m["held"] / m["gain"]).otherwise(1.0), F.when(m["loss"] > 0, m["room"] / m["loss"]).otherwise(1.0))
+            share = F.when(m["rises"], F.when(m["held"] > 0, part * m["gain"] / m["held"]).otherwise(0.0)).otherwise(F.when(m["room"] > 0, part * m["loss"] / m["room"]).otherwise(0.0))
+            return let(F.struct(F.least(share, F.lit(1.0)).alias("share"), m.alias("of")), close)
 
         def close(e: Column) -> Column:
-            keep = 1 - e["share"]
-            shift = state["shift"] * keep + F.when(e["rises"], F.lit(0.0)).otherwise(e["share"])
-            mass = F.when(e["rises"], e["held"] * keep).otherwise(e["held"] + e["room"] * e["share"])
-            return F.struct(F.concat(state["out"], F.array(item(new, e["x"]))).alias("out"), (state["scale"] * keep).alias("scale"), shift.alias("shift"), mass.alias("mass"), (state["size"] - w).alias("size"))
+            m, keep = e["of"], 1 - e["share"]
+            done = F.struct(new["k1"].alias("k1"), new["k2"].alias("k2"), new["size"].alias("size"), F.when(m["rises"], 1.0).otherwise(0.0).alias("x"))
+            shift = state["shift"] * keep + F.when(m["rises"], 0.0).otherwise(e["share"])
+            mass = F.when(m["rises"], m["held"] * keep).otherwise(m["held"] + m["room"] * e["share"])
+            return F.struct(F.concat(state["out"], F.array(done)).alias("out"), (state["scale"] * keep).alias("scale"), shift.alias("shift"), mass.alias("mass"), m["size"].alias("size"))
 
-        settled = F.struct(F.concat(state["out"], F.array(item(new, own))).alias("out"), state["scale"], state["shift"], (state["mass"] - w * own).alias("mass"), (state["size"] - w).alias("size"))
-        return F.when((own <= 0) | (own >= 1), settled).otherwise(let(own, pool))
+        return let(own, pool)
 
     start = F.struct(F.array().cast(f"array<{ITEM}>").alias("out"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("shift"), mass.alias("mass"), size.cast("double").alias("size"))
     return F.aggregate(giants, start, meet)
@@ -189,24 +183,25 @@ def _alone(left: DataFrame, seed: int) -> DataFrame:
 def pivotal_round(units: DataFrame, *, seed: int, rows: int, fan_in: int = 64, giant: float = GIANT) -> DataFrame:
     """units(name, none, k1, k2, size, x) with 0 < x < 1 and size > 0 -> the same with x 0.0 or 1.0.
 
-    k1 and k2 tell units apart. Within (name, none) the sum of size * x stays the same but for
-    the last unit, which is rounded at random.
+    k1 and k2 tell units apart. Each x keeps its expectation. Within (name, none) the sum of size * x stays the same but for
+    the last unit of the tree, which is rounded at random, and large units that the pool cannot make up for.
     """
-    sums = units.groupBy("name", "none").agg(F.sum("size").alias("total"), F.sum(F.col("size") * F.col("x")).alias("mass"))
+    sums = units.groupBy("name", "none").agg(F.sum("size").alias("total"), F.mode("x", True).alias("usual"))
     sums = broadcast_if_small(sums)  # one row for each source
-    weighed = units.join(sums, ["name", "none"]).withColumn("large", F.col("size") >= F.col("total") * giant)
+    weighed = units.join(sums, ["name", "none"]).withColumn("large", F.col("size") >= F.col("total") * giant).withColumn("pooled", F.col("x") == F.col("usual"))
     weighed = checkpoint(weighed)
+    pools = weighed.where("pooled").groupBy("name", "none").agg(F.sum(F.col("size") * F.col("x")).alias("mass"), F.sum("size").alias("size"))
     # At most 1 / giant of them for each source.
-    order = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("order"), "k1", "k2", F.struct(*FIELDS).alias("item"))))
-    large = weighed.where("large").groupBy("name", "none").agg(order.alias("all"), F.first("mass").alias("mass"), F.first("total").alias("total"))
-    large = checkpoint(large.select("name", "none", _against_the_rest(F.transform("all", lambda e: e["item"]), F.col("mass"), F.col("total"), seed).alias("f")))
+    order = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("order"), "k1", "k2", "pooled", F.struct(*FIELDS).alias("item"))))
+    large = weighed.where("large").groupBy("name", "none").agg(order.alias("all")).join(broadcast_if_small(pools), ["name", "none"])
+    large = checkpoint(large.select("name", "none", _against_the_pool(F.transform("all", lambda e: F.struct(e["item"].alias("item"), e["pooled"].alias("pooled"))), F.col("mass"), F.col("size"), seed).alias("f")))
     one_by_one = large.select("name", "none", F.explode("f.out").alias("i")).select("name", "none", "i.*")
     change = broadcast_if_small(large.select("name", "none", "f.scale", "f.shift"))
     moved = F.coalesce("scale", F.lit(1.0)) * F.col("x") + F.coalesce("shift", F.lit(0.0))
-    small = weighed.where("not large").join(change, ["name", "none"], "left").withColumn("x", F.least(F.greatest(moved, F.lit(0.0)), F.lit(1.0)))
-    small = small.select("name", "none", *FIELDS)
+    small = weighed.where("not large").join(change, ["name", "none"], "left")
+    small = small.withColumn("x", F.when(F.col("pooled"), F.least(F.greatest(moved, F.lit(0.0)), F.lit(1.0))).otherwise(F.col("x"))).select("name", "none", *FIELDS)
     open_ = (F.col("x") > 0) & (F.col("x") < 1)
-    out = one_by_one.where(~open_).unionByName(_alone(one_by_one.where(open_), seed)).unionByName(small.where(~open_))
+    out = one_by_one.unionByName(small.where(~open_))
     return out.unionByName(_tree(small.where(open_), seed=seed, rows=rows, fan_in=fan_in)).select("name", "none", *FIELDS)
 
 

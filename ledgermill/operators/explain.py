@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from ..settings import DEFAULTS
-from .graph import induced_edges, neighbourhood, node_id
+from .graph import induced_edges, induced_edges_of, members_of, neighbourhood, neighbourhoods, node_id
 
 
 def evidence(vertices: DataFrame, edges: DataFrame, wallets: DataFrame, hops: int = DEFAULTS.evidence_hops) -> tuple[DataFrame, DataFrame]:
@@ -16,6 +17,22 @@ def evidence(vertices: DataFrame, edges: DataFrame, wallets: DataFrame, hops: in
     return vertices.join(near, "id").select(*vertices.columns, "hop"), induced_edges(edges, near)
 
 
+def evidence_of(vertices: DataFrame, edges: DataFrame, members: DataFrame, hops: int = DEFAULTS.evidence_hops) -> tuple[DataFrame, DataFrame]:
+    """members(entity_id, wallet) -> (nodes, edges), each with entity_id: ``evidence`` of every entity, found in one walk of all.
+
+    The entities are those to be explained, so that numbering them is a matter of few rows; their wallets and
+    neighbourhoods may be many. An entity whose wallets aren't in the graph has no rows.
+    """
+    edges = checkpoint(edges)
+    entities = members.select("entity_id").distinct()
+    numbers = checkpoint(entities.withColumn("member", F.row_number().over(Window.orderBy("entity_id")).cast("long") - 1))
+    seeds = members.join(numbers, "entity_id").select("member", node_id("Wallet", F.col("wallet")).alias("id")).join(vertices, "id", "left_semi")
+    near = neighbourhoods(edges, seeds, hops)
+    named = lambda df: members_of(df).join(F.broadcast(numbers), "member").drop("member")
+    nodes = named(near).join(vertices, "id").select("entity_id", *vertices.columns, "hop")
+    return nodes, named(induced_edges_of(edges, near)).select("entity_id", *edges.columns)
+
+
 def top_features(values: Column, n: int = 3) -> Column:
     """The ``n`` entries of a map of attributions that are largest in size, ties by name."""
     entries = F.transform(F.map_entries(values), lambda e: F.struct((-F.abs(e["value"])).alias("order"), e["key"].alias("name"), e["value"].alias("value")))

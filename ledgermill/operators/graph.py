@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 KINDS = ("Wallet", "Transaction", "IP", "ASN")
 
 
@@ -72,3 +74,41 @@ def neighbourhood(e: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
         step = both.join(frontier, "a", "left_semi").select(F.col("b").alias("id")).distinct()
         near = near.unionByName(step.join(near, "id", "left_anti").withColumn("hop", F.lit(hop)))
     return near
+
+
+#: Members whose neighbourhoods one whole number carries as bits.
+BITS = 63
+
+
+def neighbourhoods(e: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+    """seeds(member, id), member a number from 0 -> (block, id, bits, hop): who reaches a node first at which hop.
+
+    Bit m of a row of block b stands for member 63 b + m. All members walk together: a hop joins the edges once for each
+    block, so that a hub is expanded once however many members have come to it, and what arrives
+    is combined by bitwise or before it is shuffled. One job for each hop.
+    """
+    both = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(e.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+    bit = F.expr(f"shiftleft(1L, cast(member % {BITS} as int))")
+    start = seeds.select(F.expr(f"member div {BITS}").alias("block"), "id", bit.alias("bits")).groupBy("block", "id").agg(F.bit_or("bits").alias("bits"))
+    near = checkpoint(start.withColumn("hop", F.lit(0)))
+    for hop in range(1, hops + 1):
+        frontier = near.where(F.col("hop") == hop - 1).select("block", F.col("id").alias("a"), "bits")
+        step = both.join(frontier, "a").groupBy("block", F.col("b").alias("id")).agg(F.bit_or("bits").alias("bits"))
+        seen = near.groupBy("block", "id").agg(F.bit_or("bits").alias("seen"))
+        fresh = step.join(seen, ["block", "id"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long")))))
+        near = checkpoint(near.unionByName(fresh.where("bits <> 0").select("block", "id", "bits", F.lit(hop).alias("hop"))))
+    return near
+
+
+def members_of(df: DataFrame) -> DataFrame:
+    """df(block, bits, ...) with one row for each bit, as ``member`` in place of block and bits."""
+    rest = [c for c in df.columns if c not in ("block", "bits")]
+    each = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda m: F.getbit(F.col("bits"), m) == 1)).alias("m")
+    return df.select("block", each, *rest).select((F.col("block") * BITS + F.col("m")).alias("member"), *rest)
+
+
+def induced_edges_of(e: DataFrame, near: DataFrame) -> DataFrame:
+    """The edges of ``e`` with the members (block, bits) that have both ends in their neighbourhood ``near``."""
+    own = checkpoint(near.groupBy("block", "id").agg(F.bit_or("bits").alias("bits")))
+    met = e.join(own.withColumnRenamed("id", "src"), "src").join(own.select("block", F.col("id").alias("dst"), F.col("bits").alias("other")), ["block", "dst"])
+    return met.withColumn("bits", F.col("bits").bitwiseAND(F.col("other"))).where("bits <> 0").select("block", "bits", *e.columns)

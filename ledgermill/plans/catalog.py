@@ -44,17 +44,21 @@ def _stand_in_scores(f: DataFrame, names: tuple[str, ...] = tuple(STAND_INS)) ->
 
 
 def _ranking(spark: SparkSession, d: str, names: tuple[str, ...] = tuple(STAND_INS)) -> DataFrame:
-    scores = _stand_in_scores(checkpoint(features(spark, d)), names)
+    return _ranked(checkpoint(features(spark, d)), names)
+
+
+def _ranked(f: DataFrame, names: tuple[str, ...] = tuple(STAND_INS)) -> DataFrame:
+    scores = _stand_in_scores(f, names)
     wide = fusion.aligned(scores).withColumn("risk_score", F.round(fusion.risk(list(scores), fusion.DEFAULTS.fusion_weights), 9))
     return fusion.ranked_by(wide, "risk_score").withColumn("is_alert", F.col("risk_score") >= fusion.DEFAULTS.alert_threshold)
 
 
 def _joined(spark: SparkSession, d: str) -> DataFrame:
     rows = checkpoint(labelled(spark, d))
-    f = entity_features(touches(rows))
+    f = checkpoint(entity_features(touches(rows)))
     place = entity_geo(enrich.enrich(rows, fx.geo(spark)))
     isolation = communities.entity_isolation(rows.select(F.explode(F.array(F.struct(F.col("src_wallet").alias("wallet"), F.col("src_entity").alias("entity_id")), F.struct(F.col("dst_wallet").alias("wallet"), F.col("dst_entity").alias("entity_id")))).alias("e")).select("e.*").distinct(), _component_communities(rows))
-    return fusion.describe(_ranking(spark, d), f, motifs.motif_scores(rows), isolation, place)
+    return fusion.describe(_ranked(f), f, motifs.motif_scores(rows), isolation, place)
 
 
 def _component_communities(rows: DataFrame) -> DataFrame:
@@ -155,6 +159,24 @@ def evidence_induced_edges(spark, d):
     return _evidence(spark, d)[1]
 
 
+def _evidence_top(spark, d):
+    tx = fx.clean_tx(spark, d)
+    owners = checkpoint(entities(spark, d))
+    f = entity_features(touches(with_entities(tx, owners)))
+    best = _ranked(checkpoint(f)).where(F.col("rank") <= fusion.DEFAULTS.explained_top)
+    return explain.evidence_of(graph.vertices(tx), graph.edges(tx), owners.join(best, "entity_id", "left_semi"))
+
+
+def evidence_top(spark, d):
+    """The nodes around each of the best ranked entities."""
+    return _evidence_top(spark, d)[0].select("entity_id", "id", "kind", F.col("hop").cast("long").alias("hop"))
+
+
+def evidence_top_edges(spark, d):
+    """The edges among them."""
+    return _evidence_top(spark, d)[1]
+
+
 def co_input_links(spark, d):
     return linkage.co_input_edges(fx.mtx(spark, d))
 
@@ -359,7 +381,7 @@ def synthetic_transactions(spark, d):
 
 _NAMED: dict[str, Query] = {f.__name__.removesuffix("_q"): f for f in (
     canonical_tx, validate_clean, validate_rejects, reject_reason_counts, union_mixed_sources, ip_to_int_public_filter, geo_range_join,
-    graph_vertices, graph_edges, edge_kind_counts, nodes_by_kind, wallet_tx_list, simple_projection, node_degree, evidence_2hop_nodes, evidence_induced_edges,
+    graph_vertices, graph_edges, edge_kind_counts, nodes_by_kind, wallet_tx_list, simple_projection, node_degree, evidence_2hop_nodes, evidence_induced_edges, evidence_top, evidence_top_edges,
     co_input_links, co_input_merge_counts, pass_through_links, co_broadcast_links, wallet_entities, entity_sizes, entity_touches, entity_features_q, entity_gap_stats, entity_geo_q,
     motif_peel, motif_fan, motif_rapid, motif_rapid_wide, motif_combined, features_standardized, minmax_scores, iforest_scores, autoencoder_scores, communities_q, community_isolation,
     fused_ranking, ensemble_ranking, alerts, fused_missing_detector, ranked_joined, explanations, top_features, shap_top, latest_feedback, feedback_ready, learned_weights,

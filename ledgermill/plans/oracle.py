@@ -148,6 +148,14 @@ ev_nodes AS (SELECT v.*, hop FROM v JOIN near USING (id)),
 ev_edges AS (SELECT * FROM e WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near))
 """
 
+_TOP = (f"{FEATURES_SQL}, {_scores()}, ".replace("\ne AS (SELECT *,", "\nev AS (SELECT *,").replace("FROM e CROSS JOIN n", "FROM ev CROSS JOIN n") + GRAPH[GRAPH.index("v AS (\n"):]) + f"""
+, twoway AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+t0 AS (SELECT DISTINCT r.entity_id, 'Wallet:' || o.wallet AS id FROM ranking r JOIN ent o USING (entity_id) WHERE rank <= {DEFAULTS.explained_top}),
+t1 AS (SELECT DISTINCT s.entity_id, b AS id FROM t0 s JOIN twoway ON a = s.id EXCEPT SELECT * FROM t0),
+t2 AS (SELECT DISTINCT s.entity_id, b AS id FROM t1 s JOIN twoway ON a = s.id EXCEPT SELECT * FROM t0 EXCEPT SELECT * FROM t1),
+around AS (SELECT *, 0::BIGINT AS hop FROM t0 UNION ALL SELECT *, 1 FROM t1 UNION ALL SELECT *, 2 FROM t2)
+"""
+
 _VALIDATED = f"""
 {TX_SQL}, {DIRTY_SQL},
 parsed AS (
@@ -215,6 +223,8 @@ iso AS (SELECT entity_id, (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw
         "node_degree": _with(GRAPH, "SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id"),
         "evidence_2hop_nodes": _with(EVIDENCE, "SELECT id, kind, hop FROM ev_nodes"),
         "evidence_induced_edges": _with(EVIDENCE, "SELECT * FROM ev_edges"),
+        "evidence_top": _with(_TOP, "SELECT entity_id, id, kind, hop FROM around JOIN v USING (id)"),
+        "evidence_top_edges": _with(_TOP, "SELECT a.entity_id, e.* FROM e JOIN around a ON a.id = e.src JOIN around b ON b.id = e.dst AND a.entity_id = b.entity_id"),
         "co_input_links": _with(MTX_SQL, "SELECT DISTINCT a, b FROM (SELECT src_wallet AS a, min(src_wallet) OVER (PARTITION BY tx_id) AS b FROM mtx) WHERE a <> b"),
         "co_input_merge_counts": _with(MTX_SQL, "SELECT tx_id, count(*) - 1 AS merges FROM mtx GROUP BY tx_id HAVING count(*) > 1"),
         "pass_through_links": _with(f"{CLEAN_SQL}, {LINKS}", "SELECT * FROM pass"),

@@ -10,10 +10,11 @@ from __future__ import annotations
 import os
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from ..settings import CANONICAL_FIELDS
 
 #: Keys that may wrap the records of a JSON object; the first one present holds them.
@@ -35,8 +36,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of records, or an object that wraps one under a known key."""
-    raw = spark.read.option("multiLine", True).option("wholetext", True).text(path).select(F.parse_json("value").alias("v"))
+    """A JSON list of records, or an object that wraps one under a known key. Lists are read in splits, objects whole."""
+    pieces = json_pieces(spark, path)
+    if pieces is not None:
+        return _fields(list_items(pieces).select(F.explode(F.from_json("items", "array<variant>")).alias("r")))
+    raw = spark.read.text(path, wholetext=True).select(F.parse_json(F.regexp_replace("value", "^\ufeff", "")).alias("v"))
     first = raw.select(F.schema_of_variant("v").alias("s")).first()
     shape = first.s if first else "ARRAY<VOID>"
     if shape.startswith("ARRAY"):
@@ -51,11 +55,57 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
             raise ValueError(f"the value under {present[0]} is not a list of records")
     else:
         raise ValueError("JSON must be a list of records, or an object that holds one")
-    rows = records.select(F.explode(F.from_json(F.to_json("r"), "array<variant>")).alias("r"))
+    return _fields(records.select(F.explode(F.from_json(F.to_json("r"), "array<variant>")).alias("r")))
+
+
+def _fields(rows: DataFrame) -> DataFrame:
+    """rows(r), a variant for each record -> canonical fields, which of them were numbers, and the record as text."""
     fields = {f: F.variant_get("r", f"$.{f}", "string").alias(f) for f in CANONICAL_FIELDS}
     kinds = [F.when(F.schema_of_variant(F.variant_get("r", f"$.{f}", "variant")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|BOOLEAN)"), F.lit(f)) for f in CANONICAL_FIELDS]
-    extra = F.to_json("r").alias("_record")
-    return rows.select(*fields.values(), F.array_compact(F.array(*kinds)).alias("_numeric"), extra)
+    return rows.select(*fields.values(), F.array_compact(F.array(*kinds)).alias("_numeric"), F.to_json("r").alias("_record"))
+
+
+def json_pieces(spark: SparkSession, path: str) -> DataFrame | None:
+    """(file, block, pos, text): the files cut at every closing brace, in as many tasks as they have splits; None unless all hold lists."""
+    cut = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("text"))
+    cut = materialize(cut)
+    opening = F.substring(F.regexp_replace("text", "^[\ufeff\\s]+", ""), 1, 1)
+    odd = cut.where("block = 0").groupBy("file").agg(F.min_by(opening, "pos").alias("c")).where("c <> '['")
+    return cut if odd.isEmpty() else None
+
+
+def _before(pieces: DataFrame, value: str, name: str) -> DataFrame:
+    """``pieces`` with the sum of ``value`` over all earlier pieces of their file: sums of splits first, then one window for each split."""
+    place = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = pieces.groupBy("file", "block").agg(F.sum(value).alias("own")).select("file", "block", F.coalesce(F.sum("own").over(place), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("file", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    running = pieces.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return running.join(sums, ["file", "block"]).withColumn(name, F.col(name) + F.col("ahead")).drop("ahead")
+
+
+def list_items(pieces: DataFrame) -> DataFrame:
+    """pieces of JSON lists -> (items): text of lists that together hold all items, each item whole.
+
+    Whether a piece begins inside a string follows from the number of quotes before it, its depth then from the
+    brackets outside strings, and a record ends where a brace closes at the depth of the list. A closing brace is
+    never escaped, so that no escape is cut.
+    """
+    bare = F.regexp_replace("text", r"(?s)\\.", "")
+    quoted = pieces.withColumn("quotes", F.size(F.split(bare, '"', -1)) - 1)
+    quoted = _before(quoted, "quotes", "quotes_before")
+    outside = F.array_join(F.filter(F.split(bare, '"', -1), lambda part, k: (k + F.col("quotes_before")) % 2 == 0), " ")
+    ends_outside = (F.col("quotes_before") + F.col("quotes")) % 2 == 0
+    closes = F.regexp_count(outside, F.lit(r"\]")) + ends_outside.cast("int")
+    nested = quoted.withColumn("closed", ends_outside).withColumn("delta", F.regexp_count(outside, F.lit(r"[\[{]")) - closes)
+    nested = materialize(nested.drop("quotes", "quotes_before"))
+    nested = _before(nested, "delta", "depth")
+    ended = nested.withColumn("border", (F.col("closed") & (F.col("depth") + F.col("delta") == 1)).cast("int")).drop("depth", "delta", "closed")
+    placed = _before(materialize(ended), "border", "record")
+    whole = placed.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("block", "pos", "text"))).alias("parts"), F.max("border").alias("full"))
+    text = F.array_join(F.transform("parts", lambda p: p["text"]), "}")
+    body = F.regexp_replace(text, "^[\ufeff\\s]*[\\[,]", "")
+    body = F.when(F.col("full") == 1, F.concat(body, F.lit("}"))).otherwise(F.regexp_replace(body, r"\][\s}]*$", ""))
+    return whole.select(F.concat(F.lit("["), body, F.lit("]")).alias("items"))
 
 
 def read_xml(spark: SparkSession, path: str, record_tag: str = "transaction") -> DataFrame:

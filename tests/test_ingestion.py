@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +97,28 @@ def test_longest_prefix_wins_and_absent_blocks_give_nulls(spark):
     none = enrich.enrich(rows, None)
     assert set(enrich.GEO_FIELDS) <= set(none.columns)
     assert none.where("country is not null").count() == 0
+
+
+def test_json_lists_are_read_in_splits(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    odd = ["}", "{", "[", "]", '"', "\\", "\\}", '\\"}', "],[", "plain", "é漢", "\n", "{}", "[{"]
+    records = [VALID | {"tx_id": f"t{k}", "asn": "".join(rng.choice(odd) for _ in range(rng.randint(0, 12))), "extra": {"a": [{"b": rng.choice(odd)}, []]}, "amount_btc": rng.choice([1.5, "2", None])} for k in range(120)]
+    texts = {"indented": json.dumps(records, indent=2), "dense": json.dumps(records, separators=(",", ":"), ensure_ascii=False), "bom": "\ufeff \n" + json.dumps(records) + "\n\n", "one": json.dumps(records[:1]), "empty": "[]", "blank": " [ ] ", "scalars": json.dumps([1, records[0], "x}", records[1], None, [records[2]]])}
+    for name, text in texts.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(text, encoding="utf-8")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            pieces = readers.json_pieces(spark, str(path))
+            got = readers.read_json(spark, str(path))
+            rows = sorted(map(repr, got.collect()))
+            tasks = pieces.select("block").distinct().count()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert tasks >= len(text.encode()) // 1500
+        with monkeypatch.context() as m:
+            m.setattr(readers, "json_pieces", lambda *_: None)
+            assert rows == sorted(map(repr, readers.read_json(spark, str(path)).collect())), name
+    assert {json.loads(r._record)["asn"] for r in readers.read_json(spark, str(tmp_path / "dense.json")).collect()} == {r["asn"] for r in records}

@@ -12,7 +12,7 @@ from ..operators.features import entity_features, entity_geo, touches, with_enti
 from ..session import checkpoint
 from ..settings import FEATURES
 from ..sources import fixtures as fx
-from ..sources.synth import generate
+from ..sources.synth import actors, transfers
 from . import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -375,8 +375,16 @@ def edge_property_endpoints(spark, d):
 
 
 def synthetic_transactions(spark, d):
-    """The generator's transactions; it reads no table."""
-    return generate(spark)[0]
+    """Transfers of one actor for each customer, with the generator's typologies planted among them."""
+    return _synthetic(spark, d)[0]
+
+
+def synthetic_truth(spark, d):
+    return _synthetic(spark, d)[1]
+
+
+def _synthetic(spark, d):
+    return transfers(actors(spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("number"))))
 
 
 _NAMED: dict[str, Query] = {f.__name__.removesuffix("_q"): f for f in (
@@ -385,7 +393,7 @@ _NAMED: dict[str, Query] = {f.__name__.removesuffix("_q"): f for f in (
     co_input_links, co_input_merge_counts, pass_through_links, co_broadcast_links, wallet_entities, entity_sizes, entity_touches, entity_features_q, entity_gap_stats, entity_geo_q,
     motif_peel, motif_fan, motif_rapid, motif_rapid_wide, motif_combined, features_standardized, minmax_scores, iforest_scores, autoencoder_scores, communities_q, community_isolation,
     fused_ranking, ensemble_ranking, alerts, fused_missing_detector, ranked_joined, explanations, top_features, shap_top, latest_feedback, feedback_ready, learned_weights,
-    cluster_truth, confusion, precision_at_k, recall_by_typology, typology_options, alerts_filtered, located_points, entity_lookup, kind_view, node_display, node_details, edge_property_endpoints, synthetic_transactions,
+    cluster_truth, confusion, precision_at_k, recall_by_typology, typology_options, alerts_filtered, located_points, entity_lookup, kind_view, node_display, node_details, edge_property_endpoints, synthetic_transactions, synthetic_truth,
 )}
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..settings import DEFAULTS, FEATURES
 from ..sources.fixtures import CLEAN_SQL, DIRTY_SQL, FB_SQL, GEO_SQL, GT_SQL, MTX_SQL, TX_SQL
+from ..sources.synth import synth_sql
 
 US = "(epoch_us({b}) - epoch_us({a}))"
 
@@ -270,5 +271,7 @@ iso AS (SELECT entity_id, (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw
             f"{EVIDENCE}, deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM ev_edges UNION ALL SELECT dst FROM ev_edges) GROUP BY id)",
             "SELECT id, kind, substr(raw, 1, 8) || CASE WHEN length(raw) > 8 THEN '…' ELSE '' END AS label, round(14 + 10 * (coalesce(degree, 0) / (SELECT max(degree) FROM deg)) + CASE WHEN id = 'Wallet:W0000001' THEN 8 ELSE 0 END, 6)::DOUBLE AS size, id = 'Wallet:W0000001' AS is_seed FROM (SELECT *, substr(id, strpos(id, ':') + 1) AS raw FROM ev_nodes) LEFT JOIN deg USING (id)"),
         "node_details": _with(GRAPH, "SELECT kind, substr(id, strpos(id, ':') + 1) AS raw_id, amount_btc, \"timestamp\", asn FROM v"),
+        "synthetic_transactions": _with(synth_sql("SELECT c_custkey AS number FROM customer"), "SELECT * FROM stx"),
+        "synthetic_truth": _with(synth_sql("SELECT c_custkey AS number FROM customer"), "SELECT * FROM struth"),
         "edge_property_endpoints": _with(GRAPH, "SELECT src AS id FROM e WHERE kind = 'broadcast_from' UNION SELECT dst FROM e WHERE kind = 'broadcast_from'"),
     }

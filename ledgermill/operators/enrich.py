@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.network import ip_to_long, is_public
+from ..functions.network import ip_key, ip_to_long, is_public, is_public_key, masked
 
 GEO_FIELDS = {"country": "string", "city": "string", "latitude": "double", "longitude": "double", "asn_org": "string"}
 BUCKET = 1 << 16
@@ -25,9 +25,32 @@ def lookup(ips: DataFrame, blocks: DataFrame) -> DataFrame:
     return met.groupBy("ip").agg(best).select("ip", "g.*")
 
 
+def lookup_prefixes(ips: DataFrame, blocks: DataFrame) -> DataFrame:
+    """ips(ip) distinct, of either version, blocks(network, GEO_FIELDS) -> (ip, GEO_FIELDS) of the addresses found.
+
+    The longest prefix wins. An address is cut to each prefix length that a block of its version has, 33 and 129 at
+    most, and met by equal keys, so that no block is spread and no range compared. Of equal networks the largest fields win.
+    """
+    first = ip_key(F.substring_index("network", "/", 1))
+    nets = blocks.select(first.alias("k"), F.substring_index("network", "/", -1).try_cast("int").alias("prefix"), *GEO_FIELDS).where("k is not null and prefix is not null")
+    hi, lo = masked(F.col("k.version"), F.col("k.hi"), F.col("k.lo"), F.col("prefix"))
+    nets = nets.select(F.col("k.version").alias("version"), hi.alias("hi"), lo.alias("lo"), "prefix", *GEO_FIELDS)
+    lengths = nets.groupBy("version").agg(F.collect_set("prefix").alias("lengths"))
+    keyed = ips.withColumn("k", ip_key(F.col("ip"))).where(is_public_key(F.col("k"))).select("ip", "k.*")
+    cut = keyed.join(F.broadcast(lengths), "version").withColumn("prefix", F.explode("lengths"))  # two rows
+    cut_hi, cut_lo = masked(F.col("version"), F.col("hi"), F.col("lo"), F.col("prefix"))
+    met = cut.select("ip", "version", "prefix", cut_hi.alias("hi"), cut_lo.alias("lo")).join(nets, ["version", "prefix", "hi", "lo"])
+    best = F.max_by(F.struct(*GEO_FIELDS), F.struct("prefix", F.struct(*GEO_FIELDS))).alias("g")
+    return met.groupBy("ip").agg(best).select("ip", "g.*")
+
+
 def enrich(rows: DataFrame, blocks: DataFrame | None, ip_col: str = "broadcast_ip") -> DataFrame:
-    """``rows`` with the five GEO_FIELDS; all null without blocks."""
+    """``rows`` with the five GEO_FIELDS; all null without blocks.
+
+    ``blocks`` are IPv4 ranges, or networks of either version if they have a column ``network``.
+    """
     if blocks is None:
         return rows.withColumns({f: F.lit(None).cast(t) for f, t in GEO_FIELDS.items()})
-    found = lookup(rows.select(F.col(ip_col).alias("ip")).distinct(), blocks).withColumnRenamed("ip", "_ip")
+    find = lookup_prefixes if "network" in blocks.columns else lookup
+    found = find(rows.select(F.col(ip_col).alias("ip")).distinct(), blocks).withColumnRenamed("ip", "_ip")
     return rows.join(found, F.col(ip_col) == F.col("_ip"), "left").drop("_ip")

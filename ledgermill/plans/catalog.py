@@ -122,6 +122,11 @@ def geo_range_join(spark, d):
     return enrich.enrich(fx.tx(spark, d), fx.geo(spark)).select("tx_id", "broadcast_ip", *enrich.GEO_FIELDS)
 
 
+def geo_mixed_versions(spark, d):
+    """Addresses of both versions by longest prefix."""
+    return enrich.enrich(fx.mixed_ips(spark, d), fx.networks(spark)).select("tx_id", *enrich.GEO_FIELDS)
+
+
 def graph_vertices(spark, d):
     return graph.vertices(fx.clean_tx(spark, d))
 
@@ -388,7 +393,7 @@ def _synthetic(spark, d):
 
 
 _NAMED: dict[str, Query] = {f.__name__.removesuffix("_q"): f for f in (
-    canonical_tx, validate_clean, validate_rejects, reject_reason_counts, union_mixed_sources, ip_to_int_public_filter, geo_range_join,
+    canonical_tx, validate_clean, validate_rejects, reject_reason_counts, union_mixed_sources, ip_to_int_public_filter, geo_range_join, geo_mixed_versions,
     graph_vertices, graph_edges, edge_kind_counts, nodes_by_kind, wallet_tx_list, simple_projection, node_degree, evidence_2hop_nodes, evidence_induced_edges, evidence_top, evidence_top_edges,
     co_input_links, co_input_merge_counts, pass_through_links, co_broadcast_links, wallet_entities, entity_sizes, entity_touches, entity_features_q, entity_gap_stats, entity_geo_q,
     motif_peel, motif_fan, motif_rapid, motif_rapid_wide, motif_combined, features_standardized, minmax_scores, iforest_scores, autoencoder_scores, communities_q, community_isolation,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..settings import DEFAULTS, FEATURES
-from ..sources.fixtures import CLEAN_SQL, DIRTY_SQL, FB_SQL, GEO_SQL, GT_SQL, MTX_SQL, TX_SQL
+from ..sources.fixtures import CLEAN_SQL, DIRTY_SQL, FB_SQL, GEO_SQL, GT_SQL, MIXED_SQL, MTX_SQL, TX_SQL
 from ..sources.synth import synth_sql
 
 US = "(epoch_us({b}) - epoch_us({a}))"
@@ -215,6 +215,7 @@ iso AS (SELECT entity_id, (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw
         "union_mixed_sources": _with(f"{TX_SQL}, {MTX_SQL}", "SELECT substr(tx_id, 1, 2) AS source, asn, count(*) AS n, round(sum(amount_btc), 4) AS total FROM (SELECT * FROM tx UNION ALL BY NAME SELECT * FROM mtx) GROUP BY 1, 2"),
         "ip_to_int_public_filter": _with(TX_SQL, "SELECT DISTINCT broadcast_ip AS ip, list_reduce(list_transform(string_split(broadcast_ip, '.'), lambda x: CAST(x AS BIGINT)), lambda a, x: a * 256 + x) AS ip_number, true AS public FROM tx"),
         "geo_range_join": _with(f"{TX_SQL}, {GEO_SQL}, {lookup}", "SELECT tx_id, broadcast_ip, country, city, latitude, longitude, asn_org FROM located"),
+        "geo_mixed_versions": _with(MIXED_SQL, "SELECT tx_id, country, city, latitude, longitude, asn_org FROM mixed LEFT JOIN (SELECT * EXCLUDE (version) FROM placed WHERE r = 1) USING (tx_id)"),
         "graph_vertices": _with(GRAPH, "SELECT * FROM v"),
         "graph_edges": _with(GRAPH, "SELECT * FROM e"),
         "edge_kind_counts": _with(GRAPH, "SELECT kind, count(*) AS n FROM e GROUP BY kind"),

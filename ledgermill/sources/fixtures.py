@@ -179,3 +179,51 @@ dirty AS (
          CASE WHEN m = 1 THEN NULL ELSE asn END AS asn
   FROM d0)
 """
+
+
+# (network, country, city, latitude, longitude, organisation)
+_NETWORKS = (
+    ("41.12.0.0/16", "ZA", "Cape Town", -33.9, 18.4, "South Net"),
+    ("41.12.1.0/24", "KE", "Nairobi", -1.3, 36.8, "East Net"),
+    ("77.88.5.0/24", "FI", "Helsinki", 60.2, 24.9, "Baltic Net"),
+    ("2a0c::/16", "SE", None, 59.3, 18.1, "Six Net"),
+    ("2a0c:3::/32", "NO", "Oslo", 59.9, 10.7, "Fjord Net"),
+    ("2a0c:3:0040::/42", "NO", "Bergen", 60.4, 5.3, "Fjord Net"),
+    ("2a0c:5:8000::/33", "DK", "Aarhus", None, None, "Belt Net"),
+    ("2A0C:7:1:0:0:0:0:80/121", "IS", "Akureyri", 65.7, -18.1, "Geyser Net"),
+)
+
+
+def networks(spark: SparkSession) -> DataFrame:
+    """A small table of networks of both versions, with overlaps and missing values."""
+    return spark.createDataFrame(list(_NETWORKS), "network string, country string, city string, latitude double, longitude double, asn_org string")
+
+
+def mixed_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tx_id, broadcast_ip): an address for each event; two of three are IPv6, shortened or in full, and some are private."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    event, user = F.col("event_id"), F.col("user_id")
+    word = lambda x: F.lower(F.hex(x))
+    a, b, c = word(event % 8), word(user % 65536), word(event % 65536)
+    head = F.when(event % 11 == 0, "fd00").otherwise("2a0c")
+    short, full = F.concat_ws(":", head, a, b, F.lit(""), c), F.concat_ws(":", F.upper(head), a, F.lpad(b, 4, "0"), F.lit("0"), F.lit("0000"), F.lit("0"), F.lit("0"), c)
+    four = F.concat_ws(".", F.lit("41"), F.lit("12"), F.floor(user / 250).cast("string"), (user % 250).cast("string"))
+    return events.select(_padded("tx", event, 10).alias("tx_id"), F.when(event % 3 == 0, short).when(event % 3 == 1, full).otherwise(four).alias("broadcast_ip"))
+
+
+def _network_rows() -> list[str]:
+    import ipaddress
+
+    nets = [(ipaddress.ip_network(n, strict=False), *rest) for n, *rest in _NETWORKS]
+    return [f"({n.version}, {int(n.network_address)}::HUGEINT, {int(n.broadcast_address)}::HUGEINT, {n.prefixlen}, {', '.join(_literal(v) for v in rest)})" for n, *rest in nets]
+
+
+MIXED_SQL = f"""
+net(version, low, high, prefix, country, city, latitude, longitude, asn_org) AS (VALUES {', '.join(_network_rows())}),
+mixed AS (
+  SELECT 'tx' || lpad(CAST(event_id AS VARCHAR), 10, '0') AS tx_id, CASE WHEN event_id % 3 = 2 THEN 4 ELSE 6 END AS version, event_id % 11 = 0 AND event_id % 3 <> 2 AS private,
+         CASE WHEN event_id % 3 = 2 THEN (41 * 65536 * 256 + 12 * 65536 + (user_id // 250) * 256 + user_id % 250)::HUGEINT
+              ELSE (((10764::HUGEINT * 65536 + event_id % 8) * 65536 + user_id % 65536) * 65536 * 65536 * 65536 * 65536 * 65536) + event_id % 65536 END AS n
+  FROM events),
+placed AS (SELECT tx_id, net.*, row_number() OVER (PARTITION BY tx_id ORDER BY prefix DESC) AS r FROM mixed JOIN net ON net.version = mixed.version AND n BETWEEN low AND high AND NOT private)
+"""

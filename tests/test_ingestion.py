@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import ipaddress
 import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgermill.functions.network import ip_to_long, is_public, is_public_any_version
+from ledgermill.functions.network import ip_key, ip_to_long, is_public, is_public_key
 from ledgermill.operators import enrich, validate
 from ledgermill.sources import fixtures, readers
 
@@ -81,13 +82,32 @@ def test_bad_sources_raise(spark, tmp_path, name, body):
         readers.read_any(spark, str(tmp_path / name))
 
 
-def test_public_addresses(spark):
-    ips = ["8.8.8.8", "10.1.2.3", "127.0.0.1", "192.168.1.1", "172.31.0.1", "172.32.0.1", "240.0.0.1", "256.1.1.1", "text", None, "192.0.0.9", "2001:4860:4860::8888", "::1"]
-    df = spark.createDataFrame([(i, ) for i in ips], "ip string")
-    got = {r.ip: (r.v4, r.any) for r in df.select("ip", is_public(ip_to_long(F.col("ip"))).alias("v4"), is_public_any_version(F.col("ip")).alias("any")).collect()}
-    public = {"8.8.8.8", "172.32.0.1", "192.0.0.9"}
-    assert {k for k, v in got.items() if v[0]} == public
-    assert {k for k, v in got.items() if v[1]} == public | {"2001:4860:4860::8888"}
+def test_addresses_of_both_versions_like_the_library(spark):
+    rng = random.Random(11)
+    ips = ["8.8.8.8", "10.1.2.3", "127.0.0.1", "192.168.1.1", "172.31.0.1", "172.32.0.1", "240.0.0.1", "256.1.1.1", "text", None, "", "192.0.0.9", "2001:4860:4860::8888", "::1", "::", ":::", "1::2::3", "::ffff:8.8.8.8", "::ffff:10.0.0.1", "64:ff9b::1.2.3.4", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "::1:2:3:4:5:6:7:8", ":1:2:3:4:5:6:7:8", "2001:db8::G", "2001:DB8::ABCD", "2001:20::1", "2001:4:112::", "12345::", "::1.2.3", "1.2.3.4::"]
+    for _ in range(300):
+        words = [rng.choice([0, 1, 0x2001, 0x2A0C, 0xFE80, 0xFFFF, rng.getrandbits(16)]) for _ in range(8)]
+        a = ipaddress.IPv6Address(sum(w << 16 * k for k, w in enumerate(words)))
+        ips += [str(a), a.exploded.upper()]
+    rows = spark.createDataFrame([(i,) for i in ips], "ip string").withColumn("k", ip_key(F.col("ip"))).withColumn("public", is_public_key(ip_key(F.col("ip")))).collect()
+    for r in rows:
+        try:
+            a = ipaddress.ip_address(r.ip)
+            a = getattr(a, "ipv4_mapped", None) or a
+        except ValueError:
+            assert r.k is None, r.ip
+            assert not r.public
+            continue
+        assert (r.k.version, (r.k.hi % 2**64) << 64 | r.k.lo % 2**64) == (a.version, int(a)), r.ip
+        assert r.public == (not (a.is_private or a.is_loopback or a.is_reserved)), r.ip
+
+
+def test_longest_prefix_of_either_version(spark):
+    blocks = spark.createDataFrame([("2a0c::/16", "A"), ("2a0c:1::/32", "B"), ("2a0c:1::5/128", "C"), ("2a0c:1:8000::/33", "D"), ("8.8.0.0/16", "E"), ("8.8.8.8/32", "F"), ("bad", "G"), ("2a0c:1::/32", "A2")], "network string, country string")
+    blocks = blocks.selectExpr("network", "country", "null as city", "cast(null as double) as latitude", "cast(null as double) as longitude", "null as asn_org")
+    want = {"2a0c:2::1": "A", "2a0c:1::1": "B", "2A0C:1:0:0:0:0:0:5": "C", "2a0c:1:9000::": "D", "8.8.1.1": "E", "8.8.8.8": "F", "::ffff:8.8.8.8": "F", "9.9.9.9": None, "2a0b::": None, "10.0.0.1": None, "x": None}
+    rows = enrich.enrich(spark.createDataFrame([(i,) for i in want], "broadcast_ip string"), blocks).collect()
+    assert {r.broadcast_ip: r.country for r in rows} == want
 
 
 def test_longest_prefix_wins_and_absent_blocks_give_nulls(spark):

@@ -54,3 +54,10 @@ def enrich(rows: DataFrame, blocks: DataFrame | None, ip_col: str = "broadcast_i
     find = lookup_prefixes if "network" in blocks.columns else lookup
     found = find(rows.select(F.col(ip_col).alias("ip")).distinct(), blocks).withColumnRenamed("ip", "_ip")
     return rows.join(found, F.col(ip_col) == F.col("_ip"), "left").drop("_ip")
+
+
+def enrich_from(rows: DataFrame, city: DataFrame | None, network: DataFrame | None, ip_col: str = "broadcast_ip") -> DataFrame:
+    """``rows`` with the place of one database and the organisation of another; either may be absent."""
+    placed = enrich(rows, city, ip_col).drop("asn_org")
+    owned = enrich(placed.select(F.struct("*").alias("_row"), F.col(ip_col).alias("_ip_of")), network, "_ip_of")
+    return owned.select("_row.*", "asn_org")

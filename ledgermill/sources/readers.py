@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..session import materialize
 from ..settings import CANONICAL_FIELDS
+from .mmdb import read_mmdb
 
 #: Keys that may wrap the records of a JSON object; the first one present holds them.
 WRAPPERS = ("transactions", "records", "data")
@@ -158,9 +159,11 @@ def read_weights(spark: SparkSession, path: str) -> dict[str, float] | None:
 
 
 def read_cidr(spark: SparkSession, path: str | None) -> DataFrame | None:
-    """A CIDR table in Parquet or CSV, or None: enrichment then gives nulls."""
+    """A CIDR table in Parquet or CSV, the networks of an .mmdb file, or None: enrichment then gives nulls."""
     if not path or not path_exists(spark, path):
         return None
+    if path.lower().endswith(".mmdb"):
+        return read_mmdb(spark, path)
     if path.lower().endswith(".csv"):
         return spark.read.option("header", True).schema(CIDR).csv(path)
     return spark.read.parquet(path)

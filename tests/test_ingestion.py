@@ -3,13 +3,14 @@ from __future__ import annotations
 import ipaddress
 import json
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgermill.functions.network import ip_key, ip_to_long, is_public, is_public_key
 from ledgermill.operators import enrich, validate
-from ledgermill.sources import fixtures, readers
+from ledgermill.sources import fixtures, mmdb, readers
 
 VALID = {"tx_id": "a" * 64, "timestamp": "2026-01-01T00:00:00", "src_wallet": "1" + "x" * 33, "dst_wallet": "1" + "y" * 33, "amount_btc": "0.5", "broadcast_ip": "41.12.0.1", "asn": "AS1000"}
 
@@ -142,3 +143,102 @@ def test_json_lists_are_read_in_splits(spark, tmp_path, monkeypatch):
             m.setattr(readers, "json_pieces", lambda *_: None)
             assert rows == sorted(map(repr, readers.read_json(spark, str(path)).collect())), name
     assert {json.loads(r._record)["asn"] for r in readers.read_json(spark, str(tmp_path / "dense.json")).collect()} == {r["asn"] for r in records}
+
+
+def _encoded(value):
+    """A value of the data section, without pointers."""
+    head = lambda kind, n: (bytes([kind << 5 | min(n, 29)]) if kind < 8 else bytes([min(n, 29), kind - 7])) + (bytes([n - 29]) if n >= 29 else b"")
+    if isinstance(value, str):
+        return head(2, len(value.encode())) + value.encode()
+    if isinstance(value, float):
+        return head(3, 8) + struct.pack(">d", value)
+    if isinstance(value, dict):
+        return head(7, len(value)) + b"".join(_encoded(k) + _encoded(v) for k, v in value.items())
+    if isinstance(value, list):
+        return head(11, len(value)) + b"".join(map(_encoded, value))
+    body = value.to_bytes((value.bit_length() + 7) // 8, "big")
+    return head(6, len(body)) + body
+
+
+def _mmdb(networks, record_size, version, alias=None):
+    """A file with these networks, built bit by bit; ``alias``: a network that points to the IPv4 tree as well."""
+    root, data, places = [None, None], b"", {}
+    length = 128 if version == 6 else 32
+    longest = sorted(networks, key=lambda n: ipaddress.ip_network(n).prefixlen)
+
+    def bits_of(n):
+        net = ipaddress.ip_network(n)
+        value, depth = int(net.network_address), net.prefixlen
+        if version == 6 and net.version == 4:
+            depth += 96
+        return [value >> (length - 1 - k) & 1 for k in range(depth)]
+
+    for n in longest:
+        node, path = root, bits_of(n)
+        for b in path[:-1]:
+            if not isinstance(node[b], list):
+                node[b] = [node[b], node[b]]
+            node = node[b]
+        node[path[-1]] = n
+    if alias:
+        node, four = root, root
+        for b in bits_of(alias)[:-1]:
+            node[b] = node[b] if isinstance(node[b], list) else [None, None]
+            node = node[b]
+        for _ in range(96):
+            four = four[0]
+        node[bits_of(alias)[-1]] = four
+    order, todo = {}, [root]
+    while todo:
+        node = todo.pop()
+        if id(node) not in order:
+            order[id(node)] = (len(order), node)
+            todo += [x for x in node if isinstance(x, list)]
+    for n, record in networks.items():
+        places[n] = len(data)
+        data += _encoded(record)
+    value = lambda x: len(order) if x is None else order[id(x)][0] if isinstance(x, list) else len(order) + 16 + places[x]
+    out = b""
+    for _, node in sorted(order.values(), key=lambda v: v[0]):
+        a, b = map(value, node)
+        if record_size == 28:
+            out += (a & 0xFFFFFF).to_bytes(3, "big") + bytes([a >> 24 << 4 | b >> 24]) + (b & 0xFFFFFF).to_bytes(3, "big")
+        else:
+            out += a.to_bytes(record_size // 8, "big") + b.to_bytes(record_size // 8, "big")
+    meta = {"node_count": len(order), "record_size": record_size, "ip_version": version, "languages": ["en"]}
+    return out + bytes(16) + data + mmdb.METADATA + _encoded(meta)
+
+
+@pytest.mark.parametrize(("record_size", "version"), [(24, 4), (28, 6), (32, 6)])
+def test_mmdb_like_its_networks(spark, tmp_path, record_size, version):
+    record = lambda c, name, x: {"country": {"iso_code": c, "geoname_id": 70000}, "city": {"names": {"de": "x" * 40, "en": name}}, "location": {"latitude": x, "longitude": -x}}
+    networks = {"8.8.0.0/16": record("US", "A", 1.5), "8.8.8.0/24": record("CA", "Bé", 2.5), "41.12.0.0/15": {"autonomous_system_organization": "South Net"}, "128.0.0.0/1": record("ZZ", "half", 9.0)}
+    if version == 6:
+        networks |= {"2a0c::/16": record("SE", "Six", 3.5), "2a0c:1::/32": record("NO", "Oslo", 4.5), "2a0c:1::5/128": record("IS", "Host", 5.5)}
+    path = str(tmp_path / "geo.mmdb")
+    (tmp_path / "geo.mmdb").write_bytes(_mmdb(networks, record_size, version, "2002::/16" if version == 6 else None))
+    rows = [tuple(r) for r in readers.read_cidr(spark, path).collect()]
+    covered = lambda n: [(m, networks[m]) for m in networks if ipaddress.ip_network(m).version == n.version and n.subnet_of(ipaddress.ip_network(m))]
+    total = {4: 0, 6: 0}
+    for network, *got in rows:
+        net = ipaddress.ip_network(network)
+        total[net.version] += net.num_addresses
+        best = max(covered(net), key=lambda m: ipaddress.ip_network(m[0]).prefixlen)
+        assert tuple(got) == mmdb.fields(best[1])
+    assert len(rows) == len({r[0] for r in rows})
+    assert total == {4: 2**16 + 2**17 + 2**31, 6: 2**112 if version == 6 else 0}
+    ips = spark.createDataFrame([(i,) for i in ("8.8.8.8", "8.8.1.1", "41.13.0.1", "9.9.9.9", "2a0c:1::5", "2a0c:1::6", "2a0c:9::")], "broadcast_ip string")
+    blocks = readers.read_cidr(spark, path)
+    found = {r.broadcast_ip: (r.city, r.asn_org) for r in enrich.enrich_from(ips, blocks, blocks).collect()}
+    six = {"2a0c:1::5": ("Host", None), "2a0c:1::6": ("Oslo", None), "2a0c:9::": ("Six", None)}
+    assert found == {"8.8.8.8": ("Bé", None), "8.8.1.1": ("A", None), "41.13.0.1": (None, "South Net"), "9.9.9.9": (None, None)} | (six if version == 6 else dict.fromkeys(six, (None, None)))
+
+
+def test_mmdb_pointers_and_kinds():
+    data = b"\x43abc" + b"\x20\x00" + bytes([0x01, 7]) + b"\x04\x08" + b"\x01" * 4 + bytes([0x02, 1]) + bytes([0x44]) + b"wxyz"
+    section = mmdb.Section(data, 0)
+    assert section.value(0) == ("abc", 4)
+    assert section.value(4) == ("abc", 6)
+    assert section.value(6) == (True, 8)
+    with pytest.raises(ValueError):
+        mmdb.Tree(b"not such a file")

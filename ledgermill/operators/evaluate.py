@@ -53,6 +53,7 @@ def report(ranked: DataFrame, truth: DataFrame, *, learned: bool = False, thresh
     c = confusion(rows).first()
     at = {r.k: r.precision_at_k for r in precision_at(rows, ks).collect()}
     kinds = {r.typology: r.recall for r in recall_by_typology(rows).collect()}
+    # The keys of the report.
     return {
         "generated_at": datetime.now(UTC).isoformat(timespec="seconds"),
         "risk_alert_threshold": threshold,

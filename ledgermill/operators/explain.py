@@ -41,6 +41,7 @@ def top_features(values: Column, n: int = 3) -> Column:
 
 def sentence(top: Column | None = None) -> Column:
     """The explanation of a row with motif_reasons, distinct_ip_count, tx_count and round_trip_time_mean."""
+    # The wording.
     spread = F.concat(F.col("distinct_ip_count").cast("string"), F.lit(" distinct broadcast IP(s) across "), F.col("tx_count").cast("string"), F.lit(" transactions"))
     quick = F.when(F.col("round_trip_time_mean") < 3600, F.concat(F.lit(", funds moved onward in ~"), F.format_string("%.1f", F.col("round_trip_time_mean") / 60), F.lit(" minutes on average")))
     known = F.col("motif_reasons").isNotNull() & ~F.col("motif_reasons").isin("", "none")

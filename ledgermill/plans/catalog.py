@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import autoencoder, communities, enrich, evaluate, explain, feedback, forest, fusion, graph, linkage, motifs, scaling, validate, views
 from ..operators.features import entity_features, entity_geo, touches, with_entities
-from ..session import checkpoint
+from ..session import checkpoint, new_folder
 from ..settings import FEATURES
 from ..sources import fixtures as fx
+from ..sources import readers, sinks
 from ..sources.synth import actors, transfers
 from . import oracle
 
@@ -107,6 +108,47 @@ def reject_reason_counts(spark, d):
     return validate.validate(fx.dirty(spark, d))[1].groupBy("reject_reason").agg(F.count("*").alias("n"))
 
 
+def _formats(spark, d):
+    return validate.validate(readers.read_many(spark, fx.write_formats(spark, d)))
+
+
+def ingest_formats(spark, d):
+    """The clean rows of CSV, JSON and XML files that hold all transactions between them."""
+    return _formats(spark, d)[0].select("tx_id", "timestamp", "src_wallet", "dst_wallet", "amount_btc", "broadcast_ip", "asn")
+
+
+def ingest_format_rejects(spark, d):
+    """The reasons of the other rows, by way of the file of rejects."""
+    path = new_folder(spark)
+    sinks.write_rejects(_formats(spark, d)[1], path)
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).groupBy("reject_reason").agg(F.count("*").alias("n"))
+
+
+def ranking_round_trip(spark, d):
+    """The ranking as written and read again."""
+    path = new_folder(spark)
+    sinks.write_ranked(_ranking(spark, d), path)
+    return spark.read.parquet(f"{path}/ranked.parquet")
+
+
+def feedback_round_trip(spark, d):
+    """The feedback log after two appends."""
+    path, rows = new_folder(spark), fx.feedback(spark, d)
+    for half in (0, 1):
+        sinks.append_feedback(rows.where(F.col("seq") % 2 == half).drop("seq"), path)
+    return readers.read_feedback(spark, path).groupBy("entity_id", "label", "timestamp").agg(F.count("*").alias("n"))
+
+
+def report_round_trip(spark, d):
+    """The figures of the evaluation report, read from its file."""
+    path = new_folder(spark)
+    doc = evaluate.report(checkpoint(_ranking(spark, d)), checkpoint(_truth(spark, d)))
+    sinks.write_report(spark, doc, evaluate.markdown(doc), path)
+    figures = ["n_entities_scored", "n_entities_true_illicit", "n_entities_flagged", "true_positives", "false_positives", "false_negatives"]
+    read = spark.read.schema(", ".join(f"{f} long" for f in figures)).option("multiLine", True).json(f"{path}/evaluation_report.json")
+    return read.select(F.explode(F.array(*[F.struct(F.lit(f).alias("figure"), F.col(f).alias("value")) for f in figures])).alias("e")).select("e.*")
+
+
 def union_mixed_sources(spark, d):
     return fx.tx(spark, d).unionByName(fx.mtx(spark, d)).groupBy(F.substring("tx_id", 1, 2).alias("source"), "asn").agg(F.count("*").alias("n"), F.round(F.sum("amount_btc"), 4).alias("total"))
 
@@ -393,7 +435,7 @@ def _synthetic(spark, d):
 
 
 _NAMED: dict[str, Query] = {f.__name__.removesuffix("_q"): f for f in (
-    canonical_tx, validate_clean, validate_rejects, reject_reason_counts, union_mixed_sources, ip_to_int_public_filter, geo_range_join, geo_mixed_versions,
+    canonical_tx, validate_clean, validate_rejects, reject_reason_counts, ingest_formats, ingest_format_rejects, ranking_round_trip, feedback_round_trip, report_round_trip, union_mixed_sources, ip_to_int_public_filter, geo_range_join, geo_mixed_versions,
     graph_vertices, graph_edges, edge_kind_counts, nodes_by_kind, wallet_tx_list, simple_projection, node_degree, evidence_2hop_nodes, evidence_induced_edges, evidence_top, evidence_top_edges,
     co_input_links, co_input_merge_counts, pass_through_links, co_broadcast_links, wallet_entities, entity_sizes, entity_touches, entity_features_q, entity_gap_stats, entity_geo_q,
     motif_peel, motif_fan, motif_rapid, motif_rapid_wide, motif_combined, features_standardized, minmax_scores, iforest_scores, autoencoder_scores, communities_q, community_isolation,

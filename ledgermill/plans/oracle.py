@@ -178,6 +178,13 @@ tagged AS (
   FROM parsed)
 """
 
+#: XML takes blank elements for missing ones.
+_FORMATS = f"""
+{_VALIDATED},
+ingested AS (
+  SELECT * EXCLUDE (reject_reason), CASE WHEN tx_id <> '' AND trim(broadcast_ip) = '' AND TRY_CAST(substr(tx_id, 3) AS BIGINT) % 3 = 2 THEN 'missing required field: broadcast_ip' ELSE reject_reason END AS reject_reason FROM tagged)
+"""
+
 _TRUTH = f"""
 {{entities}}, {GT_SQL},
 gw AS (SELECT unnest(string_split(wallets, ';')) AS wallet, is_illicit, typology FROM gt),
@@ -212,6 +219,11 @@ iso AS (SELECT entity_id, (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw
         "validate_clean": _with(_VALIDATED, "SELECT tid AS tx_id, t AS \"timestamp\", sw AS src_wallet, dw AS dst_wallet, amt AS amount_btc, trim(broadcast_ip) AS broadcast_ip, asn FROM tagged WHERE reject_reason IS NULL"),
         "validate_rejects": _with(_VALIDATED, "SELECT tx_id, \"timestamp\", src_wallet, dst_wallet, amount_btc, broadcast_ip, asn, reject_reason FROM tagged WHERE reject_reason IS NOT NULL"),
         "reject_reason_counts": _with(_VALIDATED, "SELECT reject_reason, count(*) AS n FROM tagged WHERE reject_reason IS NOT NULL GROUP BY reject_reason"),
+        "ingest_formats": _with(_FORMATS, "SELECT tid AS tx_id, t AS \"timestamp\", sw AS src_wallet, dw AS dst_wallet, amt AS amount_btc, trim(broadcast_ip) AS broadcast_ip, asn FROM ingested WHERE reject_reason IS NULL"),
+        "ingest_format_rejects": _with(_FORMATS, "SELECT reject_reason, count(*) AS n FROM ingested WHERE reject_reason IS NOT NULL GROUP BY reject_reason"),
+        "ranking_round_trip": _with(f"{FEATURES_SQL}, {_scores()}", "SELECT * FROM ranking"),
+        "feedback_round_trip": _with(FB_SQL, "SELECT entity_id, label, \"timestamp\", count(*) AS n FROM fb GROUP BY ALL"),
+        "report_round_trip": _with(_JUDGED, "SELECT unnest(['n_entities_scored', 'n_entities_true_illicit', 'n_entities_flagged', 'true_positives', 'false_positives', 'false_negatives']) AS figure, unnest([count(*), count(*) FILTER (is_illicit), count(*) FILTER (is_alert), count(*) FILTER (is_illicit AND is_alert), count(*) FILTER (NOT is_illicit AND is_alert), count(*) FILTER (is_illicit AND NOT is_alert)]) AS value FROM judged"),
         "union_mixed_sources": _with(f"{TX_SQL}, {MTX_SQL}", "SELECT substr(tx_id, 1, 2) AS source, asn, count(*) AS n, round(sum(amount_btc), 4) AS total FROM (SELECT * FROM tx UNION ALL BY NAME SELECT * FROM mtx) GROUP BY 1, 2"),
         "ip_to_int_public_filter": _with(TX_SQL, "SELECT DISTINCT broadcast_ip AS ip, list_reduce(list_transform(string_split(broadcast_ip, '.'), lambda x: CAST(x AS BIGINT)), lambda a, x: a * 256 + x) AS ip_number, true AS public FROM tx"),
         "geo_range_join": _with(f"{TX_SQL}, {GEO_SQL}, {lookup}", "SELECT tx_id, broadcast_ip, country, city, latitude, longitude, asn_org FROM located"),

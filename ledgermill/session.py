@@ -33,22 +33,29 @@ def ship(spark: SparkSession) -> None:
     context._ledgermill_shipped = True
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and a temporary one only where that is unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one in local mode and the warehouse elsewhere."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        set_one = context.getConf().get("spark.checkpoint.dir")
+        alone = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        context.setCheckpointDir(set_one or (tempfile.mkdtemp(prefix="checkpoint-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"))
     return context.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """The name of a folder in the shared one that nothing else uses."""
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` as written to the shared checkpoint folder, without its lineage."""
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Like ``checkpoint``, as a compressed table in the same shared folder; for wide or many rows."""
-    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -28,6 +28,7 @@ EPSILON = 1e-9
 @dataclass(frozen=True)
 class Settings:
     seed: int = 42
+    # Fixed values from here to alert_threshold: rules and weights that results depend on.
     # linkage
     pass_through_gap_s: int = 600
     retention: float = 0.8

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.network import cidr_bounds
+from ..session import new_folder
 from .readers import CIDR
 
 
@@ -147,8 +148,8 @@ fb AS (
 """
 
 
-def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``tx`` as strings, with faults that follow from the event's number."""
+def dirty(spark: SparkSession, sf_dir: str, *, numbered: bool = False) -> DataFrame:
+    """``tx`` as strings, with faults that follow from the event's number, which ``numbered`` keeps."""
     rows = tx(spark, sf_dir)
     m = F.substring("tx_id", 3, 10).cast("long") % 17
     fault = lambda n, bad, good: F.when(m == n, bad).otherwise(good)
@@ -162,10 +163,33 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(m == 4, F.lit("0")).when(m == 5, F.lit("-1")).when(m == 9, F.lit("abc")).when(m == 10, F.lit("1_000")).otherwise(amount).alias("amount_btc"),
         F.when(m == 11, F.lit("  ")).otherwise(F.col("broadcast_ip")).alias("broadcast_ip"),
         F.when(m != 1, F.col("asn")).alias("asn"),
+        *([F.substring("tx_id", 3, 10).cast("long").alias("number")] if numbered else []),
     )
     return out.withColumn("_numeric", F.array().cast("array<string>"))
 
 
+#: Records in one JSON file of ``write_formats``.
+LISTED = 5000
+
+
+def write_formats(spark: SparkSession, sf_dir: str) -> list[str]:
+    """``dirty`` in the shared folder, a third each as CSV, JSON lists and XML; JSON has numbers for valid amounts and times. -> the paths."""
+    rows = dirty(spark, sf_dir, numbered=True).drop("_numeric")
+    third = lambda k: rows.where(F.col("number") % 3 == k)
+    folder = new_folder(spark)
+    paths = [f"{folder}/part.{kind}" for kind in ("csv", "json", "xml")]
+    third(0).drop("number").write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(paths[0])
+    amount, time = F.col("amount_btc").try_cast("long"), F.unix_timestamp(F.col("timestamp").try_cast("timestamp"))
+    whole = F.when(F.length("timestamp") == 19, time)
+    quoted = lambda c: F.when(F.col(c).isNull(), "null").otherwise(F.concat(F.lit('"'), F.replace(F.col(c), F.lit("\t"), F.lit("\\t")), F.lit('"')))
+    parts = {c: quoted(c) for c in ("tx_id", "src_wallet", "dst_wallet", "broadcast_ip", "asn")} | {"timestamp": F.coalesce(whole.cast("string"), quoted("timestamp")), "amount_btc": F.coalesce(amount.cast("string"), quoted("amount_btc"))}
+    record = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{c}": '), v) for c, v in parts.items()]), F.lit("}"))
+    listed = third(1).select(F.expr(f"number div {LISTED}").alias("file"), record.alias("r")).groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ",\n "), F.lit("]")).alias("value"))
+    listed.write.partitionBy("file").text(paths[1])
+    third(2).drop("number").write.format("xml").option("rootTag", "transactions").option("rowTag", "transaction").save(paths[2])
+    return paths
+
+
 DIRTY_SQL = """
 d0 AS (SELECT *, CAST(substr(tx_id, 3) AS BIGINT) % 17 AS m FROM tx),
 dirty AS (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.temporal import gaps, micros_between
@@ -34,6 +34,29 @@ def fan_pattern(labelled: DataFrame, threshold: int = DEFAULTS.fan_threshold, wi
     return sums.join(soon, "entity_id", "left").select("entity_id", F.coalesce("_hit", F.lit(0.0)).alias(FLAGS[1]))
 
 
+def sliding_fan(labelled: DataFrame, threshold: int = DEFAULTS.fan_threshold, window_s: int = DEFAULTS.fan_window_s) -> DataFrame:
+    """A stricter reading of the fan: any stretch of ``window_s`` with ``threshold`` transfers in and as many out.
+
+    Such a stretch can begin at one of its transfers. Each is counted by the running totals at both
+    ends of its stretch, so that a row costs the same however many others are near. Time is cut into slices as wide as the window:
+    a stretch lies in its slice and the next, and no task orders all that an entity does.
+    """
+    wide = window_s * 1_000_000
+    side = F.array(F.struct(F.col("dst_entity").alias("entity_id"), F.lit(1).alias("is_in")), F.struct(F.col("src_entity").alias("entity_id"), F.lit(0).alias("is_in")))
+    rows = labelled.select(micros_between(F.lit("1970-01-01").cast("timestamp_ntz"), F.col("timestamp")).alias("at"), F.explode(side).alias("s")).select("s.*", "at").where("entity_id is not null")
+    # What happens in a slice serves stretches that begin in it and in the one before.
+    rows = rows.withColumn("own", F.expr(f"at div {wide}") - F.when(F.expr(f"at % {wide}") < 0, 1).otherwise(0))
+    rows = rows.withColumn("slice", F.explode(F.array(F.col("own"), F.col("own") - 1)))
+    by = Window.partitionBy("entity_id", "slice").orderBy("at")
+    earlier, upto = by.rangeBetween(Window.unboundedPreceding, -1), by.rangeBetween(Window.unboundedPreceding, 0)
+    total = lambda w, c: F.coalesce(F.sum(c).over(w), F.lit(0))
+    counted = rows.withColumns({"is_out": 1 - F.col("is_in"), "mark": F.lit(0)}).withColumns({"in_before": total(earlier, "is_in"), "out_before": total(earlier, "is_out")})
+    marks = counted.where("own = slice").withColumns({"at": F.col("at") + wide, "is_in": F.lit(0), "is_out": F.lit(0), "mark": F.lit(1)})
+    met = counted.unionByName(marks).withColumns({"n_in": total(upto, "is_in") - F.col("in_before"), "n_out": total(upto, "is_out") - F.col("out_before")})
+    hit = (F.col("mark") == 1) & (F.col("n_in") >= threshold) & (F.col("n_out") >= threshold)
+    return met.groupBy("entity_id").agg(F.max(hit.cast("double")).alias("sliding_fan_flag"))
+
+
 def rapid_pass_through(labelled: DataFrame, median_s: float = DEFAULTS.rapid_median_s) -> DataFrame:
     """Entities with two sends or more whose median gap is at most ``median_s``.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import autoencoder, communities, enrich, evaluate, explain, feedback, forest, fusion, graph, linkage, motifs, scaling, validate, views
+from ..operators import autoencoder, communities, enrich, evaluate, explain, feedback, forest, fusion, graph, growing, linkage, motifs, scaling, validate, views
 from ..operators.features import entity_features, entity_geo, touches, with_entities
 from ..session import checkpoint, new_folder
 from ..settings import FEATURES
@@ -21,6 +21,7 @@ WHOLE = ("tx_count", "fan_in", "fan_out", "distinct_ip_count", "distinct_asn_cou
 #: Score stand-ins that SQL can express: three scaled features.
 STAND_INS = {"isolation_forest_score": "tx_count", "autoencoder_score": "amount_mean", "motif_score": "network_obfuscation_score"}
 WIDE_MEDIAN_S = 28_800.0
+WIDE_WINDOW_S = 7 * 86_400
 
 
 def rounded(df: DataFrame, digits: int = 6, **own: int) -> DataFrame:
@@ -244,6 +245,15 @@ def wallet_entities(spark, d):
     return entities(spark, d)
 
 
+def entities_in_two_steps(spark, d):
+    """The entities after an early and a late file, where the second adds only its own links."""
+    tx = fx.clean_tx(spark, d)
+    ends = tx.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
+    early = F.col("timestamp") <= F.lit(ends.a + (ends.b - ends.a) / 2)
+    known = growing.extend(growing.extend(growing.nothing(tx), tx.where(early)), tx.where(~early))
+    return known.entities()
+
+
 def entity_sizes(spark, d):
     return entities(spark, d).groupBy("entity_id").agg(F.count("*").alias("wallets"))
 
@@ -272,6 +282,10 @@ def motif_fan(spark, d):
     return motifs.fan_pattern(labelled(spark, d))
 
 
+def motif_sliding_fan(spark, d):
+    return motifs.sliding_fan(labelled(spark, d), window_s=WIDE_WINDOW_S)
+
+
 def motif_rapid(spark, d):
     return motifs.rapid_pass_through(labelled(spark, d))
 
@@ -437,8 +451,8 @@ def _synthetic(spark, d):
 _NAMED: dict[str, Query] = {f.__name__.removesuffix("_q"): f for f in (
     canonical_tx, validate_clean, validate_rejects, reject_reason_counts, ingest_formats, ingest_format_rejects, ranking_round_trip, feedback_round_trip, report_round_trip, union_mixed_sources, ip_to_int_public_filter, geo_range_join, geo_mixed_versions,
     graph_vertices, graph_edges, edge_kind_counts, nodes_by_kind, wallet_tx_list, simple_projection, node_degree, evidence_2hop_nodes, evidence_induced_edges, evidence_top, evidence_top_edges,
-    co_input_links, co_input_merge_counts, pass_through_links, co_broadcast_links, wallet_entities, entity_sizes, entity_touches, entity_features_q, entity_gap_stats, entity_geo_q,
-    motif_peel, motif_fan, motif_rapid, motif_rapid_wide, motif_combined, features_standardized, minmax_scores, iforest_scores, autoencoder_scores, communities_q, community_isolation,
+    co_input_links, co_input_merge_counts, pass_through_links, co_broadcast_links, wallet_entities, entities_in_two_steps, entity_sizes, entity_touches, entity_features_q, entity_gap_stats, entity_geo_q,
+    motif_peel, motif_fan, motif_sliding_fan, motif_rapid, motif_rapid_wide, motif_combined, features_standardized, minmax_scores, iforest_scores, autoencoder_scores, communities_q, community_isolation,
     fused_ranking, ensemble_ranking, alerts, fused_missing_detector, ranked_joined, explanations, top_features, shap_top, latest_feedback, feedback_ready, learned_weights,
     cluster_truth, confusion, precision_at_k, recall_by_typology, typology_options, alerts_filtered, located_points, entity_lookup, kind_view, node_display, node_details, edge_property_endpoints, synthetic_transactions, synthetic_truth,
 )}

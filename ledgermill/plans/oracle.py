@@ -244,6 +244,7 @@ iso AS (SELECT entity_id, (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw
         "pass_through_links": _with(f"{CLEAN_SQL}, {LINKS}", "SELECT * FROM pass"),
         "co_broadcast_links": _with(f"{CLEAN_SQL}, {LINKS}", "SELECT * FROM bcast"),
         "wallet_entities": _with(ENTITIES, "SELECT * FROM ent"),
+        "entities_in_two_steps": _with(ENTITIES, "SELECT * FROM ent"),
         "entity_sizes": _with(ENTITIES, "SELECT entity_id, count(*) AS wallets FROM ent GROUP BY entity_id"),
         "entity_touches": _with(LABELLED, "SELECT * FROM touch"),
         "entity_features": _with(FEATURES_SQL, f"SELECT entity_id, {_FEATURE_LIST} FROM feat"),
@@ -251,6 +252,9 @@ iso AS (SELECT entity_id, (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw
         "entity_geo": _with(ENTITY_GEO, "SELECT * FROM egeo"),
         "motif_peel": _with(f"{LABELLED}, {NARROW}", "SELECT * FROM peel"),
         "motif_fan": _with(f"{LABELLED}, {NARROW}", "SELECT * FROM fan"),
+        "motif_sliding_fan": _with(
+            f"{LABELLED}, {NARROW}, slid AS (SELECT entity_id, count(*) FILTER (is_in) OVER w AS i, count(*) FILTER (NOT is_in) OVER w AS o FROM io WINDOW w AS (PARTITION BY entity_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 7 DAYS FOLLOWING))",
+            f"SELECT entity_id, max(CASE WHEN i >= {DEFAULTS.fan_threshold} AND o >= {DEFAULTS.fan_threshold} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS sliding_fan_flag FROM slid GROUP BY entity_id"),
         "motif_rapid": _with(f"{LABELLED}, {NARROW}", "SELECT * FROM rapid"),
         "motif_rapid_wide": _with(f"{LABELLED}, {WIDE}", "SELECT * FROM rapid"),
         "motif_combined": _with(f"{LABELLED}, {WIDE}", "SELECT entity_id, round(motif_score, 6) AS motif_score, motif_reasons FROM motif"),

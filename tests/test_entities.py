@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from ledgermill.operators import linkage, motifs
+from ledgermill.operators import graph, growing, linkage, motifs
 from ledgermill.operators.components import connected_components
 from ledgermill.operators.features import entity_features, touches, with_entities
 from ledgermill.plans import catalog
@@ -186,3 +187,44 @@ def test_gaps_and_medians_like_brute_force(spark, sends, limit):
         got.setdefault(r.src_entity, []).append(r.gap_us / 1e6)
     assert {w: sorted(x) for w, x in got.items()} == {w: sorted(x) for w, x in want.items() if x}
     assert flags(motifs.rapid_pass_through(rows, limit)) == {w: float(median(x) <= limit) for w, x in want.items() if x}
+
+
+def test_growing_input_like_one_run(spark, tmp_path):
+    rng = random.Random(4)
+    rows = sorted(((f"W{rng.randrange(60):02d}", f"W{rng.randrange(60):02d}", rng.choice([1, 9, 10]), rng.randrange(40_000), str(rng.randrange(150))) for _ in range(160)), key=lambda r: r[3])
+    rows = [r for r in rows if r[0] != r[1]]
+    tx = transfers(spark, *rows)
+    ids = spark.createDataFrame([(f"t{i:04d}", f"t{i // 2 * 2:04d}" if i % 30 < 2 else f"t{i:04d}") for i in range(len(rows))], "tx_id string, shared string")
+    tx = tx.join(ids, "tx_id").drop("tx_id").withColumnRenamed("shared", "tx_id").select(*tx.columns)
+    known, cuts = growing.nothing(tx), [0, 13_000, 13_100, 30_000, 50_000]
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        known = growing.extend(known, tx.where((tx.timestamp >= T0 + timedelta(seconds=a)) & (tx.timestamp < T0 + timedelta(seconds=b))))
+        known.save(f"{tmp_path}/{k}")
+        known = growing.load(spark, f"{tmp_path}/{k}")
+    want = {r.wallet: r.entity_id for r in linkage.wallet_entities(tx).collect()}
+    assert 5 < len(set(want.values())) < 50
+    assert {r.wallet: r.entity_id for r in known.entities().collect()} == want
+    assert growing.extend(known, tx.limit(0)) is known
+    with pytest.raises(ValueError, match="are known"):
+        growing.extend(known, tx.limit(3))
+
+
+def test_neighbourhoods_of_many_like_one_by_one(spark):
+    rng = random.Random(5)
+    nodes = [f"n{k}" for k in range(90)]
+    e = spark.createDataFrame([("hub", rng.choice(nodes)) for _ in range(10)] + [(rng.choice(nodes), rng.choice(nodes)) for _ in range(70)], "src string, dst string")
+    seeds = [(m, rng.choice([*nodes, "nowhere"])) for m in range(140) for _ in range(rng.choice([1, 1, 2]))]
+    near = graph.neighbourhoods(e, spark.createDataFrame(seeds, "member long, id string"), 2)
+    got = {(r.member, r.id, r.hop) for r in graph.members_of(near).collect()}
+    edges = [(r.src, r.dst) for r in e.collect()]
+    want = set()
+    for m in {m for m, _ in seeds}:
+        seen, front = {}, {i for n, i in seeds if n == m}
+        for hop in range(3):
+            seen |= {i: hop for i in front if i not in seen}
+            front = {b for a, b in edges if a in front} | {a for a, b in edges if b in front}
+        want |= {(m, i, hop) for i, hop in seen.items()}
+    assert got == want
+    reached = {m: {i for n, i, _ in want if n == m} for m in {m for m, _ in seeds}}
+    inside = {(r.member, r.src, r.dst) for r in graph.members_of(graph.induced_edges_of(e.distinct(), near)).collect()}
+    assert inside == {(m, a, b) for m, ids in reached.items() for a, b in edges if a in ids and b in ids}

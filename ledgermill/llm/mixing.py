@@ -14,8 +14,8 @@ are rounded first, in descending order, each against a pool: the smaller ones th
 their source. The document is taken with the odds of its own fraction, always; what it gains or loses, the fractions of the
 pool lose or gain in one proportion, as far as they can bear it in both directions, so that every
 expectation is kept exactly. That takes one small array for each source. The smaller documents then enter the tree with what
-is left of their fractions. A source misses its target by less than a thousandth of its size, or twice its smallest document if all are large, unless a document has more words than
-the fractions of its pool are due, or leave out; such a document, taken or not, misses by the excess.
+is left of their fractions. A source misses its target by less than a thousandth of its size and the few large documents that have little smaller beside them to make up
+for them; a document that has more words than the fractions of its pool are due, or leave out, misses by the excess, taken or not.
 
 The tree is built of groups of about ``fan_in`` documents: every level is one shuffle of
 the narrow residuals and one native fold, and the number of levels grows with

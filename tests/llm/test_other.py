@@ -308,7 +308,9 @@ def _check_mix(rows, docs, got):
         if own:
             share = want[source] / sum(own) % 1
             excess = sum(max(0, w - share * sum(own), w - (1 - share) * sum(own)) for w in own)
-            assert abs(sum(r.taken for r in part) - want[source]) <= excess + max(sizes[source] * mixing.GIANT, 2 * min(own)) + 1e-6
+            order = sorted(own)
+            alone = sum(w for k, w in enumerate(order) if w > sizes[source] * mixing.GIANT and sum(order[:k]) < 3 * w)  # with little that is smaller
+            assert abs(sum(r.taken for r in part) - want[source]) <= excess + alone + sizes[source] * mixing.GIANT + 1e-6
         assert all(r.taken <= 2 * r.size and r.taken == r.copies * r.size for r in part)
         due = want[source] / sizes[source] if sizes[source] else 0
         assert all(math.floor(due) <= r.copies <= math.ceil(due + 1e-12) for r in part if r.size)

@@ -1,9 +1,10 @@
 """Sharding by proportional stratified interleaving.
 
 Rows are put in a seeded random order within each source. A row's fractional rank
-is its place in that order over the size of its source. Sorted by fractional rank,
-every stretch of rows mixes the sources as the whole does, so that equal cuts give
-shards that all match the mixture, with row counts at most one apart.
+is its place in that order, less a random phase of its source between 0 and 1, over the size of
+its source. Sorted by fractional rank, every stretch of rows mixes the sources as the whole does,
+so that equal cuts give shards that all match the mixture, with row counts at most one apart.
+The phase spreads sources of few rows, which would otherwise all fall on the same ranks.
 
 Neither of the two rankings runs in one task. Each deals rows into many cells by a
 uniform key (the shuffle digest, then the fractional rank), counts the cells, and
@@ -38,13 +39,14 @@ def _before(counts: DataFrame, within: list[str], cell: str) -> DataFrame:
 
 
 def fractional_ranks(rows: DataFrame, *, seed: int, count: int, per_cell: int) -> DataFrame:
-    """rows(name, none, k1, k2, ordinal, ...) with key, and frac, the place of a row in its source's seeded shuffle, between 0 and 1."""
+    """rows(name, none, k1, k2, ordinal, ...) with key, and frac, between 0 and 1: the place of a row in its source's seeded shuffle, less the source's phase."""
     bits = bits_for(count, per_cell)
     keyed = rows.withColumn("key", shuffle_key(seed, "k1", "k2", "ordinal")).withColumn("cell", cell_of(F.col("key"), bits))
     cells = ["name", "none", "cell"]
     counts = _before(keyed.groupBy(*cells).agg(F.count("*").alias("in_cell")), ["name", "none"], "cell")
     ranked = keyed.withColumn("local", F.row_number().over(Window.partitionBy(*cells).orderBy("key"))).join(counts, cells)
-    return ranked.withColumn("frac", (F.col("before") + F.col("local") - F.lit(0.5)) / F.col("total")).drop("in_cell", "before", "total", "local", "cell")
+    phase = (F.conv(F.substring(shuffle_key(seed, "none", "name"), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+    return ranked.withColumn("frac", (F.col("before") + F.col("local") - phase) / F.col("total")).drop("in_cell", "before", "total", "local", "cell")
 
 
 def _places(docs: DataFrame, *, n_shards: int, seed: int, id_col: str, text_col: str, source_col: str, per_cell: int) -> DataFrame:

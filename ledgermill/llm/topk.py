@@ -15,10 +15,15 @@ Components are taken as floor(scale * x) and scores are exact: products run in d
 precision while they fit 53 bits, and as Python integers otherwise, where scores
 that no long can hold are set to its limits.
 
+Every row is a candidate of its own, and only a query's own row is left out of its
+answers. Rows are told apart by a hash of id and vector and, where both repeat, by an
+ordinal, so that reruns agree whatever ids repeat.
+
 Defined cases: vectors that are null, or hold null or non-finite components, take no part,
-nor do rows with a null id; rows that repeat an id count once, with the smallest vector;
-shorter vectors count as filled up with zeros; ties go to the smaller id; empty tables give
-empty results; other columns are passed by.
+nor do rows with a null id; rows that repeat an id are each candidate and query, with the others
+of their id among their answers; shorter vectors count as filled up with zeros; ids may be
+numbers, strings or dates, and ties go to the smaller id; empty tables give empty results; other columns
+are passed by.
 """
 
 from __future__ import annotations
@@ -32,12 +37,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .common import repeated
 
 DATA_BLOCK = 4096
 QUERY_BLOCK = 1024
 _LEAF = 48
 _SHRINK = 0.6
 _LONG = (-(2**63), 2**63 - 1)
+#: What tells rows apart beside their id.
+_ROW = ("k1", "k2", "ordinal")
 
 
 def usable(vector: Column) -> Column:
@@ -177,23 +185,35 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 25
     ``is_query`` is a condition on the id, in a column named ``id``.
     """
     ship(vectors.sparkSession)
-    rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(vector_col).cast("array<double>")).alias("v"))
+    own = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    keyed = own.select("id", "v", F.xxhash64(F.lit(1), "id", "v").alias("k1"), F.xxhash64("v", "id", F.lit(2)).alias("k2"))
+    equal = keyed.groupBy("k1", "k2").agg(F.first("id").alias("id"), F.first("v").alias("v"), F.count("*").alias("n"))
+    rows = repeated(equal, "n", "k1", "k2").drop("n")
     n, asked = rows.agg(F.count("*"), F.count_if(is_query)).first()
     d_blocks, q_blocks = max(1, math.ceil(n / data_block)), max(1, math.ceil(asked / query_block))
-    spread = lambda salt, blocks: F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(blocks)).cast("int")
+    spread = lambda salt, blocks: F.pmod(F.xxhash64(F.lit(salt), *_ROW), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asking = rows.where(is_query).select("id", "v", spread(1, q_blocks).alias("qb")).withColumn("db", every(d_blocks))
-    data = rows.select("id", "v", spread(2, d_blocks).alias("db")).withColumn("qb", every(q_blocks))
+    asking = rows.where(is_query).select("id", *_ROW, "v", spread(1, q_blocks).alias("qb")).withColumn("db", every(d_blocks))
+    data = rows.select("id", *_ROW, "v", spread(2, d_blocks).alias("db")).withColumn("qb", every(q_blocks))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         width = max([0, *left.v.map(len), *right.v.map(len)])
         q, d = _whole(left.v, width, scale), _whole(right.v, width, scale)
-        best, ids = Search(q, left.id.to_numpy(), d, right.id.to_numpy(), k).run()
-        keep = ids >= 0 if best.dtype == object else np.isfinite(best.astype(float))
-        who = np.broadcast_to(left.id.to_numpy()[:, None], ids.shape)[keep]
-        return pd.DataFrame({"query_id": who, "id": ids[keep], "score": [int(s) for s in best[keep]]})
-
-    found = asking.groupBy("qb", "db").cogroup(data.groupBy("qb", "db")).applyInPandas(search, "query_id long, id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+        # Places of both sides' rows in one order by id: equal places are the same row, and the smaller one wins ties.
+        both = pd.concat([left[["id", *_ROW]], right[["id", *_ROW]]], ignore_index=True)
+        order = both.drop_duplicates().sort_values(["id", *_ROW], ignore_index=True)
+        place = both.merge(order.reset_index(names="place"), on=["id", *_ROW], how="left").place.to_numpy()
+        best, found = Search(q, place[: len(left)], d, place[len(left) :], k).run()
+        keep = found >= 0 if best.dtype == object else np.isfinite(best.astype(float))
+        asked_by = left.iloc[np.nonzero(keep)[0]].reset_index(drop=True)
+        to = order.iloc[found[keep]].reset_index(drop=True)
+        sides = {f"query_{c}": asked_by[c] for c in ("id", *_ROW)} | {c: to[c] for c in ("id", *_ROW)}
+        return pd.DataFrame({**sides, "score": [int(s) for s in best[keep]]})
+
+    kind = own.schema["id"].dataType.simpleString()
+    row = ", ".join(f"{c} long" for c in _ROW)
+    asker = ", ".join(f"query_{c} long" for c in _ROW)
+    shape = f"query_id {kind}, {asker}, id {kind}, {row}, score long"
+    found = asking.groupBy("qb", "db").cogroup(data.groupBy("qb", "db")).applyInPandas(search, shape)
+    place = F.row_number().over(Window.partitionBy("query_id", *[f"query_{c}" for c in _ROW]).orderBy(F.col("score").desc(), "id", *_ROW))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
-

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import os
 import random
@@ -103,18 +104,31 @@ def test_top_k_like_brute_force(spark):
     base = rng.standard_normal((30, 8))
     x = np.vstack([base[rng.integers(30, size=400)] + 0.01 * rng.standard_normal((400, 8)), np.zeros((5, 8)), np.repeat(base[:1], 20, axis=0)])
     data = [(i, v.tolist(), 0) for i, v in enumerate(x)]
-    bad = [(900, None, 0), (950, [float("inf")] * 8, 0), (951, [None] * 8, 0), (None, data[0][1], 0), (3, data[3][1], 0)]
+    data += [(3, data[3][1], 0), (7, data[9][1], 0), (50, data[50][1], 0), (50, data[60][1], 0), (100, [0.5], 0)]
+    bad = [(900, None, 0), (950, [float("inf")] * 8, 0), (951, [None] * 8, 0), (None, data[0][1], 0)]
     frame = spark.createDataFrame(data + bad, "vec_id long, embedding array<double>, score int")
     from pyspark.sql import functions as F
 
-    got = topk.top_k(frame, F.col("id") % 50 == 0, data_block=100, query_block=3).orderBy("query_id", "rank").collect()
-    y = np.floor(x * 256).astype(int)
+    got = topk.top_k(frame, F.col("id") % 50 == 0, data_block=100, query_block=3)
+    y = np.floor(np.array([v + [0.0] * (8 - len(v)) for _, v, _ in data]) * 256).astype(int)
     want = []
-    for q in range(0, len(x), 50):
-        best = sorted((-int(y[q] @ y[j]), j) for j in range(len(x)) if j != q)[:5]
-        want += [(q, k + 1, j, -s) for k, (s, j) in enumerate(best)]
-    assert [tuple(r) for r in got] == want
+    for q, (vec_id, _, _) in enumerate(data):
+        if vec_id % 50 == 0:
+            best = sorted((-int(y[q] @ y[j]), other[0]) for j, other in enumerate(data) if j != q)[:5]
+            want += [(vec_id, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.top_k(frame.limit(0), F.col("id") % 50 == 0).count() == 0
+    named = frame.withColumn("vec_id", F.format_string("v%04d", "vec_id")).where("vec_id <> 'vnull'")
+    got = topk.top_k(named, F.substring("id", 2, 4).cast("int") % 50 == 0, data_block=100, query_block=3)
+    assert sorted(map(tuple, got.collect())) == sorted((f"v{q:04d}", k, f"v{i:04d}", s) for q, k, i, s in want)
+
+
+def test_top_k_answers_hold_every_row_of_an_id(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(50, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [0.5, 0.0])], "vec_id long, embedding array<double>")
+    got = topk.top_k(frame, F.col("id") == 50).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(50, 1, 7, 65536), (50, 2, 7, 32768)]
 
 
 def test_dual_tree_prunes_and_large_numbers_stay_exact(spark):
@@ -257,6 +271,38 @@ def test_shards(spark):
     assert sorted(r.shard for r in sharding.stratified_shards(docs.limit(3), n_shards=5).collect()) == sorted(i * 5 // 3 for i in range(3))
 
 
+def test_shards_are_those_of_a_plain_interleaving(spark):
+    from pyspark.sql import functions as F
+
+    from ledgermill.llm.common import row_keys
+
+    def digest(*parts):
+        return hashlib.md5("\x1f".join(map(str, parts)).encode()).hexdigest()
+
+    _, docs = _documents(spark)
+    docs = docs.unionByName(spark.createDataFrame([(20_000 + i, "t", f"host{i}", 1) for i in range(300)], docs.schema))
+    sources, copies = {}, {}
+    for r in docs.select(*row_keys(docs), "doc_id", "source").collect():
+        ordinal = copies[(r.k1, r.k2)] = copies.get((r.k1, r.k2), -1) + 1
+        sources.setdefault(r.source, []).append((digest(5, r.k1, r.k2, ordinal), r.doc_id))
+    ranked = []
+    for source, rows in sources.items():
+        none, name = source is None, source or ""
+        phase = (int(digest(5, str(none).lower(), name)[:8], 16) + 0.5) / 2**32
+        ranked += [((k + 1 - phase) / len(rows), none, name, key, doc_id) for k, (key, doc_id) in enumerate(sorted(rows))]
+    n = len(ranked)
+    want = []
+    for place, (*_, doc_id) in enumerate(sorted(ranked)):
+        shard = place * 16 // n
+        want.append((doc_id, shard, place - -(-shard * n // 16)))
+    got = sharding.stratified_shards(docs, n_shards=16, seed=5, per_cell=20).select("doc_id", "shard", "slot")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    hosts = docs.where(F.col("source").startswith("host")).select(F.col("source").alias("name"), F.lit(False).alias("none"), F.col("doc_id").alias("k1"), F.lit(0).alias("k2"), F.lit(0).alias("ordinal"))
+    slices = sharding.fractional_ranks(hosts, seed=5, count=300, per_cell=20).groupBy(F.floor(F.col("frac") * 10)).count().collect()
+    assert len(slices) == 10
+    assert max(r["count"] for r in slices) < 60
+
+
 def test_written_shards(spark, tmp_path):
     rows, docs = _documents(spark, 100)
     sharding.write_shards(docs, str(tmp_path / "out"), n_shards=4)

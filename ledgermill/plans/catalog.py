@@ -140,6 +140,15 @@ def feedback_round_trip(spark, d):
     return readers.read_feedback(spark, path).groupBy("entity_id", "label", "timestamp").agg(F.count("*").alias("n"))
 
 
+def feedback_compacted(spark, d):
+    """The last labels of a log of several appends, with compactions in between."""
+    path, rows = new_folder(spark), fx.feedback(spark, d)
+    for third in range(3):
+        sinks.append_feedback(rows.where(F.col("seq") % 3 == third), path)
+        feedback.compact(spark, path)
+    return feedback.latest(readers.read_feedback(spark, path)).select("entity_id", "label", "note", "timestamp")
+
+
 def report_round_trip(spark, d):
     """The figures of the evaluation report, read from its file."""
     path = new_folder(spark)
@@ -330,12 +339,15 @@ def fused_ranking(spark, d):
 
 
 def ensemble_ranking(spark, d):
-    """The ranking by the real detectors: forest, autoencoder and motifs."""
-    rows = checkpoint(labelled(spark, d))
+    """The ranking by the real detectors, forest, autoencoder and motifs, with communities and places."""
+    clean = checkpoint(fx.clean_tx(spark, d))
+    members = checkpoint(linkage.wallet_entities(clean))
+    rows = checkpoint(with_entities(clean, members))
     f = checkpoint(entity_features(touches(rows)))
-    found = motifs.motif_scores(rows)
+    found = checkpoint(motifs.motif_scores(rows))
+    isolation = communities.entity_isolation(members, communities.louvain(graph.simple_projection(graph.edges(clean))))
     scores = {"isolation_forest_score": forest.scores(f), "autoencoder_score": autoencoder.scores(f), "motif_score": found.select("entity_id", "motif_score")}
-    return fusion.describe(fusion.fuse(scores), f, found, None, None)
+    return fusion.describe(fusion.fuse({n: checkpoint(s) for n, s in scores.items()}), f, found, isolation, entity_geo(enrich.enrich(rows, fx.geo(spark))))
 
 
 def alerts(spark, d):
@@ -449,7 +461,7 @@ def _synthetic(spark, d):
 
 
 _NAMED: dict[str, Query] = {f.__name__.removesuffix("_q"): f for f in (
-    canonical_tx, validate_clean, validate_rejects, reject_reason_counts, ingest_formats, ingest_format_rejects, ranking_round_trip, feedback_round_trip, report_round_trip, union_mixed_sources, ip_to_int_public_filter, geo_range_join, geo_mixed_versions,
+    canonical_tx, validate_clean, validate_rejects, reject_reason_counts, ingest_formats, ingest_format_rejects, ranking_round_trip, feedback_round_trip, feedback_compacted, report_round_trip, union_mixed_sources, ip_to_int_public_filter, geo_range_join, geo_mixed_versions,
     graph_vertices, graph_edges, edge_kind_counts, nodes_by_kind, wallet_tx_list, simple_projection, node_degree, evidence_2hop_nodes, evidence_induced_edges, evidence_top, evidence_top_edges,
     co_input_links, co_input_merge_counts, pass_through_links, co_broadcast_links, wallet_entities, entities_in_two_steps, entity_sizes, entity_touches, entity_features_q, entity_gap_stats, entity_geo_q,
     motif_peel, motif_fan, motif_sliding_fan, motif_rapid, motif_rapid_wide, motif_combined, features_standardized, minmax_scores, iforest_scores, autoencoder_scores, communities_q, community_isolation,

@@ -272,6 +272,7 @@ iso AS (SELECT entity_id, (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw
             f"{FEATURES_SQL}, std AS (SELECT entity_id, {_STANDARD.format(d=3)} FROM feat), long AS (" + " UNION ALL ".join(f"SELECT entity_id, '{f}' AS name, {f} AS x FROM std" for f in FEATURES) + ")",
             "SELECT entity_id, string_agg(name, ',' ORDER BY r) AS names FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY abs(x) DESC, name) AS r FROM long) WHERE r <= 3 GROUP BY entity_id"),
         "latest_feedback": _with(FB_SQL, "SELECT entity_id, label, note, \"timestamp\" FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY \"timestamp\" DESC, seq DESC) AS r FROM fb) WHERE r = 1"),
+        "feedback_compacted": _with(FB_SQL, "SELECT entity_id, label, note, \"timestamp\" FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY \"timestamp\" DESC, seq DESC) AS r FROM fb) WHERE r = 1"),
         "feedback_ready": _with(FB_SQL, f"SELECT count(*) AS n_labels, count(DISTINCT label) AS n_classes, count(*) >= {DEFAULTS.min_feedback} AND count(DISTINCT label) >= 2 AS enough FROM (SELECT max_by(label, (\"timestamp\", seq)) AS label FROM fb GROUP BY entity_id)"),
         "cluster_truth": _with(_TRUTH.format(entities=ENTITIES), "SELECT * FROM truth"),
         "confusion": _with(_JUDGED, f"""SELECT *, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round(p, 6) AS precision, round(r, 6) AS recall

@@ -23,6 +23,10 @@ WRAPPERS = ("transactions", "records", "data")
 
 RAW = T.StructType([T.StructField(f, T.StringType()) for f in CANONICAL_FIELDS])
 FEEDBACK = T.StructType([T.StructField("entity_id", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("note", T.StringType()), T.StructField("timestamp", T.StringType())])
+#: The file of a compacted batch that names the batches it stands for.
+REPLACES = "_replaces"
+#: How batches of the feedback log are written and read; nulls are told from empty notes.
+BATCH_CSV = {"header": "true", "escape": '"', "nullValue": "\\N"}
 CIDR = T.StructType([T.StructField("ip_start", T.LongType()), T.StructField("ip_end", T.LongType()), T.StructField("prefix", T.IntegerType()), T.StructField("country", T.StringType()), T.StructField("city", T.StringType()), T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType()), T.StructField("asn_org", T.StringType())])
 
 
@@ -142,12 +146,53 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def read_feedback(spark: SparkSession, path: str) -> DataFrame:
-    """The feedback log in its fixed columns; an absent log is empty, absent columns are null."""
+def feedback_batches(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """(live, replaced): names in the log's folder that count, and finished batches that a compaction has taken up.
+
+    Names are listed in the driver, a few for each append since the last compaction.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in store.listStatus(folder))
+    batches = [n for n in names if n.startswith("batch=") and store.exists(hadoop.Path(folder, f"{n}/_SUCCESS"))]
+    lists = [f"{path}/{n}/{REPLACES}" for n in batches if store.exists(hadoop.Path(folder, f"{n}/{REPLACES}"))]
+    gone = {line for text in lists for line in _read_text(spark, text).split()}
+    loose = [n for n in names if not n.startswith(("batch=", "_", "."))]  # files of a log that was not written in batches
+    return [n for n in loose + batches if n not in gone], [n for n in loose + batches if n in gone]
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def read_feedback(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """The feedback log in its fixed columns and ``seq``, the order of appends; an absent log is empty, absent columns are null.
+
+    ``path`` is a folder of batches, or a CSV file. ``names`` are the entries of the folder to read, by default those that count.
+    """
+    fields = [*FEEDBACK, T.StructField("seq", T.LongType())]
+    empty = spark.createDataFrame([], T.StructType(fields))
     if not path_exists(spark, path):
-        return spark.createDataFrame([], FEEDBACK)
-    df = spark.read.option("header", True).option("escape", '"').csv(path)
-    return df.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in FEEDBACK])
+        return empty
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory():
+        paths = [f"{path}/{n}" for n in (feedback_batches(spark, path)[0] if names is None else names)]
+    else:
+        paths = [path]
+    one = lambda df: df.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields])
+    read = lambda part: one(spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(part))
+    batches, loose = [p for p in paths if "/batch=" in p], [p for p in paths if "/batch=" not in p]
+    # Batches have one layout, files from elsewhere may have each their own.
+    layout = "entity_id string, label string, note string, timestamp string, seq string"
+    parts = [one(spark.read.schema(layout).options(**BATCH_CSV).option("multiLine", True).csv(batches))] if batches else []
+    return reduce(lambda a, b: a.unionByName(b), [*parts, *map(read, loose)], empty)
 
 
 def read_weights(spark: SparkSession, path: str) -> dict[str, float] | None:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.temporal import iso_text
+from .readers import BATCH_CSV, FEEDBACK
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -35,11 +38,18 @@ def write_ranked(ranked: DataFrame, path: str, *, one_file: bool = False) -> Non
 
 
 def append_feedback(rows: DataFrame, path: str) -> None:
-    """Add rows to the log: an append of files, which never rewrites what is there."""
-    rows.write.mode("append").option("header", True).option("escape", '"').csv(path)
+    """Add rows to the log, as a batch in a folder of its own, so that writers never meet.
 
+    A batch counts once its job has ended, which Spark's _SUCCESS file marks. Its rows get the time of
+    the append in microseconds as ``seq``, unless they carry one.
+    """
+    number = time.time_ns() // 1000
+    columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in FEEDBACK]
+    seq = F.col("seq").cast("long") if "seq" in rows.columns else F.lit(number).cast("long").alias("seq")
+    rows.select(*columns, seq).write.options(**BATCH_CSV).csv(f"{path}/batch={number}-{uuid.uuid4().hex}")
 
-def _write_text(spark: SparkSession, text: str, path: str) -> None:
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
@@ -48,12 +58,12 @@ def _write_text(spark: SparkSession, text: str, path: str) -> None:
 
 
 def write_weights(spark: SparkSession, path: str, weights: dict[str, float], bias: float, n: int) -> None:
-    _write_text(spark, json.dumps({"weights": weights, "bias": bias, "n_feedback_examples": n}, indent=2), path)
+    write_text(spark, json.dumps({"weights": weights, "bias": bias, "n_feedback_examples": n}, indent=2), path)
 
 
 def write_report(spark: SparkSession, doc: dict, text: str, folder: str) -> None:
-    _write_text(spark, json.dumps(doc, indent=2), f"{folder}/evaluation_report.json")
-    _write_text(spark, text, f"{folder}/evaluation_report.md")
+    write_text(spark, json.dumps(doc, indent=2), f"{folder}/evaluation_report.json")
+    write_text(spark, text, f"{folder}/evaluation_report.md")
 
 
 def write_transactions(tx: DataFrame, truth: DataFrame, folder: str) -> None:

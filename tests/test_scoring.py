@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 from itertools import permutations
 
 import numpy as np
@@ -110,6 +111,39 @@ def test_positive_weights():
     assert fusion.positive_weights({"a": -1.0}) == {"a": 0.0}
 
 
+def test_feedback_of_many_writers_and_compactions(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = lambda names, label, second: spark.createDataFrame([(n, label, "a\nb, \"c\"", f"2026-01-01T00:00:{second:02d}") for n in names], readers.FEEDBACK)
+    shared = ["x", "y"]
+    sinks.append_feedback(rows(shared, 0, 5), log)
+    sinks.append_feedback(rows(shared, 1, 5), log)  # the same second: the later append wins
+    sinks.append_feedback(rows(["x"], 0, 1), log)  # an older label does not
+
+    def write(k):
+        for j in range(3):
+            sinks.append_feedback(rows([f"w{k}-{j}"], k % 2, j), log)
+
+    with ThreadPoolExecutor(4) as pool:
+        jobs = [pool.submit(write, k) for k in range(2)] + [pool.submit(feedback.compact, spark, log) for _ in range(2)]
+        for job in jobs:
+            job.result()
+    want = {"x": 1, "y": 1} | {f"w{k}-{j}": k % 2 for k in range(2) for j in range(3)}
+    for _ in range(3):
+        found = feedback.latest(readers.read_feedback(spark, log)).collect()
+        assert {r.entity_id: r.label for r in found} == want
+        assert {r.note for r in found} == {"a\nb, \"c\""}
+        feedback.compact(spark, log)
+    assert len(readers.feedback_batches(spark, log)[0]) == 1
+    assert readers.read_feedback(spark, log).count() == len(want)
+    (tmp_path / "log" / "batch=9-lost").mkdir()  # a writer that was lost leaves no _SUCCESS
+    (tmp_path / "log" / "batch=9-lost" / "part-0.csv").write_text("entity_id,label,note,timestamp,seq\nlost,1,,2027,1\n")
+    assert readers.read_feedback(spark, log).count() == len(want)
+    (tmp_path / "log" / "old.csv").write_text("label,entity_id,timestamp\n1,old,2025-01-01\n0,x,2027-01-01\n")
+    found = {r.entity_id: r.label for r in feedback.latest(readers.read_feedback(spark, log)).collect()}
+    assert found == want | {"old": 1, "x": 0}
+    feedback.compact(spark, str(tmp_path / "absent"))
+
+
 def test_feedback_loop(spark, tmp_path):
     log = str(tmp_path / "feedback.csv")
     assert readers.read_feedback(spark, log).count() == 0

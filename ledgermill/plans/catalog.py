@@ -118,6 +118,11 @@ def ingest_formats(spark, d):
     return _formats(spark, d)[0].select("tx_id", "timestamp", "src_wallet", "dst_wallet", "amount_btc", "broadcast_ip", "asn")
 
 
+def ingest_extras(spark, d):
+    """What the clean rows of all formats carry beside the canonical fields."""
+    return _formats(spark, d)[0].select("tx_id", F.variant_get("extras", "$.memo", "string").alias("memo"))
+
+
 def ingest_format_rejects(spark, d):
     """The reasons of the other rows, by way of the file of rejects."""
     path = new_folder(spark)
@@ -461,7 +466,7 @@ def _synthetic(spark, d):
 
 
 _NAMED: dict[str, Query] = {f.__name__.removesuffix("_q"): f for f in (
-    canonical_tx, validate_clean, validate_rejects, reject_reason_counts, ingest_formats, ingest_format_rejects, ranking_round_trip, feedback_round_trip, feedback_compacted, report_round_trip, union_mixed_sources, ip_to_int_public_filter, geo_range_join, geo_mixed_versions,
+    canonical_tx, validate_clean, validate_rejects, reject_reason_counts, ingest_formats, ingest_extras, ingest_format_rejects, ranking_round_trip, feedback_round_trip, feedback_compacted, report_round_trip, union_mixed_sources, ip_to_int_public_filter, geo_range_join, geo_mixed_versions,
     graph_vertices, graph_edges, edge_kind_counts, nodes_by_kind, wallet_tx_list, simple_projection, node_degree, evidence_2hop_nodes, evidence_induced_edges, evidence_top, evidence_top_edges,
     co_input_links, co_input_merge_counts, pass_through_links, co_broadcast_links, wallet_entities, entities_in_two_steps, entity_sizes, entity_touches, entity_features_q, entity_gap_stats, entity_geo_q,
     motif_peel, motif_fan, motif_sliding_fan, motif_rapid, motif_rapid_wide, motif_combined, features_standardized, minmax_scores, iforest_scores, autoencoder_scores, communities_q, community_isolation,

@@ -220,6 +220,7 @@ iso AS (SELECT entity_id, (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw
         "validate_rejects": _with(_VALIDATED, "SELECT tx_id, \"timestamp\", src_wallet, dst_wallet, amount_btc, broadcast_ip, asn, reject_reason FROM tagged WHERE reject_reason IS NOT NULL"),
         "reject_reason_counts": _with(_VALIDATED, "SELECT reject_reason, count(*) AS n FROM tagged WHERE reject_reason IS NOT NULL GROUP BY reject_reason"),
         "ingest_formats": _with(_FORMATS, "SELECT tid AS tx_id, t AS \"timestamp\", sw AS src_wallet, dw AS dst_wallet, amt AS amount_btc, trim(broadcast_ip) AS broadcast_ip, asn FROM ingested WHERE reject_reason IS NULL"),
+        "ingest_extras": _with(_FORMATS, "SELECT tid AS tx_id, CASE WHEN number % 5 < 3 THEN '0' || (number % 7) END AS memo FROM (SELECT *, CAST(substr(tid, 3) AS BIGINT) AS number FROM ingested WHERE reject_reason IS NULL)"),
         "ingest_format_rejects": _with(_FORMATS, "SELECT reject_reason, count(*) AS n FROM ingested WHERE reject_reason IS NOT NULL GROUP BY reject_reason"),
         "ranking_round_trip": _with(f"{FEATURES_SQL}, {_scores()}", "SELECT * FROM ranking"),
         "feedback_round_trip": _with(FB_SQL, "SELECT entity_id, label, \"timestamp\", count(*) AS n FROM fb GROUP BY ALL"),

@@ -175,6 +175,8 @@ LISTED = 5000
 def write_formats(spark: SparkSession, sf_dir: str) -> list[str]:
     """``dirty`` in the shared folder, a third each as CSV, JSON lists and XML; JSON has numbers for valid amounts and times. -> the paths."""
     rows = dirty(spark, sf_dir, numbered=True).drop("_numeric")
+    # A field that is none of the canonical ones, in three of five records.
+    rows = rows.withColumn("memo", F.when(F.col("number") % 5 < 3, F.concat(F.lit("0"), (F.col("number") % 7).cast("string"))))
     third = lambda k: rows.where(F.col("number") % 3 == k)
     folder = new_folder(spark)
     paths = [f"{folder}/part.{kind}" for kind in ("csv", "json", "xml")]
@@ -182,7 +184,7 @@ def write_formats(spark: SparkSession, sf_dir: str) -> list[str]:
     amount, time = F.col("amount_btc").try_cast("long"), F.unix_timestamp(F.col("timestamp").try_cast("timestamp"))
     whole = F.when(F.length("timestamp") == 19, time)
     quoted = lambda c: F.when(F.col(c).isNull(), "null").otherwise(F.concat(F.lit('"'), F.replace(F.col(c), F.lit("\t"), F.lit("\\t")), F.lit('"')))
-    parts = {c: quoted(c) for c in ("tx_id", "src_wallet", "dst_wallet", "broadcast_ip", "asn")} | {"timestamp": F.coalesce(whole.cast("string"), quoted("timestamp")), "amount_btc": F.coalesce(amount.cast("string"), quoted("amount_btc"))}
+    parts = {c: quoted(c) for c in ("tx_id", "src_wallet", "dst_wallet", "broadcast_ip", "asn", "memo")} | {"timestamp": F.coalesce(whole.cast("string"), quoted("timestamp")), "amount_btc": F.coalesce(amount.cast("string"), quoted("amount_btc"))}
     record = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{c}": '), v) for c, v in parts.items()]), F.lit("}"))
     listed = third(1).select(F.expr(f"number div {LISTED}").alias("file"), record.alias("r")).groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ",\n "), F.lit("]")).alias("value"))
     listed.write.partitionBy("file").text(paths[1])

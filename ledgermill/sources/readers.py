@@ -2,7 +2,8 @@
 
 All raw readers give strings in the canonical fields, so that validation sees what the file
 holds. JSON keeps whether a value was a number in a column ``_numeric`` (names of the fields that
-were): a numeric timestamp is epoch seconds, the same digits in quotes are not.
+were): a numeric timestamp is epoch seconds, the same digits in quotes are not. Whatever else a record
+has travels in one VARIANT column ``extras``, an object, in all formats alike; it is null where there is nothing else.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import os
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,14 +31,21 @@ BATCH_CSV = {"header": "true", "escape": '"', "nullValue": "\\N"}
 CIDR = T.StructType([T.StructField("ip_start", T.LongType()), T.StructField("ip_end", T.LongType()), T.StructField("prefix", T.IntegerType()), T.StructField("country", T.StringType()), T.StructField("city", T.StringType()), T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType()), T.StructField("asn_org", T.StringType())])
 
 
-def _with_numeric(df: DataFrame) -> DataFrame:
-    return df if "_numeric" in df.columns else df.withColumn("_numeric", F.array().cast("array<string>"))
+def _texts(df: DataFrame, fields: dict[str, Column], others: dict[str, Column]) -> DataFrame:
+    """The canonical ``fields``, of which none is known to be a number, and the ``others`` that are not null as extras."""
+    text = F.to_json(F.struct(*[c.alias(name) for name, c in others.items()])) if others else F.lit("{}")
+    return df.select(*[c.alias(name) for name, c in fields.items()], F.array().cast("array<string>").alias("_numeric"), F.when(text != "{}", F.parse_json(text)).alias("extras"))
+
+
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header; every value a string, missing trailing fields null."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").option("inferSchema", False).csv(path)
-    return _with_numeric(df)
+    here = {c: _column(c) for c in df.columns}
+    return _texts(df, {f: here.get(f, F.lit(None).cast("string")) for f in CANONICAL_FIELDS}, {c: x for c, x in here.items() if c not in CANONICAL_FIELDS})
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -64,10 +72,12 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _fields(rows: DataFrame) -> DataFrame:
-    """rows(r), a variant for each record -> canonical fields, which of them were numbers, and the record as text."""
+    """rows(r), a variant for each record -> canonical fields, which of them were numbers, the record as text, and its other fields."""
     fields = {f: F.variant_get("r", f"$.{f}", "string").alias(f) for f in CANONICAL_FIELDS}
     kinds = [F.when(F.schema_of_variant(F.variant_get("r", f"$.{f}", "variant")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|BOOLEAN)"), F.lit(f)) for f in CANONICAL_FIELDS]
-    return rows.select(*fields.values(), F.array_compact(F.array(*kinds)).alias("_numeric"), F.to_json("r").alias("_record"))
+    others = F.map_filter(F.try_variant_get("r", "$", "map<string,variant>"), lambda k, _: ~k.isin(*CANONICAL_FIELDS))
+    extras = F.when(F.size(others) > 0, F.to_variant_object(others)).alias("extras")
+    return rows.select(*fields.values(), F.array_compact(F.array(*kinds)).alias("_numeric"), F.to_json("r").alias("_record"), extras)
 
 
 def json_pieces(spark: SparkSession, path: str) -> DataFrame | None:
@@ -114,11 +124,25 @@ def list_items(pieces: DataFrame) -> DataFrame:
 
 
 def read_xml(spark: SparkSession, path: str, record_tag: str = "transaction") -> DataFrame:
-    """XML records at any depth; attributes win over children, of which blank ones are missing."""
-    both = T.StructType([T.StructField(p + f, T.StringType()) for f in CANONICAL_FIELDS for p in ("", "_")])
-    df = spark.read.format("xml").option("rowTag", record_tag).option("attributePrefix", "_").schema(both).load(path)
+    """XML records at any depth; attributes win over children, of which blank ones are missing.
+
+    A first pass finds which fields there are, all of them text, so that others than the canonical ones come along.
+    """
+    options = spark.read.format("xml").option("rowTag", record_tag).option("attributePrefix", "_").option("inferSchema", False)
+    seen = options.load(path).schema
+    both = {f.name: f for f in seen} | {p + f: T.StructField(p + f, T.StringType()) for f in CANONICAL_FIELDS for p in ("", "_")}
+    df = options.schema(T.StructType(list(both.values()))).load(path)
     child = lambda f: F.when(F.trim(F.col(f)) != "", F.trim(F.col(f)))
-    return _with_numeric(df.select(*[F.coalesce(F.col(f"_{f}"), child(f)).alias(f) for f in CANONICAL_FIELDS]))
+    fields = {f: F.coalesce(F.col(f"_{f}"), child(f)) for f in CANONICAL_FIELDS}
+    others: dict[str, Column] = {}
+    for name in both:
+        bare = name.removeprefix("_")
+        if bare not in CANONICAL_FIELDS and not (name == bare and f"_{bare}" in both):
+            others[bare] = _column(name)
+            if name != bare and bare in both:  # an attribute and a child of one name
+                plain = isinstance(both[bare].dataType, T.StringType)
+                others[bare] = F.coalesce(_column(name), _column(bare) if plain else F.to_json(_column(bare)))
+    return _texts(df, fields, others)
 
 
 READERS = {".csv": read_csv, ".json": read_json, ".xml": read_xml}
@@ -135,7 +159,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 def read_many(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The union by name of files in any of the formats; no paths give an empty table."""
     if not paths:
-        return _with_numeric(spark.createDataFrame([], RAW))
+        return _texts(spark.createDataFrame([], RAW), {f: F.col(f) for f in CANONICAL_FIELDS}, {})
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read_any(spark, p) for p in paths])
 
 

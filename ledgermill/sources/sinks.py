@@ -14,19 +14,19 @@ from .readers import BATCH_CSV, FEEDBACK
 
 
 def _plain(df: DataFrame) -> DataFrame:
-    """Timestamps as ISO text, nested columns as JSON, for CSV."""
+    """Timestamps as ISO text, nested columns and variants as JSON, for CSV."""
     out = df
     for f in df.schema:
         kind = f.dataType.typeName()
         if kind.startswith("timestamp"):
             out = out.withColumn(f.name, iso_text(F.col(f.name)))
-        elif kind in ("array", "map", "struct"):
+        elif kind in ("array", "map", "struct", "variant"):
             out = out.withColumn(f.name, F.to_json(f.name))
     return out
 
 
 def write_rejects(rejected: DataFrame, path: str) -> None:
-    _plain(rejected).write.mode("overwrite").option("header", True).csv(path)
+    _plain(rejected).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_ranked(ranked: DataFrame, path: str, *, one_file: bool = False) -> None:
@@ -34,7 +34,7 @@ def write_ranked(ranked: DataFrame, path: str, *, one_file: bool = False) -> Non
     ordered = ranked.orderBy("rank")
     ordered.write.mode("overwrite").parquet(f"{path}/ranked.parquet")
     text = _plain(ordered.coalesce(1) if one_file else ordered)
-    text.write.mode("overwrite").option("header", True).csv(f"{path}/ranked.csv")
+    text.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/ranked.csv")
 
 
 def append_feedback(rows: DataFrame, path: str) -> None:
@@ -68,8 +68,8 @@ def write_report(spark: SparkSession, doc: dict, text: str, folder: str) -> None
 
 def write_transactions(tx: DataFrame, truth: DataFrame, folder: str) -> None:
     tx.write.mode("overwrite").parquet(f"{folder}/transactions.parquet")
-    _plain(tx).write.mode("overwrite").option("header", True).csv(f"{folder}/transactions.csv")
-    truth.write.mode("overwrite").option("header", True).csv(f"{folder}/ground_truth.csv")
+    _plain(tx).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/transactions.csv")
+    truth.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/ground_truth.csv")
 
 
 def summary(ranked: DataFrame, n: int = 10) -> str:

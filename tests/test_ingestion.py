@@ -1,16 +1,18 @@
 from __future__ import annotations
 
+import csv
 import ipaddress
 import json
 import random
 import struct
+from xml.sax.saxutils import escape
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgermill.functions.network import ip_key, ip_to_long, is_public, is_public_key
 from ledgermill.operators import enrich, validate
-from ledgermill.sources import fixtures, mmdb, readers
+from ledgermill.sources import fixtures, mmdb, readers, sinks
 
 VALID = {"tx_id": "a" * 64, "timestamp": "2026-01-01T00:00:00", "src_wallet": "1" + "x" * 33, "dst_wallet": "1" + "y" * 33, "amount_btc": "0.5", "broadcast_ip": "41.12.0.1", "asn": "AS1000"}
 
@@ -120,6 +122,32 @@ def test_longest_prefix_wins_and_absent_blocks_give_nulls(spark):
     assert none.where("country is not null").count() == 0
 
 
+def test_other_fields_survive_in_all_formats(spark, tmp_path):
+    others = {"zip": "007", "note": 'a "b", <c>', "reject_reason": "mine", "extras": "1"}
+    good, bad, plain = VALID | {"tx_id": "tx-good"} | others, VALID | {"tx_id": "tx-bad", "amount_btc": "x"} | others, VALID | {"tx_id": "tx-plain"}
+    names = list(good)
+    with open(tmp_path / "a.csv", "w", newline="") as f:
+        out = csv.DictWriter(f, names)
+        out.writeheader()
+        out.writerows([good, bad, plain])
+    nested = {"deep": {"list": [1, "2", None]}, "none": None}
+    (tmp_path / "a.json").write_text(json.dumps([good | nested, bad, plain, 5]))
+    child = lambda r: "".join(f"<{k}>{escape(str(v))}</{k}>" for k, v in r.items())
+    (tmp_path / "a.xml").write_text(f'<all><transaction kind="k" zip="8">{child(good)}</transaction><transaction>{child(bad)}</transaction><transaction>{child(plain)}</transaction></all>')
+    assert readers.read_many(spark, []).columns == readers.read_csv(spark, str(tmp_path / "a.csv")).columns
+    for kind, more in (("csv", {}), ("json", nested), ("xml", {"kind": "k", "zip": "8"})):
+        clean, rejected = validate.validate(readers.read_any(spark, str(tmp_path / f"a.{kind}")))
+        got = {r.tx_id: r.extras and json.loads(r.extras.toJson()) for r in clean.collect()}
+        assert got == {"tx-good": others | more, "tx-plain": None}, kind
+        sinks.write_rejects(rejected, str(tmp_path / f"rejects-{kind}"))
+        back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / f"rejects-{kind}")).where("tx_id = 'tx-bad'").first()
+        assert json.loads(back.extras) == others
+        assert back.reject_reason == "amount_btc is not numeric"
+    clean = validate.validate(readers.read_many(spark, [str(tmp_path / f"a.{k}") for k in ("csv", "json", "xml")]))[0]
+    clean.write.parquet(str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).where("variant_get(extras, '$.note', 'string') like '%<c>'").count() == 3
+
+
 def test_json_lists_are_read_in_splits(spark, tmp_path, monkeypatch):
     rng = random.Random(6)
     odd = ["}", "{", "[", "]", '"', "\\", "\\}", '\\"}', "],[", "plain", "é漢", "\n", "{}", "[{"]

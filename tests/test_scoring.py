@@ -111,6 +111,20 @@ def test_positive_weights():
     assert fusion.positive_weights({"a": -1.0}) == {"a": 0.0}
 
 
+def test_ensemble_ranking_is_that_of_its_own_scores(spark):
+    rows = catalog.ensemble_ranking(spark, "/root/testdata/sf0.001").collect()
+    scores = {"isolation_forest_score": 0.35, "autoencoder_score": 0.35, "motif_score": 0.30}
+    for r in rows:
+        assert r.risk_score == pytest.approx(sum(w * r[c] for c, w in scores.items()))
+        assert r.is_alert == (r.risk_score >= 0.6)
+        assert 0 <= r.community_isolation_score <= 1
+    order = sorted(rows, key=lambda r: (-r.risk_score, r.entity_id))
+    assert [r["rank"] for r in order] == list(range(1, len(rows) + 1))
+    assert len({r.entity_id for r in rows}) == len(rows) == catalog.features(spark, "/root/testdata/sf0.001").count()
+    assert max(r.community_isolation_score for r in rows) == pytest.approx(1)
+    assert {"country", "city", "latitude", "longitude", "distinct_country_count", "motif_reasons"} <= set(rows[0].asDict())
+
+
 def test_feedback_of_many_writers_and_compactions(spark, tmp_path):
     log = str(tmp_path / "log")
     rows = lambda names, label, second: spark.createDataFrame([(n, label, "a\nb, \"c\"", f"2026-01-01T00:00:{second:02d}") for n in names], readers.FEEDBACK)

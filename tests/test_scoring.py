@@ -8,11 +8,12 @@ from itertools import permutations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ledgermill.operators import autoencoder, communities, evaluate, explain, feedback, forest, fusion, graph, scaling, views
 from ledgermill.plans import batch, catalog
 from ledgermill.settings import DEFAULTS, FEATURES
-from ledgermill.sources import readers, sinks, synth
+from ledgermill.sources import fixtures, readers, sinks, synth
 
 
 @pytest.fixture(scope="module")
@@ -76,6 +77,28 @@ def test_gradients():
         net.load(flat)
 
 
+def test_louvain_needs_few_tables(spark, monkeypatch):
+    """Each table is a pass over all edges or nodes; what a level leaves to gain, the next one takes up."""
+    written, real = [], communities.materialize
+    monkeypatch.setattr(communities, "materialize", lambda df: written.append(df.columns) or real(df))
+    pairs = real(graph.simple_projection(graph.edges(fixtures.clean_tx(spark, "/root/testdata/sf0.001"))))
+    found = real(communities.louvain(pairs))
+    assert len(written) < 60
+    assert communities.modularity(pairs.withColumn("w", F.lit(1.0)), found) > 0.6
+    names = found.groupBy("community").agg(F.min("id").alias("least")).where("community <> least")
+    assert names.isEmpty() and found.count() == found.select("id").distinct().count()
+
+
+def test_louvain_keys_are_of_one_node_each(spark, monkeypatch):
+    """Where two nodes share a key, all keys are drawn anew."""
+    seeds, real = [], F.xxhash64
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "a string, b string, w double")
+    monkeypatch.setattr(communities.F, "xxhash64", lambda seed, c: F.lit(0).cast("long") if not seeds and not seeds.append(1) else real(seed, c))
+    keyed, nodes = communities._numbered(edges, 42)
+    assert nodes.select("key").distinct().count() == 3
+    assert keyed.join(nodes, keyed.a == nodes.key).count() == 2
+
+
 def test_louvain_finds_cliques(spark):
     pairs = [(f"{c}{i}", f"{c}{j}") for c in "abc" for i in range(6) for j in range(i + 1, 6)] + [("a0", "b0"), ("b1", "c0")]
     found = communities.louvain(spark.createDataFrame(pairs, "a string, b string"))

@@ -6,8 +6,9 @@ from datetime import datetime, timedelta
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from ledgermill.operators import graph, growing, linkage, motifs
+from ledgermill.operators import enrich, graph, growing, linkage, motifs
 from ledgermill.operators.components import connected_components
 from ledgermill.operators.features import entity_features, touches, with_entities
 from ledgermill.plans import catalog
@@ -228,3 +229,16 @@ def test_neighbourhoods_of_many_like_one_by_one(spark):
     reached = {m: {i for n, i, _ in want if n == m} for m in {m for m, _ in seeds}}
     inside = {(r.member, r.src, r.dst) for r in graph.members_of(graph.induced_edges_of(e.distinct(), near)).collect()}
     assert inside == {(m, a, b) for m, ids in reached.items() for a, b in edges if a in ids and b in ids}
+
+
+def test_sliding_fan_like_brute_force_whatever_its_slices(spark, monkeypatch):
+    draw = random.Random(3)
+    epoch = datetime(1970, 1, 1)
+    rows = [(draw.choice(["A", "A", "B", "C", None]), draw.choice(["A", "A", "A", "B", "C"]), epoch + timedelta(seconds=draw.choice([-1, 1]) * draw.randrange(4000), microseconds=draw.randrange(3))) for _ in range(90)]
+    df = spark.createDataFrame(rows, "src_entity string, dst_entity string, timestamp timestamp_ntz")
+    inside = lambda e, t, side: sum(r[side] == e and t <= r[2] <= t + timedelta(seconds=600) for r in rows)
+    want = {e: float(any(e in r[:2] and inside(e, r[2], 1) >= 4 and inside(e, r[2], 0) >= 4 for r in rows)) for e in "ABC"}
+    assert len(set(want.values())) == 2
+    for width in (7, 300, 100_000):
+        monkeypatch.setattr(motifs, "FAN_SLICE_S", width)
+        assert {r.entity_id: r.sliding_fan_flag for r in motifs.sliding_fan(df, threshold=4, window_s=600).collect()} == want

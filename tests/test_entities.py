@@ -242,3 +242,11 @@ def test_sliding_fan_like_brute_force_whatever_its_slices(spark, monkeypatch):
     for width in (7, 300, 100_000):
         monkeypatch.setattr(motifs, "FAN_SLICE_S", width)
         assert {r.entity_id: r.sliding_fan_flag for r in motifs.sliding_fan(df, threshold=4, window_s=600).collect()} == want
+
+
+def test_prefixes_of_many_networks_like_those_of_few(spark, monkeypatch):
+    ips = fixtures.mixed_ips(spark, "/root/testdata/sf0.001").select(F.col("broadcast_ip").alias("ip")).distinct()
+    found = lambda: sorted(map(str, enrich.lookup_prefixes(ips, fixtures.networks(spark)).collect()))
+    few = found()
+    monkeypatch.setattr(enrich, "FEW", 3)
+    assert few and found() == few

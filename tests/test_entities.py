@@ -250,3 +250,12 @@ def test_prefixes_of_many_networks_like_those_of_few(spark, monkeypatch):
     few = found()
     monkeypatch.setattr(enrich, "FEW", 3)
     assert few and found() == few
+
+
+def test_queries_find_entities_once(spark, monkeypatch):
+    calls, real = [], linkage.wallet_entities
+    monkeypatch.setattr(linkage, "wallet_entities", lambda tx: calls.append(1) or real(tx))
+    for query in (catalog.confusion, catalog.alerts_filtered, catalog.community_isolation):
+        calls.clear()
+        query(spark, "/root/testdata/sf0.001")
+        assert len(calls) == 1

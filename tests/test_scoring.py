@@ -279,3 +279,12 @@ def test_ranks_of_tied_scores_are_split(spark):
     frame = spark.createDataFrame(rows, "entity_id string, s double")
     got = {r.entity_id: r["rank"] for r in fusion.ranked_by(frame, "s", rows_a_part=30).collect()}
     assert got == {e: i + 1 for i, (_, e) in enumerate(sorted((-s, e) for e, s in rows))}
+
+
+def test_autoencoder_trains_on_blocks_written_once(spark, features, monkeypatch):
+    written, real = [], autoencoder.materialize
+    monkeypatch.setattr(autoencoder, "materialize", lambda df: written.append(df.columns) or real(df))
+    net, losses = autoencoder.train(features, epochs=3)
+    assert written == [["n", "block"]]
+    x, first = features.select(*FEATURES).toPandas().to_numpy(float), autoencoder.Network.fresh(len(FEATURES), DEFAULTS.autoencoder_hidden, DEFAULTS.seed)
+    assert losses[0] == pytest.approx(first.errors(x).mean()) and len(losses) == 3

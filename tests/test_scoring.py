@@ -78,7 +78,7 @@ def test_gradients():
 
 
 def test_louvain_needs_few_tables(spark, monkeypatch):
-    """Each table is a pass over all edges or nodes; what a level leaves to gain, the next one takes up."""
+    """Each table is a pass over all edges or nodes."""
     written, real = [], communities.materialize
     monkeypatch.setattr(communities, "materialize", lambda df: written.append(df.columns) or real(df))
     pairs = real(graph.simple_projection(graph.edges(fixtures.clean_tx(spark, "/root/testdata/sf0.001"))))

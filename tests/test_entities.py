@@ -259,3 +259,15 @@ def test_queries_find_entities_once(spark, monkeypatch):
         calls.clear()
         query(spark, "/root/testdata/sf0.001")
         assert len(calls) == 1
+
+
+def test_pass_through_orders_only_what_has_both_sides(spark):
+    tx = transfers(spark, ("A", "B", 10, 0, "1"), ("B", "C", 9, 1300, "2"), ("C", "D", 9, 1850, "3"), *[(f"S{i}", f"X{i}", 1, 60 * i, "4") for i in range(50)])
+    assert linkage._two_sided_cells(tx, 600).count() == 1  # C, whose transfers are 550 seconds apart; those of B are 1300
+    assert [(r.wallet, r.gap_us) for r in linkage.pass_through(tx).collect()] == [("C", 550_000_000)]
+
+
+def test_senders_are_compared_only_in_repeated_transactions(spark):
+    tx = transfers(spark, ("A", "X", 1, 0, "1"), ("B", "X", 1, 0, "2"), ("C", "X", 1, 0, "3")).withColumn("tx_id", F.when(F.col("src_wallet") == "C", "t2").otherwise("t1"))
+    assert sorted(r.src_wallet for r in linkage.repeated_transactions(tx).collect()) == ["A", "B"]
+    assert {(r.a, r.b) for r in linkage.link_edges(tx).where("rule = 'co_input'").collect()} == {("B", "A")}

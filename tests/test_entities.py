@@ -8,7 +8,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgermill.operators import enrich, graph, growing, linkage, motifs
+from ledgermill import session
+from ledgermill.operators import enrich, explain, graph, growing, linkage, motifs
 from ledgermill.operators.components import connected_components
 from ledgermill.operators.features import entity_features, touches, with_entities
 from ledgermill.plans import catalog
@@ -271,3 +272,24 @@ def test_senders_are_compared_only_in_repeated_transactions(spark):
     tx = transfers(spark, ("A", "X", 1, 0, "1"), ("B", "X", 1, 0, "2"), ("C", "X", 1, 0, "3")).withColumn("tx_id", F.when(F.col("src_wallet") == "C", "t2").otherwise("t1"))
     assert sorted(r.src_wallet for r in linkage.repeated_transactions(tx).collect()) == ["A", "B"]
     assert {(r.a, r.b) for r in linkage.link_edges(tx).where("rule = 'co_input'").collect()} == {("B", "A")}
+
+
+def test_evidence_of_few_and_of_many_rows(spark, monkeypatch):
+    tx = transfers(spark, ("A", "B", 1, 0, "1"), ("B", "C", 1, 60, "2"), ("C", "D", 1, 120, "2"), ("E", "F", 1, 0, "3"))
+    members = spark.createDataFrame([("e1", "A"), ("e2", "D"), ("e2", "F"), ("e3", "nobody")], "entity_id string, wallet string")
+    found = lambda: [sorted(map(str, df.collect())) for df in explain.evidence_of(graph.vertices(tx), graph.edges(tx), members)]
+    few = found()
+    monkeypatch.setattr(session, "FEW_ROWS", 0)
+    assert found() == few and few[0] and few[1]
+
+
+def test_edges_are_not_shuffled_to_few_nodes(spark, capsys):
+    e = graph.edges(transfers(spark, ("A", "B", 1, 0, "1"), ("B", "C", 1, 60, "2")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = graph.neighbourhoods(e, spark.createDataFrame([(0, "Wallet:A")], "member long, id string"), 2)
+        graph.induced_edges_of(e, near).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

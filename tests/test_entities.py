@@ -9,9 +9,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgermill import session
-from ledgermill.operators import enrich, explain, graph, growing, linkage, motifs
+from ledgermill.functions.temporal import gaps
+from ledgermill.operators import enrich, explain, fusion, graph, growing, linkage, motifs
 from ledgermill.operators.components import connected_components
-from ledgermill.operators.features import entity_features, touches, with_entities
+from ledgermill.operators.features import entity_features, touches, with_entities, with_linked, with_repeated
 from ledgermill.plans import catalog
 from ledgermill.sources import fixtures
 
@@ -293,3 +294,49 @@ def test_edges_are_not_shuffled_to_few_nodes(spark, capsys):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     plan = capsys.readouterr().out
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_rows_look_up_linked_wallets_only(spark, monkeypatch):
+    tx = transfers(spark, ("A1", "X", 1, 0, "9"), ("A2", "Y", 1, 4000, "9"), ("longer than ten 1", "A2", 1, 9000, "8"), ("A1", None, 1, 9500, "9"))
+    linked = linkage.linked_wallets(tx)
+    assert {r.id for r in linked.collect()} == {"A1", "A2"}
+    plain = with_entities(tx, linkage.wallet_entities(tx))
+    assert sorted(map(str, with_linked(tx, linked).collect())) == sorted(map(str, plain.collect()))
+    of = lambda few: (monkeypatch.setattr(catalog, "FEW_LINKED", few), sorted(map(str, catalog.labelled(spark, "/root/testdata/sf0.001").collect())))[1]
+    assert of(0) == of(1_000_000)
+
+
+def test_cells_with_both_sides_are_there_once(spark):
+    tx = transfers(spark, *[("A", "B", 10, k, "1") for k in range(5)], *[("B", "C", 9, 100 + k, "2") for k in range(5)])
+    cells = linkage._two_sided_cells(tx, 600)
+    assert cells.count() == cells.distinct().count() == 1
+
+
+def test_single_transactions_are_counted_and_repeated_ones_compared(spark):
+    tx = transfers(spark, ("A", "B", 1, 0, "1"), ("A", "B", 1, 0, "2"), ("A", "C", 1, 0, "3"), ("B", "A", 1, 5, "4"), ("C", "D", 1, 5, "4"), ("A", "D", 1, 9, "5"))
+    tx = tx.withColumn("tx_id", F.when(F.col("tx_id") != "t0005", F.when(F.col("broadcast_ip").isin("1", "2"), "same").otherwise(F.col("tx_id"))))  # the last has no id
+    members = spark.createDataFrame([("A", "e1"), ("B", "e1"), ("C", "e2"), ("D", "e3")], "wallet string, entity_id string")
+    rows = with_entities(tx, members)
+    marked = touches(with_repeated(rows, linkage.repeated_hashes(tx)))
+    assert marked.where("repeated").count() == 6 and marked.where("once").count() == 5
+    one, other = entity_features(touches(rows)), entity_features(marked)
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    assert {r.entity_id: r.tx_count for r in other.collect()} == {"e1": 3, "e2": 2, "e3": 1}
+
+
+def test_gaps_are_dealt_once(spark):
+    rows = transfers(spark, ("A", "B", 1, 0, "1"), ("A", "C", 3, 100, "2"), ("D", "A", 2, 9000, "2"), ("A", "E", 2, 9000, "2"))
+    found = gaps(rows, "src_wallet")
+    assert sorted(r.gap_us for r in found.collect()) == [100_000_000, 8900_000_000]
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranking_needs_no_gaps(spark):
+    f = catalog.features(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan(f)
+    few = f.select("entity_id", *catalog.STAND_INS.values())
+    assert "Window" not in plan(few)
+    assert set(catalog._ranked_features(f).columns) == set(few.columns)
+    got, want = catalog._aligned_stand_ins(f), fusion.aligned(catalog._stand_in_scores(f))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))

@@ -94,6 +94,39 @@ def test_large_groups_narrow_alike(monkeypatch):
         assert [sorted(set(x)) for x in narrow] == [sorted(set(x)) for x in plain]
 
 
+def _groups(texts, length, anchor):
+    groups = defaultdict(set)
+    for t in texts:
+        data = substrings._bytes(t)
+        for at, n, off, h in zip(*[x.tolist() for x in substrings.segments(data, length, anchor)], strict=True):
+            groups[h].add((data[at : at + n + length - 1], off, n))
+    return [sorted(g) for g in groups.values()]
+
+
+def test_suffix_sorting_sees_what_may_recur_and_no_more(monkeypatch):
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [noise(n) for n in (399, 400, 401, 430, 700)]
+    texts = _texts(rng) + [noise(600) + rng.choice(passages) + noise(600) for _ in range(40)]
+    letters = []
+    monkeypatch.setattr(substrings, "suffix_array", lambda text: letters.append(len(text)) or suffix_array(text))
+    for length, anchor in ((40, 8), (400, 128)):
+        letters.clear()
+        contents = marks = 0
+        for rows in _groups(texts, length, anchor):
+            windows = [[content[i : i + length] for i in range(n)] for content, _, n in rows]
+            times = defaultdict(int)
+            for w in windows:
+                for x in w:
+                    times[x] += 1
+            want = [[i for i, x in enumerate(w) if times[x] > 1] for w in windows]
+            assert [sorted(set(x)) for x in substrings._matching(rows, length)] == want
+            contents += sum(len(content) + 1 for content, _, _ in rows) if len(rows) > 1 else 0
+            marks += sum(map(len, want))
+        # A window that recurs costs a letter before and one behind the shared bytes; whole contents were sorted before.
+        assert marks < sum(letters) < contents / 2
+
+
 def test_substrings_of_an_empty_table(spark):
     assert substrings.substring_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgermill.operators import autoencoder, communities, evaluate, explain, feedback, forest, fusion, graph, scaling, views
+from ledgermill.operators import autoencoder, communities, evaluate, explain, feedback, forest, fusion, graph, moves, scaling, views
 from ledgermill.plans import batch, catalog
 from ledgermill.settings import DEFAULTS, FEATURES
 from ledgermill.sources import fixtures, readers, sinks, synth
@@ -89,6 +89,28 @@ def test_louvain_needs_few_tables(spark, monkeypatch):
     assert names.isEmpty() and found.count() == found.select("id").distinct().count()
 
 
+def test_louvain_in_blocks_makes_the_moves_of_one_task(spark, monkeypatch):
+    """Neither way writes a table for each round of a small graph, and repeated edges do not count twice."""
+    written, real = [], moves.materialize
+    monkeypatch.setattr(moves, "materialize", lambda df: written.append(df.columns) or real(df))
+    tx = fixtures.clean_tx(spark, "/root/testdata/sf0.001")
+    simple, repeated = real(graph.simple_projection(graph.edges(tx))), graph.edges(tx).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    alone = sorted(map(tuple, communities.louvain(simple).collect()))
+    assert len(written) == 1
+    assert alone == sorted(map(tuple, communities.louvain(repeated).collect()))
+    monkeypatch.setattr(moves, "FEW_EDGES", 500)
+    monkeypatch.setattr(moves, "BLOCK_EDGES", 2_000)
+    assert alone == sorted(map(tuple, communities.louvain(simple).collect()))
+    assert len(written) > 10
+
+
+def test_louvain_turns_are_those_of_spark(spark):
+    keys = spark.range(100).select(F.xxhash64("id").alias("k"))
+    for r in (0, 1, 6):
+        rows = keys.select("k", (F.pmod(F.xxhash64(F.lit(42 + r // 2), "k"), F.lit(2)) == r % 2).alias("turn")).toPandas()
+        assert list(moves.turns(rows.k.to_numpy(), 42, r)) == list(rows.turn)
+
+
 def test_louvain_keys_are_of_one_node_each(spark, monkeypatch):
     """Where two nodes share a key, all keys are drawn anew."""
     seeds, real = [], F.xxhash64
